@@ -22,17 +22,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the checkpoint folder and read it again: lineage ends here, a lost executor costs no recomputation.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, deleted when the driver ends (lazy results may be read until then)."""
+    top = f"{checkpoint_dir(spark).rstrip('/')}/folioforge-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(top)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return f"{top}/{name}"
+
 
-    The files are deleted when the driver ends, as lazy results may read them until then.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/folioforge-{uuid.uuid4().hex}/{name}"
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the checkpoint folder and read it again: lineage ends here, a lost executor costs no recomputation."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:

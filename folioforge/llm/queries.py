@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, packing, tokenstore
+from .common import new_folder
 
 #: A-Z and a-z, as DuckDB's translate takes them.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,9 +38,21 @@ FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.do
 """
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = new_folder(spark, "token-store")
+    tokenstore.write(table(spark, sf_dir, "documents"), store, public_tokenizers.path("word_bpe_49k.json"), keeps_spaces=False, end_id=2)
+    return tokenstore.read_digests(spark, store)
+
+
+def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op6_token_store": op6_token_store,
+        "op9_vector_packing": op9_vector_packing,
     }
 
 
