@@ -30,7 +30,7 @@ def test_units_give_the_ids_of_whole_texts(file, keeps):
 
 
 def test_round_trip(spark):
-    texts = [None, "", "Hello, world", "line\nline " * 4000, "déjà vu", "Hello, world", "tail"] + [f"Some words here {k} and there {k * k}" for k in range(200)]
+    texts = [None, "", "Hello, world", "line\nline " * 4000, "déjà vu", "Hello, world", "tail"] + [f"Some words here {k} and there {k * k}" for k in range(700)]
     docs = spark.createDataFrame([(k * 3, t, "z") for k, t in reversed(list(enumerate(texts)))], "doc_id long, text string, shard string").repartition(5)
     store = new_folder(spark, "round-trip")
     tokenstore.write(docs, store, PATH, False, 2)
