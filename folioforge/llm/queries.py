@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, tokenstore
+from . import decontam, minhash, packing, pii, secrets, tokenstore
 from .common import new_folder
+from .spans import joined
 
 #: A-Z and a-z, as DuckDB's translate takes them.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,6 +45,24 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def _counted(df: DataFrame, base: str, spans: str, kinds: tuple[str, ...]) -> DataFrame:
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return df.select("doc_id", *map(count, kinds), F.sha2(joined(F.col(base)), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
+
+
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(pii.personal_data(table(spark, sf_dir, "documents")), "base", "spans", pii.BASE_KINDS)
+
+
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    kinds = tuple(r.name for r in secrets.BASE)
+    base = F.filter("findings", lambda x: x["kind"].isin(*kinds))
+    return _counted(found.withColumn("base", base), "base", "findings", kinds)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -77,6 +96,8 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing_decontamination": op1_winnowing_decontamination,
+        "op2_weak_supervision_pii": op2_weak_supervision_pii,
+        "op3_secret_ledger": op3_secret_ledger,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op6_token_store": op6_token_store,
         "op9_vector_packing": op9_vector_packing,
