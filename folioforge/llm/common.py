@@ -98,3 +98,31 @@ def window_hashes(words: list[bytes], size: int) -> np.ndarray:
     np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
     a, b = starts[: len(words) - size + 1], ends[size - 1 :]
     return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int, max_chars: int) -> tuple[list[str], np.ndarray]:
+    """Texts and 0/1 labels of a bounded sample: ``per_class`` rows at most of each label, those of smallest id hash; of these, texts of
+    1 to ``max_chars`` characters. ``training`` says which ids may be learned from. The bound keeps the sample on the driver small."""
+    known = labels.filter(training & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
+    ids = None
+    for k in (0, 1):
+        own = known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        ids = own if ids is None else ids.union(own)
+    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return [r.text for r in rows], np.array([r.label for r in rows], np.int64)
+
+
+def adam(params: dict[str, np.ndarray], gradients, steps: int, rate: float) -> None:
+    """Full-batch Adam: ``gradients(step)`` gives one array per parameter; parameters change in place."""
+    m = {k: np.zeros_like(v) for k, v in params.items()}
+    s = {k: np.zeros_like(v) for k, v in params.items()}
+    for t in range(1, steps + 1):
+        for k, g in gradients(t).items():
+            m[k] += 0.1 * (g - m[k])
+            s[k] += 0.01 * (g * g - s[k])
+            params[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(params[k].dtype)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, pii, secrets, tokenstore
-from .common import new_folder
+from . import decontam, fertility, langid, mil, minhash, packing, pii, secrets, tokenstore, toxicity
+from .common import crc_of, labelled_sample, new_folder
 from .spans import joined
 
 #: A-Z and a-z, as DuckDB's translate takes them.
@@ -83,24 +83,60 @@ FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.do
 """
 
 
+def op5_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(*langid.training_sample(docs, crc_of("doc_id") % 4 != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (crc_of("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score", "distance", "rejected")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_folder(spark, "token-store")
     tokenstore.write(table(spark, sf_dir, "documents"), store, public_tokenizers.path("word_bpe_49k.json"), keeps_spaces=False, end_id=2)
     return tokenstore.read_digests(spark, store)
 
 
+def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fertility.judged(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
+
+
+def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    training = crc_of("doc_id") % 5 != 0
+    texts, known = labelled_sample(docs, labels, "toxic", training, toxicity.PER_CLASS, toxicity.MAX_CHARS)
+    share = labels.filter(training).agg(F.avg("toxic")).first()[0]
+    found = toxicity.score(docs, toxicity.fit(texts, known, float(share or 0.5)))
+    return found.select("doc_id", (crc_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1, with_ids=False)
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> dict:
+    """The quality classifier, learned from labelled documents whose id's crc32 is not divisible by 5."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mil.fit(*labelled_sample(docs, labels, "quality", crc_of("doc_id") % 5 != 0, mil.PER_CLASS, mil.MAX_CHARS))
+
+
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mil.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return found.select("doc_id", (crc_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing_decontamination": op1_winnowing_decontamination,
         "op2_weak_supervision_pii": op2_weak_supervision_pii,
         "op3_secret_ledger": op3_secret_ledger,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_nearest_centroid_language": op5_nearest_centroid_language,
         "op6_token_store": op6_token_store,
+        "op7_tokeniser_fertility": op7_tokeniser_fertility,
+        "op8_subword_toxicity": op8_subword_toxicity,
         "op9_vector_packing": op9_vector_packing,
+        "op10_attention_quality": op10_attention_quality,
     }
 
 
