@@ -1,6 +1,7 @@
 """Language identification by nearest centroid.
 
-Texts are normalised TF-IDF vectors of hashed byte n-grams of the lower-cased text. Each language has several centroids, by
+Texts are normalised TF-IDF vectors of hashed byte n-grams of the lower-cased text, with runs of other ASCII
+than letters as one space. Each language has several centroids, by
 spherical k-means on its part of a bounded sample; a text gets the language of the centroid of largest cosine, and is
 rejected if its distance to that centroid is beyond what the sample of that language shows.
 """
@@ -22,6 +23,8 @@ CENTROIDS, ROUNDS = 4, 8
 PER_LANGUAGE, MAX_CHARS = 600, 10_000
 #: A text is rejected if its distance exceeds this quantile of the sample's distances, and this much more.
 QUANTILE, MARGIN = 0.999, 0.15
+#: All ASCII but letters is a space.
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -29,7 +32,8 @@ def counts(texts: list[str | None]) -> np.ndarray:
     """n-gram counts by bucket, one row per text."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
     for row, text in zip(out, texts, strict=True):
-        data = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        raw = b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
+        data = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
         for n in SIZES:
             if len(data) >= n:
                 h = np.full(len(data) - n + 1, n, np.uint32)

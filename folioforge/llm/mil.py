@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import adam, sigmoid, window_hashes
@@ -74,7 +74,7 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, owner: n
 
 
 def fit(texts: list[str], labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Train on texts with 0/1 labels; the classes weigh as they occur in the sample's source is left to ``prior``."""
+    """Train on texts with 0/1 labels, both classes weighing the same; with only one class every text gets that one."""
     bags = [features(t) for t in texts] or [features(None)]
     labels = labels if len(texts) else np.array([1])
     x = np.concatenate(bags).astype(np.float64)
@@ -135,19 +135,22 @@ def scores(p: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
     return sigmoid(forward(p, np.concatenate(bags).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), np.repeat(np.arange(len(bags)), sizes))["logit"])
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``keep`` and score (0 to 1, higher: better) of every whole text, null and empty ones included.
+def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score (0 to 1, higher: better) of every whole text, null and empty ones included.
 
     Rows that repeat give equal rows; other columns are not read; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *keep)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), scored(docs.sparkSession, model, F.col(text_col)).alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = [scores(shared.value, texts[k : k + 200]) for k in range(0, len(texts), 200)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(np.concatenate([*out, np.zeros(0)]))], ["doc_id", *keep, "score"])
 
-    return own.mapInArrow(run, schema)
+def scored(spark: SparkSession, model: dict[str, np.ndarray], text: Column) -> Column:
+    """The score of a text column, in Arrow batches."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = [scores(shared.value, texts.iloc[k : k + 200].to_list()) for k in range(0, len(texts), 200)]
+            yield pd.Series(np.concatenate([*out, np.zeros(0)]))
+
+    return run(text)

@@ -103,7 +103,7 @@ def _judged(kind: Column, x: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, base (valid spans of the base kinds) and found (judged candidates of the added kinds that overlap no base span)."""
+    """doc_id, row (a struct of the columns of ``keep``, if any), base (valid spans of the base kinds) and found (judged candidates of the added kinds that overlap no base span)."""
     text = F.col("__text")
     gates = {
         "email": F.contains(text, F.lit("@")),
@@ -114,7 +114,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "number": text.rlike("[0-9]{2}"),
         "name": F.lit(True),
     }
-    own = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
+    own = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     own = with_matches(own, "__text", {k: (PATTERNS[k], gates[k]) for k in PATTERNS})
     base = [_ranked(k, r) for r, k in enumerate(BASE_KINDS)]
     own = own.withColumn("base", F.array_sort(F.concat(*base)))
@@ -125,7 +126,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.transform("name", lambda x: _judged(F.lit("name"), x)),
     )
     apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return own.withColumn("found", F.filter(found, apart)).select("doc_id", *keep, "base", "found")
+    return own.withColumn("found", F.filter(found, apart)).select("doc_id", *["row"] * bool(keep), "base", "found")
 
 
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
@@ -183,7 +184,7 @@ def _score(c: Column, w: np.ndarray) -> Column:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the columns of ``keep``, base and spans (base ones and those that the classifier
+    """One row per row of ``docs``: doc_id, row (a struct of the columns of ``keep``, if any), base and spans (base ones and those that the classifier
     accepts), arrays of (start, rank, kind, end) sorted by start, then order of kinds.
 
     Null and empty texts have no spans; rows that repeat give equal rows; an empty table gives an empty one.
@@ -197,4 +198,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.filter("found", lambda c: _score(c, w) >= cut),
         lambda c: F.struct(c["start"].alias("start"), (F.array_position(rank, c["kind"]).cast("int") + len(BASE_KINDS)).alias("rank"), c["kind"].alias("kind"), c["end"].alias("end")),
     )
-    return found.select("doc_id", *keep, "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return found.select("doc_id", *["row"] * bool(keep), "base", F.array_sort(F.concat("base", added)).alias("spans"))
