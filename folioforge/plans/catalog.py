@@ -1,15 +1,412 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries: the library's operators over the driver's tables, and SQL for the same results.
+
+Documents stand for books, their lines for paragraphs, pages for fetched markup, events for a history or task log, conversations for
+ordered chapters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import markup, text, titles, urls
+from ..functions.dialect import SPACE_SQL, lines, utf16_length
+from ..operators import chapters, clean, search, segment, stores, toc
+from ..sources import archives
+from ..streaming import flows
+
+#: Headings of the synthetic texts: lines of at most three words that end in a full stop.
+SHORT_LINE = r"\A[^ ]+(?: [^ ]+){0,2}\.\z"
+NOW = 1_704_200_000_000
+_TRIM = rf"\A[{SPACE_SQL}]+|[{SPACE_SQL}]+\z"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines(F.col("text"))).alias("pos", "text"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their time in milliseconds."""
+    return _table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+
+
+_LINES_SQL = "SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM documents)"
+_EVENTS_SQL = "SELECT *, epoch_us(ts) // 1000 AS ms FROM events"
+
+
+def _inline_sql(own: str) -> str:
+    changed = own
+    for p in clean.INLINE_JUNK:
+        changed = f"regexp_replace({changed}, '{p.replace(chr(39), chr(39) * 2)}', '', 'g')"
+    for name, char in clean.ENTITIES:
+        changed = f"regexp_replace({changed}, '(?i)&{name};', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
+    return changed
+
+
+_CLEAN_SQL = rf"""
+r AS ({_LINES_SQL}),
+t AS (SELECT doc_id, pos, regexp_replace(line, '{_TRIM}', '', 'g') AS own FROM r),
+c AS (SELECT doc_id, pos, own, {_inline_sql('own')} AS changed FROM t),
+s AS (SELECT doc_id, pos, own <> '' AS had, CASE WHEN NOT regexp_matches(own, '{clean.SUSPECT}') OR changed = own THEN own
+  ELSE regexp_replace(regexp_replace(changed, '[ \t]{{2,}}', ' ', 'g'), '{_TRIM}', '', 'g') END AS line FROM c),
+k AS (SELECT *, CASE WHEN line = '' THEN 'junk' WHEN length(line) <= {clean.SHORT} AND regexp_matches(line, '{clean.PAGE_BREAK}') THEN 'break'
+  WHEN length(line) <= {clean.SHORT} AND regexp_matches(line, '{"|".join(f"(?:{p})" for p in clean.JUNK_LINES)}') THEN 'junk' ELSE 'kept' END AS kind FROM s),
+b AS (SELECT *, max(CASE WHEN kind = 'break' THEN pos END) OVER w AS broken, max(CASE WHEN kind = 'kept' THEN pos END) OVER w AS before
+  FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+j AS (SELECT b.*, coalesce(b.broken > b.before AND regexp_matches(p.line, '{clean.OPEN_END}'), false) AS joins FROM b LEFT JOIN k p ON p.doc_id = b.doc_id AND p.pos = b.before),
+i AS (SELECT *, sum(CASE WHEN kind = 'kept' AND NOT joins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM j),
+o AS (SELECT doc_id, min(pos) AS pos, string_agg(line, '' ORDER BY pos) AS text FROM i WHERE kind = 'kept' GROUP BY doc_id, island
+  UNION ALL SELECT doc_id, min(pos), '{clean.EMPTY_NOTE}' FROM i GROUP BY doc_id HAVING bool_or(had) AND NOT bool_or(kind = 'kept'))
+"""
+
+
+def stitch_open_lines(spark, d):
+    return clean.clean_paragraphs(_lines(spark, d), ["doc_id"])
+
+
+def clean_lines_stats(spark, d):
+    own = clean.clean_paragraphs(_lines(spark, d), ["doc_id"])
+    return own.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.sum(utf16_length(F.col("text"))).alias("n_chars"))
+
+
+def cleaned_arrays(spark, d):
+    own = _table(spark, d, "documents").select("doc_id", clean.clean_array(lines(F.col("text"))).alias("p"))
+    return own.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.md5(F.array_join("p", "\n").cast("binary")).alias("digest"))
+
+
+def consecutive_dup_lines(spark, d):
+    kept = chapters.without_repeats(_lines(spark, d), ["doc_id"], "pos", "text")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def page_signature_dups(spark, d):
+    return chapters.signature_repeats(_table(spark, d, "documents"), ["source"], "doc_id", "text").select("doc_id", "absent")
+
+
+def last_by_key(spark, d):
+    return stores.newest(_events(spark, d).select("user_id", "event_type", "ms", "event_id", "value"), ["user_id", "event_type"], "ms", ["event_id"])
+
+
+def first_by_key(spark, d):
+    return _events(spark, d).groupBy("user_id").agg(F.min_by("event_id", F.struct("ms", "event_id")).alias("event_id"))
+
+
+def heading_islands(spark, d):
+    own = segment.split_chapters(_table(spark, d, "documents"), heading=SHORT_LINE)
+    return own.select("doc_id", F.col("chapter").cast("long").alias("chapter"), "title", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.md5(F.array_join("paragraphs", "\n").cast("binary")).alias("digest"))
+
+
+_HEADINGS_SQL = rf"""
+WITH r AS ({_LINES_SQL}), t AS (SELECT doc_id, pos, regexp_replace(line, '{_TRIM}', '', 'g') AS line FROM r),
+h AS (SELECT *, regexp_matches(line, '{SHORT_LINE}') AS h FROM t WHERE line <> ''),
+c AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM h),
+g AS (SELECT doc_id, c, coalesce(max(CASE WHEN h THEN line END), '{segment.FRONT}') AS title, count(*) FILTER (NOT h) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT h), '') AS body FROM c GROUP BY doc_id, c),
+f AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS all_ FROM g)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c) AS chapter, title, n AS n_paragraphs, md5(body) AS digest FROM f WHERE n > 0 OR all_ = 1
+"""
+
+
+def _paragraphs(spark, d):
+    own = F.filter(lines(F.col("text")), lambda x: F.trim(x) != "")
+    return _table(spark, d, "documents").select("doc_id", own.alias("paragraphs")).filter(F.size("paragraphs") > 0)
+
+
+def block_pack(spark, d):
+    own = segment.build_blocks(_paragraphs(spark, d), size=1000)
+    return own.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.max(utf16_length(F.col("text"))).alias("longest"))
+
+
+def block_roundtrip(spark, d):
+    own = segment.restore_paragraphs(segment.build_blocks(_paragraphs(spark, d), size=1000))
+    return own.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.md5(F.array_join("paragraphs", "\n").cast("binary")).alias("digest"))
+
+
+def anchor_to_block(spark, d):
+    own = _paragraphs(spark, d)
+    anchors = own.select("doc_id", F.posexplode("paragraphs").alias("paragraph", "p")).select("doc_id", "paragraph", F.greatest(utf16_length(F.col("p")) - 1, F.lit(0)).cast("int").alias("offset"))
+    return segment.anchors_to_blocks(anchors, segment.build_blocks(own, size=1000))
+
+
+def html_title(spark, d):
+    return _table(spark, d, "pages").select("page_id", markup.title(F.col("html")).alias("title"))
+
+
+def html_links(spark, d):
+    own = _table(spark, d, "pages").select("page_id", F.explode(markup.anchors(F.col("html"))).alias("a"))
+    return own.groupBy("page_id").agg(F.count("*").alias("n_links"), F.sum(F.length("a.href")).alias("href_chars"), F.sum(F.length("a.text")).alias("text_chars"))
+
+
+def html_strip(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.length(text.strip_tags(F.col("html"))).cast("long").alias("n_chars"))
+
+
+def html_entities(spark, d):
+    own = text.clean_text(F.col("html"))
+    return _table(spark, d, "pages").select("page_id", F.length(own).cast("long").alias("n_chars"), (F.size(F.split(own, "&", -1)) - 1).cast("long").alias("n_ampersands"))
+
+
+def html_paragraphs(spark, d):
+    own = markup.paragraphs(F.col("html"))
+    return _table(spark, d, "pages").select("page_id", F.size(own).cast("long").alias("n_paragraphs"))
+
+
+def url_parts(spark, d):
+    return _table(spark, d, "pages").select("page_id", urls.parts(F.col("url")).alias("u")).select("page_id", "u.scheme", "u.host", "u.path", "u.query")
+
+
+def url_allowlist(spark, d):
+    allowed = urls.is_allowed(F.col("url"), ["ththre.example.com", "anea.example.com"], r"/[a-z]{2}/[0-9]+")
+    host = urls.parts(F.col("url"))["host"]
+    return _table(spark, d, "pages").select("page_id", allowed.alias("allowed"), host.startswith("th").alias("th"))
+
+
+def normal_titles(spark, d):
+    title = F.concat(F.lit(" "), (F.col("o_orderkey") % 700).cast("string"), F.lit(" 第"), F.col("o_orderkey").cast("string"), F.lit("章  "), F.col("o_orderpriority"))
+    own = _table(spark, d, "orders").select("o_orderkey", title.alias("title")).withColumn("t", titles.normal_title(F.col("title")))
+    return own.select("o_orderkey", "t.display_title", "t.number", "t.extra", titles.rest_title(F.col("title"), F.col("t.display_title")).alias("rest"))
+
+
+def upper_median_outliers(spark, d):
+    items = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book_id"), F.col("l_linenumber").alias("page"), "l_orderkey", F.col("l_quantity").cast("long").alias("number"))
+    kept = toc.without_outliers(items, ["book_id", "page"])
+    return kept.groupBy("book_id", "page").agg(F.count("*").alias("n"), F.sum("number").alias("total"))
+
+
+def extras_keep_max(spark, d):
+    entries = _table(spark, d, "part").select(F.col("p_brand").alias("book_id"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("display_title"), F.col("p_size").cast("long").alias("number"), F.lit(True).alias("extra"))
+    return toc.merge_extras(entries).select("book_id", "display_title", "id", "title", "number")
+
+
+def toc_merge(spark, d):
+    """Order keys as ids of chapters, by customer, with repeats of titles far apart."""
+    number = F.col("o_orderkey") % 7
+    title = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("分节阅读第"), number.cast("string"), F.lit("节"))).otherwise(F.concat(F.lit("第"), number.cast("string"), F.lit("章 "), F.col("o_orderpriority")))
+    items = _table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("book_id"), F.lit(1).alias("page"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") * 1000).cast("string").alias("id"), title.alias("title"))
+    return toc.merge(toc.with_titles(items))
+
+
+def toc_pages(spark, d):
+    own = stores.renumber(_table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), ["l_suppkey"], ["l_orderkey", "l_linenumber"])
+    return own.groupBy("l_suppkey", "page").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+def history_top30(spark, d):
+    orders = _table(spark, d, "orders").select("o_custkey", "o_orderkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
+    return stores.top_history(orders, "o_custkey", "o_orderkey", "ms", 10)
+
+
+def recent_topk(spark, d):
+    return _events(spark, d).select("event_id", "user_id", "ms").orderBy(F.col("ms").desc(), F.col("event_id").desc()).limit(50)
+
+
+def shelf_order(spark, d):
+    last = _table(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("last"))
+    books = _table(spark, d, "customer").select("c_custkey", "c_name")
+    both = books.join(last, books.c_custkey == last.o_custkey, "left")
+    return both.select("c_custkey", "c_name", F.coalesce("last", F.col("c_custkey")).alias("sort_key")).orderBy(F.col("sort_key").desc(), "c_custkey").limit(100)
+
+
+def _tasks(spark, d):
+    state = F.create_map(*[F.lit(x) for p in (("view", "PENDING"), ("click", "RETRY_AT"), ("error", "RUNNING"), ("signup", "DONE"), ("purchase", "FAILED")) for x in p])
+    return _table(spark, d, "events").select(F.col("event_id").alias("task_id"), "user_id", state[F.col("event_type")].alias("state"), (F.col("user_id") % 5).alias("priority"), (F.col("event_id") * 7 % 1000).alias("next_attempt_at"))
+
+
+_TASKS_SQL = "SELECT event_id AS task_id, user_id, CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'RETRY_AT' WHEN 'error' THEN 'RUNNING' WHEN 'signup' THEN 'DONE' ELSE 'FAILED' END AS state, user_id % 5 AS priority, event_id * 7 % 1000 AS next_attempt_at FROM events"
+
+
+def task_poll(spark, d):
+    return search.due_tasks(_tasks(spark, d), 500, 100)
+
+
+def task_counts(spark, d):
+    return search.reset_orphans(_tasks(spark, d)).groupBy("user_id").agg(F.count_if(F.col("state") == "PENDING").alias("pending"), F.count_if(F.col("state") == "FAILED").alias("failed"))
+
+
+def nearest_in_band(spark, d):
+    own = _events(spark, d)
+    probes = own.filter("event_type = 'purchase'").select("user_id", "ms")
+    points = own.filter("event_type = 'view'").select("user_id", "ms", "event_id")
+    return search.nearest_in_band(probes, points, ["user_id"], "ms", 7_200_000, "event_id")
+
+
+def toc_search(spark, d):
+    return search.toc_search(_table(spark, d, "part").select("p_partkey", "p_name"), "RED", title="p_name", order=("p_partkey",))
+
+
+def in_text_search(spark, d):
+    return search.match_counts(_table(spark, d, "documents"), "the")
+
+
+def search_places(spark, d):
+    own = search.match_places(_table(spark, d, "documents"), "THE", ["doc_id"])
+    return own.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("units"), F.min("start").alias("first"))
+
+
+def search_page(spark, d):
+    places = search.match_places(_table(spark, d, "documents"), "tion", ["doc_id"])
+    return search.match_page(places, ["doc_id"], ["start"], 2, 3).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("total").alias("total"))
+
+
+def neighbours(spark, d):
+    return search.neighbours(_table(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn", "role"], "role").withColumn("index", F.col("index").cast("long"))
+
+
+def store_stats(spark, d):
+    own = _table(spark, d, "documents")
+    return own.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(F.col("n_chars") > 1000).alias("long_ones"))
+
+
+def missing_pages(spark, d):
+    own = _table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.collect_set(F.when(F.col("role") == "assistant", F.col("turn"))).alias("had"))
+    missing = F.sort_array(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("last")), "had"))
+    return own.select("conv_id", F.size(missing).cast("long").alias("n_missing"), F.array_min(missing).alias("first_missing"))
+
+
+def load_chunks(spark, d):
+    pages = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book_id"), (F.col("l_orderkey") % 50).alias("page"))
+    return toc.load_chunks(pages)
+
+
+def page_for_number(spark, d):
+    own = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book_id"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("n"))
+    ranges = own.groupBy("book_id", "page").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumn("total", F.lit(7))
+    return search.page_for_number(ranges, 1234)
+
+
+def nearest_number(spark, d):
+    own = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("number"))
+    return search.nearest_number(own, 100)
+
+
+def semi_anti_delete(spark, d):
+    idle = stores.delete_keys(_table(spark, d, "customer"), _table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    return idle.select("c_custkey", "c_name")
+
+
+def upsert_nonblank(spark, d):
+    old = _table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    new = old.filter("c_custkey % 3 = 0").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 9 == 0, 1_000_000).otherwise(0)).alias("c_custkey"), F.lit(" ").alias("c_name"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise("NEW").alias("c_mktsegment"))
+    return stores.upsert_nonblank(old, new, ["c_custkey"])
+
+
+def never_shrink(spark, d):
+    own = _table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("char_count"), F.size(lines(F.col("text"))).cast("long").alias("paragraph_count"))
+    new = own.filter("doc_id % 2 = 0").select((F.col("doc_id") + F.when(F.col("doc_id") % 10 == 0, 1_000_000).otherwise(0)).alias("doc_id"), (F.col("char_count") + F.col("doc_id") % 7 - 3).alias("char_count"), (F.col("paragraph_count") + F.col("doc_id") % 3).alias("paragraph_count"))
+    return stores.never_shrink(own, new, ["doc_id"])
+
+
+def ttl_live(spark, d):
+    own = flows.with_expiry(_events(spark, d), F.col("event_type") == "purchase", "ms", 86_400_000, 3_600_000)
+    return stores.live(own, F.lit(NOW)).select("event_id", "expires")
+
+
+def lru_victims(spark, d):
+    return stores.lru_victims(_events(spark, d), "user_id", "ms", 20)
+
+
+def gate_schedule(spark, d):
+    own = flows.gate_schedule(_events(spark, d), ["user_id"], "ms", 3_600_000, ["event_id"])
+    return own.select("event_id", "start")
+
+
+def debounced(spark, d):
+    return flows.debounced(_events(spark, d), ["user_id"], "ms", 3_600_000, ["event_id"]).select("event_id")
+
+
+def personal_json(spark, d):
+    own = _table(spark, d, "events").select("user_id", F.from_json("props", "k long").alias("p"))
+    return own.groupBy("user_id").agg(F.sum("p.k").alias("k"), F.count("p.k").alias("n"))
+
+
+def export_text(spark, d):
+    own = _table(spark, d, "conversations").withColumn("id", F.col("turn").cast("string")).dropDuplicates(["conv_id", "turn"])
+    contents = own.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("order_key"), F.col("id").alias("chapter_id"))
+    stored_ = own.filter("turn < 4").select(F.col("conv_id").alias("book_id"), F.col("id").alias("chapter_id"), F.col("role").alias("title"), F.split("text", "\n", -1).alias("paragraphs"))
+    return archives.export_text(contents, stored_).select("book_id", "order_key", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = (
+        stitch_open_lines, clean_lines_stats, cleaned_arrays, consecutive_dup_lines, page_signature_dups, last_by_key, first_by_key, heading_islands,
+        block_pack, block_roundtrip, anchor_to_block, html_title, html_links, html_strip, html_entities, html_paragraphs, url_parts, url_allowlist,
+        normal_titles, upper_median_outliers, extras_keep_max, toc_merge, toc_pages, history_top30, recent_topk, shelf_order, task_poll, task_counts,
+        nearest_in_band, toc_search, in_text_search, search_places, search_page, neighbours, store_stats, missing_pages, load_chunks, page_for_number,
+        nearest_number, semi_anti_delete, upsert_nonblank, never_shrink, ttl_live, lru_victims, gate_schedule, debounced, personal_json, export_text,
+    )
+    return {f.__name__: f for f in found}
+
+
+_PARAGRAPHS_SQL = f"SELECT doc_id, pos, line FROM ({_LINES_SQL}) WHERE trim(line, ' ') <> ''"
+_TAGS_SQL = r"regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '</p\s*>', chr(10), 'gi'), '<[^>]+>', '', 'g')"
+_URL = r"\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://(?:([^/?#@]*)@)?([^/?#:@]*)(?::([0-9]+))?)?([^?#]*)(?:\?([^#]*))?(?:#.*)?\z"
+
+
+def _url(k: int) -> str:
+    return f"nullif(regexp_extract(url, '{_URL}', {k}), '')"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "stitch_open_lines": f"WITH {_CLEAN_SQL} SELECT doc_id, pos, text FROM o",
+        "clean_lines_stats": f"WITH {_CLEAN_SQL} SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM o GROUP BY doc_id",
+        "cleaned_arrays": f"WITH {_CLEAN_SQL} SELECT d.doc_id, count(o.text) AS n_paragraphs, md5(coalesce(string_agg(o.text, chr(10) ORDER BY o.pos), '')) AS digest FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id",
+        "consecutive_dup_lines": f"WITH r AS ({_LINES_SQL}), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM r) SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM p WHERE pos = 0 OR line IS DISTINCT FROM b GROUP BY doc_id",
+        "page_signature_dups": "SELECT doc_id, row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id) > 1 AS absent FROM documents",
+        "last_by_key": f"SELECT user_id, event_type, ms, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms DESC, event_id DESC) AS n FROM ({_EVENTS_SQL})) WHERE n = 1",
+        "first_by_key": f"SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS n FROM ({_EVENTS_SQL})) WHERE n = 1",
+        "heading_islands": _HEADINGS_SQL,
+        "block_roundtrip": f"SELECT doc_id, count(*) AS n_paragraphs, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM ({_PARAGRAPHS_SQL}) GROUP BY doc_id",
+        "html_title": r"""WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<h[12][^>]*>(.*?)</h[12]>', 1), '<[^>]+>', '', 'g') AS h, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g') AS t FROM pages)
+            SELECT page_id, coalesce(nullif(trim(h, ' '), ''), nullif(trim(t, ' '), '')) AS title FROM t""",
+        "html_links": r"""WITH o AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g') AS h FROM pages),
+            a AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))[^>]*>(.*?)</a>', 0)) AS a FROM o),
+            p AS (SELECT page_id, regexp_extract(a, '(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))[^>]*>(.*?)</a>', ['a', 'b', 'c', 't']) AS g FROM a)
+            SELECT page_id, count(*) AS n_links, CAST(sum(length(g.a || g.b || g.c)) AS BIGINT) AS href_chars, CAST(sum(length(regexp_replace(regexp_replace(g.t, '<[^>]+>', '', 'g'), '\s+', '', 'g'))) AS BIGINT) AS text_chars FROM p GROUP BY page_id""",
+        "html_strip": f"SELECT page_id, length({_TAGS_SQL}) AS n_chars FROM pages",
+        "html_paragraphs": r"""SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(p, '<[^>]+>', '', 'g'), ' ') <> '')) AS n_paragraphs FROM pages""",
+        "url_parts": f"SELECT page_id, {_url(1)} AS scheme, {_url(3)} AS host, {_url(5)} AS path, {_url(6)} AS query FROM pages",
+        "url_allowlist": rf"""SELECT page_id, coalesce({_url(1)} IN ('http', 'https') AND {_url(2)} IS NULL AND lower({_url(3)}) IN ('ththre.example.com', 'anea.example.com') AND ({_url(4)} IS NULL OR {_url(4)} IN ('80', '443'))
+            AND regexp_matches({_url(5)}, '\A(?:/[a-z]{{2}}/[0-9]+)\z') AND NOT regexp_matches(url, '(?i)\.\.|[^:]//|%2e|%2f|%5c|\\'), false) AS allowed, {_url(3)} LIKE 'th%' AS th FROM pages""",
+        "normal_titles": "SELECT o_orderkey, '第' || o_orderkey || '章 ' || o_orderpriority AS display_title, o_orderkey AS number, false AS extra, o_orderpriority AS rest FROM orders",
+        "upper_median_outliers": """WITH i AS (SELECT l_suppkey AS book_id, l_linenumber AS page, CAST(trunc(l_quantity) AS BIGINT) AS n FROM lineitem), m AS (SELECT book_id, page, list_sort(list(n))[CAST(floor(count(*) / 2) AS INT) + 1] AS m FROM i WHERE n > 0 GROUP BY 1, 2)
+            SELECT book_id, page, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM i LEFT JOIN m USING (book_id, page) WHERE NOT coalesce(page >= 2 AND n > 0 AND (n * 2 < m OR n > m * 2), false) GROUP BY 1, 2""",
+        "extras_keep_max": "SELECT p_brand AS book_id, p_type AS display_title, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CAST(p_size AS BIGINT) AS number FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey DESC) AS n FROM part) WHERE n = 1",
+        "toc_pages": "WITH r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem) SELECT l_suppkey, CAST(pos // 100 + 1 AS INT) AS page, count(*) AS n, CAST(max(pos) AS INT) AS last FROM r GROUP BY 1, 2",
+        "history_top30": "WITH l AS (SELECT o_custkey, o_orderkey, max(epoch_ms(o_orderdate)) AS ms FROM orders GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY ms DESC, o_orderkey) AS INT) AS rank FROM l) SELECT * FROM r WHERE rank <= 10",
+        "recent_topk": f"SELECT event_id, user_id, ms FROM ({_EVENTS_SQL}) ORDER BY ms DESC, event_id DESC LIMIT 50",
+        "shelf_order": "SELECT c_custkey, c_name, coalesce(l.ms, c_custkey) AS sort_key FROM customer LEFT JOIN (SELECT o_custkey, max(epoch_ms(o_orderdate)) AS ms FROM orders GROUP BY 1) l ON l.o_custkey = c_custkey ORDER BY sort_key DESC, c_custkey LIMIT 100",
+        "task_poll": f"SELECT * FROM ({_TASKS_SQL}) WHERE state = 'PENDING' OR (state = 'RETRY_AT' AND next_attempt_at <= 500) ORDER BY priority DESC, next_attempt_at, task_id LIMIT 100",
+        "task_counts": f"SELECT user_id, count(*) FILTER (state IN ('PENDING', 'RUNNING')) AS pending, count(*) FILTER (state = 'FAILED') AS failed FROM ({_TASKS_SQL}) GROUP BY user_id",
+        "nearest_in_band": f"""WITH e AS ({_EVENTS_SQL}), p AS (SELECT DISTINCT user_id, ms FROM e WHERE event_type = 'purchase'), j AS (SELECT p.user_id, p.ms, v.event_id AS id, v.ms AS point, abs(v.ms - p.ms) AS gap FROM p JOIN e v ON v.user_id = p.user_id AND v.event_type = 'view' AND abs(v.ms - p.ms) <= 7200000)
+            SELECT user_id, ms, id, point, gap FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ms ORDER BY gap, id, point) AS n FROM j) WHERE n = 1""",
+        "toc_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') ORDER BY p_partkey LIMIT 60",
+        "in_text_search": "SELECT doc_id, CAST(len(string_split(lower(text), 'the')) - 1 AS BIGINT) AS n_matches FROM documents WHERE contains(lower(text), 'the')",
+        "search_places": "SELECT doc_id, CAST(len(string_split(lower(text), 'the')) - 1 AS BIGINT) AS n, CAST(3 * (len(string_split(lower(text), 'the')) - 1) AS BIGINT) AS units, CAST(strpos(lower(text), 'the') - 1 AS INT) AS first FROM documents WHERE contains(lower(text), 'the')",
+        "search_page": "SELECT doc_id, least(t - 2, 3) AS n, t AS total FROM (SELECT doc_id, len(string_split(lower(text), 'tion')) - 1 AS t FROM documents) WHERE t > 2",
+        "neighbours": "SELECT conv_id, turn, role, lag(role) OVER w AS prev_id, lead(role) OVER w AS next_id, row_number() OVER w - 1 AS index FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)",
+        "store_stats": "SELECT source, count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) FILTER (n_chars > 1000) AS long_ones FROM documents GROUP BY source",
+        "missing_pages": "WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1), a AS (SELECT conv_id, unnest(range(last + 1)) AS t FROM l), m AS (SELECT a.* FROM a ANTI JOIN (SELECT * FROM conversations WHERE role = 'assistant') c ON c.conv_id = a.conv_id AND c.turn = a.t) SELECT l.conv_id, count(m.t) AS n_missing, min(m.t) AS first_missing FROM l LEFT JOIN m USING (conv_id) GROUP BY 1",
+        "load_chunks": "WITH p AS (SELECT DISTINCT l_suppkey AS book_id, l_orderkey % 50 AS page FROM lineitem), r AS (SELECT *, page - row_number() OVER (PARTITION BY book_id ORDER BY page) AS run FROM p), c AS (SELECT *, (row_number() OVER (PARTITION BY book_id, run ORDER BY page) - 1) // 4 AS chunk FROM r) SELECT book_id, min(page) AS first, max(page) AS last FROM c GROUP BY book_id, run, chunk",
+        "page_for_number": """WITH r AS (SELECT l_suppkey AS book_id, l_linenumber AS page, min(l_orderkey) AS low, max(l_orderkey) AS high FROM lineitem GROUP BY 1, 2), g AS (SELECT *, CASE WHEN 1234 < low THEN low - 1234 WHEN 1234 > high THEN 1234 - high ELSE 0 END AS gap FROM r),
+            b AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY gap, page) AS n FROM g) SELECT book_id, CASE WHEN gap <= 200 THEN page ELSE 7 END AS page FROM b WHERE n = 1""",
+        "nearest_number": "WITH t AS (SELECT l_suppkey AS book_id, l_orderkey * 10 + l_linenumber AS pos, l_partkey AS number FROM lineitem) SELECT book_id, pos, number FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY abs(number - 100), pos) AS n FROM t) WHERE n = 1",
+        "semi_anti_delete": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "upsert_nonblank": """WITH n AS (SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'NEW' END AS s FROM customer WHERE c_custkey % 3 = 0)
+            SELECT coalesce(c.c_custkey, n.k) AS c_custkey, c.c_name, coalesce(nullif(n.s, ''), c.c_mktsegment) AS c_mktsegment FROM customer c FULL JOIN n ON n.k = c.c_custkey""",
+        "never_shrink": f"""WITH o AS (SELECT d.doc_id, d.n_chars AS cc, l.n AS pc FROM documents d JOIN (SELECT doc_id, count(*) AS n FROM ({_LINES_SQL}) GROUP BY 1) l USING (doc_id)),
+            n AS (SELECT doc_id + CASE WHEN doc_id % 10 = 0 THEN 1000000 ELSE 0 END AS doc_id, cc + doc_id % 7 - 3 AS cc, pc + doc_id % 3 AS pc FROM o WHERE doc_id % 2 = 0),
+            b AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, o.cc, o.pc, n.cc AS nc, n.pc AS np, coalesce(n.cc > 0 AND (o.doc_id IS NULL OR NOT (o.cc > n.cc OR o.pc > n.pc)), false) AS take, o.doc_id IS NOT NULL AS old FROM o FULL JOIN n ON n.doc_id = o.doc_id)
+            SELECT doc_id, CASE WHEN take THEN nc ELSE cc END AS char_count, CASE WHEN take THEN np ELSE pc END AS paragraph_count FROM b WHERE take OR old""",
+        "ttl_live": f"SELECT event_id, ms + CASE WHEN event_type = 'purchase' THEN 86400000 ELSE 3600000 END AS expires FROM ({_EVENTS_SQL}) WHERE ms + CASE WHEN event_type = 'purchase' THEN 86400000 ELSE 3600000 END >= {NOW}",
+        "lru_victims": f"SELECT user_id, last_touch FROM (SELECT user_id, max(ms) AS last_touch, row_number() OVER (ORDER BY max(ms) DESC, user_id) AS n FROM ({_EVENTS_SQL}) GROUP BY user_id) WHERE n > 20",
+        "gate_schedule": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) * 3600000 AS n FROM ({_EVENTS_SQL})) SELECT event_id, max(ms - n) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) + n AS start FROM e",
+        "debounced": f"SELECT event_id FROM (SELECT event_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS nx FROM ({_EVENTS_SQL})) WHERE nx IS NULL OR nx - ms >= 3600000",
+        "personal_json": "SELECT user_id, CAST(sum(CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY user_id",
+        "export_text": "SELECT conv_id AS book_id, turn AS order_key, md5(role || chr(10) || chr(10) || text || chr(10)) AS digest FROM conversations WHERE turn < 4",
+    }
