@@ -6,8 +6,8 @@ contiguous slice, and the signature is the minimum over the slices.
 
 Equal shingle sets are one class first, so copies never become pairs. Members of a band's bucket are compared with a few
 pivots of the bucket, not with each other; links found so join classes to components. Only pairs of classes that share a
-bucket and are still in different components are left; of these, those which a bound from their numbers of shared and
-unshared shingles can't exclude are compared too. Every comparison is on full sets, and every pair of a bucket is linked,
+bucket and are still in different components are left; of these, those which a bound can't exclude are compared too: two sets
+share no more than, summed over PARTS parts of the hash range, the smaller of their counts of shingles that anyone shares. Every comparison is on full sets, and every pair of a bucket is linked,
 in one component already, excluded by the bound or compared: banding is the only step that can miss a link, with
 probability (1 - 0.8**5)**34, about one in 700,000, at a similarity of exactly 0.8 and less above it.
 """
@@ -27,6 +27,7 @@ from .common import mix, small_or_shuffled, stored, window_hashes, words_of
 #: Signature layout: BANDS bands of ROWS coordinates; positions of the two permutations.
 BANDS, ROWS, UNIVERSE = 34, 5, 1 << 20
 PIVOTS = 3
+PARTS = 128
 _ring: list[np.ndarray] = []
 
 
@@ -80,6 +81,20 @@ def _full_sets(size: int):
     return run
 
 
+def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set, the shingles that no other has, and those that some other has by part of the hash range."""
+    for batch in batches:
+        alone, common, parts = [], [], []
+        for items, own in zip(batch.column(1), batch.column(2), strict=True):
+            k = np.bincount(items.values.to_numpy() % PARTS, minlength=PARTS)
+            if own.is_valid:
+                k -= np.bincount(own.values.to_numpy() % PARTS, minlength=PARTS)
+            common.append(int(k.sum()))
+            alone.append(len(items) - common[-1])
+            parts.append(k.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alone, pa.int64()), pa.array(common, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], ["node", "alone", "common", "parts"])
+
+
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b): label is the smallest node that can be reached.
 
@@ -136,16 +151,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
     rest = stored(labelled.join(split, "bucket"), "rest")
     own = rest.select("node").distinct()
-    items = sets.join(own, "node", "left_semi").select("node", F.size("items").alias("n"), "items")
-    lone = items.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = stored(items.select("node", "n").join(lone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")), "sizes")
-    # A class none of whose partners could reach the threshold with what it shares with anyone is done.
-    sized = rest.join(sizes, "node").filter(F.col("common") * 100 >= F.lit(percent) * (F.col("common") + F.col("alone")))
-    x, y = (sized.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "alone", "common")]) for s in "xy")
+    items = sets.join(own, "node", "left_semi")
+    lone = items.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.collect_list("item").alias("lone"))
+    counted = items.join(lone, "node", "left").select("node", "items", "lone").mapInArrow(_part_counts, "node long, alone long, common long, parts array<int>")
+    # A class that could reach the threshold with no partner, given what it shares with anyone, is done.
+    counted = stored(counted.filter(F.col("common") * 100 >= F.lit(percent) * (F.col("common") + F.col("alone"))), "counts")
+    sized = rest.join(counted, "node")
+    x, y = (sized.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "alone", "common", "parts")]) for s in "xy")
+    most = F.aggregate(F.zip_with("parts_x", "parts_y", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, k: total + k)
+    all_ = F.col("alone_x") + F.col("common_x") + F.col("alone_y") + F.col("common_y")
     open_ = x.join(y, "bucket").filter(
         (F.col("node_x") < F.col("node_y"))
         & (F.col("label_x") != F.col("label_y"))
-        & (F.least("common_x", "common_y") * 100 >= F.lit(percent) * (F.greatest("common_x", "common_y") + F.col("alone_x") + F.col("alone_y")))
+        & (F.least("common_x", "common_y") * (100 + percent) >= F.lit(percent) * all_)
+        & (most * (100 + percent) >= F.lit(percent) * all_)
     )
     late = _linked(stored(open_.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "late-pairs"), sets, percent)
     late = stored(late, "late")
