@@ -1,7 +1,7 @@
 """Token ids of public tokenizers, with each distinct word encoded once for a while.
 
-Both tokenizers cut a text before every space that follows and precedes other characters and around line ends, and a
-letter run before a full stop, comma or exclamation mark is cut off there too. A text's ids are therefore those of such
+Both tokenizers cut a text before every space that follows and precedes other characters and around line ends; where spaces
+count, a letter run before a full stop, comma or exclamation mark is cut off too. A text's ids are therefore those of such
 units in a row, and a unit met before needs no second encoding. Texts with any other white space are encoded as a whole.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 _ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WITH_SPACES = re.compile(rf" ?{_LETTERS}+(?=[ \n.,!]|\Z)| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-_WORDS_ONLY = re.compile(rf"{_LETTERS}+(?=[ \n.,!]|\Z)|[^ \n]+")
+_BLANK_LINE = re.compile(r"^ *$", re.MULTILINE)
 _WHOLE = "\0whole\0"
 
 
@@ -27,12 +27,12 @@ class UnitEncoder:
     ``limit``: units remembered at most; beyond it only those used again since are kept.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool, limit: int = 500_000):
+    def __init__(self, path: str, keeps_spaces: bool, limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units = _WITH_SPACES if keeps_spaces else _WORDS_ONLY
+        self.keeps_spaces = keeps_spaces
         # Between units that are encoded together: it always gives this one id, and units that hold it are encoded alone.
         self.mark, self.between = ("\n", "\n") if keeps_spaces else ("\x01", " \x01 ")
         (self.mark_id,) = self._ids(self.mark)
@@ -73,16 +73,33 @@ class UnitEncoder:
         return self.flat[np.repeat(self.starts[numbers] - before, lengths) + np.arange(lengths.sum())]
 
     def _learn(self, fresh: list[str]) -> None:
-        for k in range(0, len(fresh), 200):
-            part = fresh[k : k + 200]
-            if not any(self.mark in u or u.isspace() or u.startswith(_WHOLE) for u in part):
-                ids = np.array(self._ids(self.between.join(part)), np.uint32)
-                cut = np.flatnonzero(ids == self.mark_id)
+        ids, lengths = [], []
+        for k in range(0, len(fresh), 100):
+            part = fresh[k : k + 100]
+            text = self.between.join(part)
+            if text.count(self.mark) == len(part) - 1 and _WHOLE not in text and not (self.keeps_spaces and _BLANK_LINE.search(text)):
+                own = np.array(self._ids(text), np.uint32)
+                cut = np.flatnonzero(own == self.mark_id)
                 if len(cut) == len(part) - 1:
-                    self._append(np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                    ids.append(np.delete(own, cut))
+                    lengths.append(np.diff(np.concatenate([[-1], cut, [len(own)]])) - 1)
                     continue
             each = [np.array(self._ids(u.removeprefix(_WHOLE)), np.uint32) for u in part]
-            self._append(np.concatenate(each), np.array([len(x) for x in each], np.int64))
+            ids += each
+            lengths.append(np.array([len(x) for x in each], np.int64))
+        self._append(np.concatenate(ids), np.concatenate(lengths))
+
+    def _units(self, text: str) -> list[str]:
+        if _ODD.search(text) or _WHOLE in text:
+            return [_WHOLE + text]
+        if self.keeps_spaces:
+            return _WITH_SPACES.findall(text)
+        try:  # this vocabulary is lower case; within Latin-1 each letter has one lower-case letter
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return text.split()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
@@ -90,7 +107,7 @@ class UnitEncoder:
             self._trim()
         old, numbers = len(self.known), []
         for text in texts:
-            units = [_WHOLE + text] if _ODD.search(text) or _WHOLE in text else self.units.findall(text)
+            units = self._units(text)
             numbers.append(np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)))
         if len(self.known) > old:
             self._learn(list(islice(self.known, old, None)))

@@ -44,9 +44,10 @@ def token_arrays(texts: list[str | None], path: str, keeps_spaces: bool, end_id:
 
 
 def train_dictionary(docs: DataFrame, path: str, keeps_spaces: bool, end_id: int, width: int) -> bytes:
-    """A zstandard dictionary from the serialized ids of a bounded sample: the SAMPLE_DOCS short documents with the smallest row hash."""
-    short = docs.filter(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
-    texts = [r.text for r in short.select("text").collect()]
+    """A zstandard dictionary from the serialized ids of a bounded sample: the short ones of the SAMPLE_DOCS documents with the smallest id hash."""
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    short = docs.filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = sorted(r.text for r in short.select("text").limit(2 * SAMPLE_DOCS).collect())
     samples = [a.astype(f"<u{width}").tobytes() for a in token_arrays(texts, path, keeps_spaces, end_id)]
     if sum(map(len, samples)) < 8 * 1024 or len(samples) < 16:
         return b""  # too little to train on: frames then have no dictionary
@@ -57,8 +58,13 @@ def train_dictionary(docs: DataFrame, path: str, keeps_spaces: bool, end_id: int
         return b""
 
 
-def _dictionary(content: bytes):
-    return {"dict_data": zstandard.ZstdCompressionDict(content)} if content else {}
+def _dictionary(content: bytes, compress: bool = False) -> dict:
+    if not content:
+        return {}
+    own = zstandard.ZstdCompressionDict(content)
+    if compress:
+        own.precompute_compress(level=LEVEL)  # else each document digests the dictionary anew
+    return {"dict_data": own}
 
 
 def write(docs: DataFrame, store: str, tokenizer: str, keeps_spaces: bool, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -76,7 +82,7 @@ def write(docs: DataFrame, store: str, tokenizer: str, keeps_spaces: bool, end_i
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block = TaskContext.get().partitionId(), 0
         made: list[tuple[int | None, bytes, int]] = []
-        compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **_dictionary(content))
+        compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **_dictionary(content, compress=True))
 
         def out() -> pa.RecordBatch:
             ids, frames, counts = zip(*made, strict=True)
