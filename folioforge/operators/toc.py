@@ -105,7 +105,7 @@ def page_state(pages: DataFrame) -> DataFrame:
     """
     known = pages.groupBy("book_id").agg(F.max("total_pages").alias("total"), F.collect_set(F.when(F.col("status") == "loaded", F.col("page"))).alias("loaded"), F.collect_set(F.when(F.col("status") == "failed", F.col("page"))).alias("failed"), F.bool_or(F.col("status") == "loading").alias("loading"))
     left = F.array_except(F.array_except(F.sequence(F.lit(1), F.greatest("total", F.lit(1))), "loaded"), "failed")
-    state = F.when(F.size("loaded") >= F.col("total"), "complete").when("loading", "loading").when(F.size(left) == 0, "exhausted").otherwise("partial")
+    state = F.when(F.size("loaded") >= F.col("total"), "complete").when(F.col("loading"), "loading").when(F.size(left) == 0, "exhausted").otherwise("partial")
     return known.select("book_id", state.alias("state"), F.array_min(left).alias("next_page"))
 
 
