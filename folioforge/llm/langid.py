@@ -60,8 +60,9 @@ class Model:
 
 
 def fit(texts: list[str], languages: list[str]) -> Model:
+    """Without any text there is no language, and every text is ``und``."""
     if not texts:
-        raise ValueError("no text with a known language to learn from")
+        return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], {})
     x = np.log1p(np.concatenate([counts(texts[k : k + 500]) for k in range(0, len(texts), 500)]))
     idf = np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
     x = _normalised(x * idf)
@@ -108,6 +109,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             texts = batch.column(1).to_pylist()
             for k in range(0, len(texts), 500):
                 part = texts[k : k + 500]
+                if not names:
+                    none = [pa.array([v] * len(part), t) for v, t in (("und", pa.string()), (0.0, pa.float64()), (1.0, pa.float64()), (True, pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(part)), *none], ["doc_id", "lang_pred", "score", "distance", "rejected"])
+                    continue
                 cosine = m.vectors(part) @ m.centroids.T
                 best = np.stack([cosine[:, owner == j].max(axis=1) for j in range(len(names))], axis=1)
                 top = best.argmax(axis=1)

@@ -29,6 +29,7 @@ def test_languages(spark):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
     assert got[903].rejected and not any(got[i].rejected for i in range(len(test)))
     assert langid.identify(docs.limit(0), model).count() == 0
+    assert {r.lang_pred for r in langid.identify(docs, langid.fit([], [])).collect()} == {"und"}
 
 
 def test_toxicity_generalises_to_misspellings(spark):
