@@ -105,3 +105,10 @@ def search_query(text: Column) -> Column:
     """A collapsed query of 1 to 30 code points; null for others and for control characters."""
     own = collapse(text)
     return F.when(~text.rlike(r"[\x00-\x1f\x7f]") & F.length(own).between(1, 30), own)
+
+
+def size_estimate_mb(said: Column) -> Column:
+    """Megabytes of a book of so many characters, said as a number or in ten thousands (万): 0.9 MB per million; null for anything else."""
+    number = F.regexp_extract(said, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    chars = number * F.when(F.contains(said, F.lit("万")), 10_000).otherwise(1)
+    return chars / 1_000_000 * 0.9

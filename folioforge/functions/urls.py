@@ -53,3 +53,13 @@ def chapter_url(base: str, book_id: Column, chapter_id: Column, page: Column) ->
     """Null for page numbers outside 0 to 39."""
     tail = F.when(page > 0, F.concat(F.lit("_"), page.cast("string"))).otherwise("")
     return F.when(page.between(0, 39), F.concat(F.lit(f"{base}/book/"), book_id, F.lit("/"), chapter_id, tail, F.lit(".html")))
+
+
+def toc_range_is_valid(first: Column, last: Column, most: int = 999, span: int = 6) -> Column:
+    """1 <= first <= last <= most, and no more than ``span`` pages."""
+    return F.coalesce((first >= 1) & (first <= last) & (last <= most) & (last - first < span), F.lit(False))
+
+
+def is_online(book_id: Column) -> Column:
+    """Whether a book's chapters can be fetched: any source but the local one."""
+    return F.coalesce(route(book_id) != "local", F.lit(False))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.titles import title_key
+
 LIMIT = 60
 
 
@@ -100,3 +102,18 @@ def due_tasks(tasks: DataFrame, now: int, limit: int) -> DataFrame:
 
 def reset_orphans(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("state", F.when(F.col("state") == "RUNNING", "PENDING").otherwise(F.col("state")))
+
+
+def alternatives(books: DataFrame, hits: DataFrame) -> DataFrame:
+    """book_id, hit_id, exact of the search hits (book_id, rank, hit_id, title) of books (book_id, title): the first of the same title key,
+    else the first. Books without hits give no row."""
+    both = hits.withColumnRenamed("title", "hit_title").join(books.select("book_id", "title"), "book_id")
+    exact = title_key(F.col("title")) == title_key(F.col("hit_title"))
+    return both.groupBy("book_id").agg(F.min_by(F.struct("hit_id", exact.alias("exact")), F.struct(~exact, F.col("rank"))).alias("h")).select("book_id", "h.*")
+
+
+def same_chapter(chapter: DataFrame, other: DataFrame) -> DataFrame:
+    """book_id, chapter_id, other_id of chapters (book_id, chapter_id, title) with the same title key in another source, first by pos."""
+    left = chapter.select("book_id", "chapter_id", title_key(F.col("title")).alias("key"))
+    right = other.select("book_id", F.col("chapter_id").alias("other_id"), "pos", title_key(F.col("title")).alias("key"))
+    return left.join(right, ["book_id", "key"]).groupBy("book_id", "chapter_id").agg(F.min_by("other_id", "pos").alias("other_id"))

@@ -115,3 +115,23 @@ def load_chunks(pages: DataFrame, most: int = 4) -> DataFrame:
     runs = pages.distinct().withColumn("run", F.col("page") - F.row_number().over(order))
     chunks = runs.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("book_id", "run").orderBy("page")) - 1) / most))
     return chunks.groupBy("book_id", "run", "chunk").agg(F.min("page").alias("first"), F.max("page").alias("last")).select("book_id", "first", "last")
+
+
+def shown(toc: DataFrame, which: str = "all") -> DataFrame:
+    """All entries, those of the main text or the extras."""
+    return toc if which == "all" else toc.filter(F.col("extra") == (which == "extra"))
+
+
+def shown_counts(toc: DataFrame) -> DataFrame:
+    """book_id, all, main, extra."""
+    return toc.groupBy("book_id").agg(F.count("*").alias("all"), F.count_if(~F.col("extra")).alias("main"), F.count_if("extra").alias("extra"))
+
+
+def range_result(pages: DataFrame) -> DataFrame:
+    """book_id, total_pages (0 if no page says), pages and failed_pages of loaded ranges (book_id, page, outcome, total_pages)."""
+    own = pages.groupBy("book_id").agg(
+        F.coalesce(F.min_by("total_pages", F.when(F.col("total_pages").isNotNull(), F.col("page"))), F.lit(0)).alias("total_pages"),
+        F.sort_array(F.collect_set(F.when(F.col("outcome") == "ok", F.col("page")))).alias("pages"),
+        F.sort_array(F.collect_set(F.when(F.col("outcome") != "ok", F.col("page")))).alias("failed_pages"),
+    )
+    return own

@@ -2,7 +2,10 @@
 
 import base64
 
-from folioforge.operators import chapters, parse
+from pyspark.sql import functions as F
+
+from folioforge.functions import text, urls
+from folioforge.operators import chapters, parse, search, toc
 from folioforge.sources import personal
 
 
@@ -42,3 +45,16 @@ def test_personal_round_trip(spark):
     bad = spark.createDataFrame([("x", "{"), ("y", '{"version":1,"books":{"a b":{"history":[{"chapter_id":"1","updated_at":1}]},"c":{"history":[{"chapter_id":"z","updated_at":1},{"chapter_id":"2","updated_at":-1},{"chapter_id":"3","updated_at":1}]}}}')], "user_id string, document string")
     records, rejected = personal.import_json(bad)
     assert [(r.book_id, r.chapter_id) for r in records.collect()] == [("c", "3")] and rejected.first().user_id == "x"
+
+
+def test_small_rules(spark):
+    rows = spark.createDataFrame([("1", "书名", 1, 2, "12万字"), ("local-1", "x", 3, 9, "?")], "book_id string, title string, a int, b int, said string")
+    got = rows.select(urls.is_online(F.col("book_id")), urls.toc_range_is_valid(F.col("a"), F.col("b")), F.round(text.size_estimate_mb(F.col("said")), 3)).collect()
+    assert [tuple(r) for r in got] == [(True, True, 0.108), (False, False, None)]
+    hits = spark.createDataFrame([("1", 1, "h1", "别的"), ("1", 2, "h2", "书 名"), ("local-1", 1, "h3", "y")], "book_id string, rank int, hit_id string, title string")
+    assert sorted(map(tuple, search.alternatives(rows, hits).collect())) == [("1", "h2", True), ("local-1", "h3", False)]
+    entries = spark.createDataFrame([("1", "a", "题", 0, False), ("1", "b", "题", 1, True)], "book_id string, chapter_id string, title string, pos int, extra boolean")
+    assert search.same_chapter(entries, entries).orderBy("chapter_id").first().other_id == "a"
+    assert tuple(toc.shown_counts(entries).first()) == ("1", 2, 1, 1) and toc.shown(entries, "extra").count() == 1
+    pages = spark.createDataFrame([("1", 1, "ok", None), ("1", 2, "ok", 5), ("1", 3, "failed", None)], "book_id string, page int, outcome string, total_pages int")
+    assert tuple(toc.range_result(pages).first()) == ("1", 5, [1, 2], [3])
