@@ -27,7 +27,7 @@ class UnitEncoder:
     ``limit``: units remembered at most; beyond it only those used again since are kept.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool, limit: int = 900_000):
+    def __init__(self, path: str, keeps_spaces: bool, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -124,5 +124,6 @@ _encoders: dict[tuple[str, bool], UnitEncoder] = {}
 def encoder(path: str, keeps_spaces: bool) -> UnitEncoder:
     """One encoder for each vocabulary file in this process."""
     if (path, keeps_spaces) not in _encoders:
-        _encoders[path, keeps_spaces] = UnitEncoder(path, keeps_spaces)
+        # Encoding a word of the second kind costs more, so more of them are remembered.
+        _encoders[path, keeps_spaces] = UnitEncoder(path, keeps_spaces, 250_000 if keeps_spaces else 900_000)
     return _encoders[path, keeps_spaces]

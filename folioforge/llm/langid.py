@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 12
 CENTROIDS, ROUNDS = 4, 8
@@ -105,24 +107,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         names = sorted(set(m.languages))
         owner = np.array([names.index(n) for n in m.languages])
         reach = np.array([m.reach[n] for n in names])
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), 500):
-                part = texts[k : k + 500]
-                if not names:
-                    none = [pa.array([v] * len(part), t) for v, t in (("und", pa.string()), (0.0, pa.float64()), (1.0, pa.float64()), (True, pa.bool_()))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(part)), *none], ["doc_id", "lang_pred", "score", "distance", "rejected"])
-                    continue
-                cosine = m.vectors(part) @ m.centroids.T
-                best = np.stack([cosine[:, owner == j].max(axis=1) for j in range(len(names))], axis=1)
-                top = best.argmax(axis=1)
-                share = np.exp(20 * (best - best.max(axis=1, keepdims=True)))
-                score = share.max(axis=1) / share.sum(axis=1)
-                distance = 1 - best.max(axis=1)
-                letters = np.array([t is not None and any(map(str.isalpha, t)) for t in part])
-                lang = [names[j] if ok else "und" for j, ok in zip(top, letters, strict=True)]
-                cols = [batch.column(0).slice(k, len(part)), pa.array(lang), pa.array(np.where(letters, score, 0.0).astype(float)), pa.array(distance.astype(float)), pa.array((distance > reach[top]) | ~letters)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score", "distance", "rejected"])
+            if not names:
+                none = [pa.array([v] * len(texts), t) for v, t in (("und", pa.string()), (0.0, pa.float64()), (1.0, pa.float64()), (True, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *none], ["doc_id", "lang_pred", "score", "distance", "rejected"])
+                continue
+            cosine = m.vectors(texts) @ m.centroids.T
+            best = np.stack([cosine[:, owner == j].max(axis=1) for j in range(len(names))], axis=1)
+            top = best.argmax(axis=1)
+            share = np.exp(20 * (best - best.max(axis=1, keepdims=True)))
+            score = share.max(axis=1) / share.sum(axis=1)
+            distance = 1 - best.max(axis=1)
+            letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts])
+            lang = [names[j] if ok else "und" for j, ok in zip(top, letters, strict=True)]
+            cols = [batch.column(0), pa.array(lang), pa.array(np.where(letters, score, 0.0).astype(float)), pa.array(distance.astype(float)), pa.array((distance > reach[top]) | ~letters)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score", "distance", "rejected"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "doc_id long, lang_pred string, score double, distance double, rejected boolean")

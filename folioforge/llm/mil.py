@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import adam, sigmoid, window_hashes
+from .common import adam, release, sigmoid, small_batches, window_hashes
 
 #: Words of a passage.
 PASSAGE = 64
@@ -145,6 +145,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id",
 
 def scored(spark: SparkSession, model: dict[str, np.ndarray], text: Column) -> Column:
     """The score of a text column, in Arrow batches."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -152,5 +153,6 @@ def scored(spark: SparkSession, model: dict[str, np.ndarray], text: Column) -> C
         for texts in batches:
             out = [scores(shared.value, texts.iloc[k : k + 200].to_list()) for k in range(0, len(texts), 200)]
             yield pd.Series(np.concatenate([*out, np.zeros(0)]))
+        release()
 
     return run(text)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_or_shuffled, stored, window_hashes, words_of
+from .common import mix, slices, small_batches, small_or_shuffled, stored, window_hashes, words_of
 
 #: Signature layout: BANDS bands of ROWS coordinates; positions of the two permutations.
 BANDS, ROWS, UNIVERSE = 34, 5, 1 << 20
@@ -60,7 +60,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, sets, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 s = np.unique(window_hashes(words_of(text), size))
@@ -74,7 +74,7 @@ def _sketches(size: int):
 
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(window_hashes(words_of(t), size)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
 
@@ -129,6 +129,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     is never the smallest of a component, nor kept. Other columns of ``docs`` are not read. An empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     rows = stored(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
     # Copies are one class, named by its smallest id; its bands are those of any member.
     classes = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
 from .tokenstore import token_arrays
 
 #: A window ends at so many documents or characters, whichever comes first.
@@ -106,17 +107,18 @@ def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int, limit
     tokens (null: all). Rows are packed as they come, so repeated ids stay apart; a null id stays null. Sequence ids
     are unique, not dense. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     share = F.coalesce(F.col(loss_col).cast("double"), F.lit(1.0)) if loss_col else F.lit(1.0)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() * _SEQUENCES_PER_TASK
-        for batch in batches:
+        for batch in slices(batches, WINDOW_DOCS):
             ids, texts, shares = (batch.column(k).to_pylist() for k in range(3))
             sums = np.cumsum([len(t or "") + 1 for t in texts])
             a = 0
             while a < len(ids):
-                b = max(a + 1, min(a + WINDOW_DOCS, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + WINDOW_CHARS))))
+                b = max(a + 1, min(len(ids), int(np.searchsorted(sums, (sums[a - 1] if a else 0) + WINDOW_CHARS))))
                 tokens = token_arrays(texts[a:b], tokenizer, keeps_spaces, end_id)
                 pieces = pack_window(np.array([len(x) for x in tokens]), np.array(shares[a:b]), limits)
                 cols: list[list] = [[] for _ in range(9)]

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import slices, small_batches
 from .encode import encoder
 
 #: The dictionary is trained on so many documents at most, none with more characters than the second number.
@@ -74,6 +75,7 @@ def write(docs: DataFrame, store: str, tokenizer: str, keeps_spaces: bool, end_i
     Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     content = train_dictionary(docs, tokenizer, keeps_spaces, end_id, width)
     sha = hashlib.sha256(content).hexdigest()
@@ -91,15 +93,14 @@ def write(docs: DataFrame, store: str, tokenizer: str, keeps_spaces: bool, end_i
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, _BLOCK_TYPES, strict=True)], _BLOCK_NAMES)
 
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(ids), 500):
-                for i, a in zip(ids[k : k + 500], token_arrays(texts[k : k + 500], tokenizer, keeps_spaces, end_id), strict=True):
-                    made.append((i, compressor.compress(a.astype(f"<u{width}").tobytes()), len(a)))
-                    held += len(made[-1][1])
-                    if held >= BLOCK_BYTES:
-                        yield out()
-                        made, held, block = [], 0, block + 1
+            for i, a in zip(ids, token_arrays(texts, tokenizer, keeps_spaces, end_id), strict=True):
+                made.append((i, compressor.compress(a.astype(f"<u{width}").tobytes()), len(a)))
+                held += len(made[-1][1])
+                if held >= BLOCK_BYTES:
+                    yield out()
+                    made, held, block = [], 0, block + 1
         if made:
             yield out()
 
