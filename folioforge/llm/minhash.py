@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -98,20 +99,23 @@ def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b): label is the smallest node that can be reached.
 
-    Labels spread to neighbours and through pointer jumps, so rounds grow with the logarithm of a component's width. Each round is
-    written out; joins on hub nodes are ones that adaptive execution can split.
+    A node that finds a smaller label gives it to the node of its old label as well, so what shared the old label moves together; a
+    pointer jump follows. Labels only get smaller, and rounds go on until none changes: then neighbours have equal labels. On chains of
+    n nodes (rising, rising then falling, random ids) that took about log2(n) rounds, 18 for 300,000. Each round is written out; joins
+    on hub nodes are ones that adaptive execution can split.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b"), f"{name}-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
-    for k in range(100):
+    for k in count():
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         better = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = better.select(F.col("node").alias("via"), F.col("label").alias("to"))
-        done = stored(better.join(jump, better.label == jump.via).select("node", "old", F.col("to").alias("label")), f"{name}-{k}")
+        hooks = better.filter("label < old").select(F.col("old").alias("node"), F.lit(None).cast("long").alias("old"), "label")
+        moved = better.union(hooks).groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("label"))
+        jump = moved.select(F.col("node").alias("via"), F.col("label").alias("to"))
+        done = stored(moved.join(jump, moved.label == jump.via).select("node", "old", F.col("to").alias("label")), f"{name}-{k}")
         labels = done.select("node", "label")
         if not done.filter("label <> old").take(1):
-            break
-    return labels
+            return labels
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

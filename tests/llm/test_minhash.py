@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 
 from folioforge.llm.common import window_hashes, words_of
-from folioforge.llm.minhash import BANDS, ROWS, UNIVERSE, near_duplicates, signature
+from folioforge.llm.minhash import BANDS, ROWS, UNIVERSE, components, near_duplicates, signature
 
 
 def brute(rows, size, percent):
@@ -54,6 +54,15 @@ def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    """Ids that rise then fall, and random ids: each chain is one component, however many nodes it has."""
+    n = 3000
+    chains = [[*range(0, n, 2), *range(n - 1, 0, -2)], (n + np.random.default_rng(5).permutation(n)).tolist()]
+    edges = spark.createDataFrame([e for c in chains for e in itertools.pairwise(c)], "a long, b long")
+    got = {r.node: r.label for r in components(edges).collect()}
+    assert got == {k: k // n * n for k in range(2 * n)}
+
+
 def test_circulant_signature():
     """Each coordinate is the minimum of one permutation, shifted by one more each time, over scattered positions."""
     s = np.unique(window_hashes(words_of("to be or not to be that is the question"), 2))
