@@ -2,7 +2,8 @@
 
 Both tokenizers cut a text before every space that follows and precedes other characters and around line ends; where spaces
 count, a letter run before a full stop, comma or exclamation mark is cut off too. A text's ids are therefore those of such
-units in a row, and a unit met before needs no second encoding. Texts with any other white space are encoded as a whole.
+units in a row, and a unit met before needs no second encoding. Texts with any other white space, and texts that hold the content
+of an added token (such as <|endoftext|>, which has an id of its own), are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ _WHOLE = "\0whole\0"
 
 
 class UnitEncoder:
-    """Encodes batches of texts with a tokenizers file; strings of special tokens in a text are ordinary text.
+    """Encodes batches of texts with a tokenizers file; ids are those of the library's encode(text, add_special_tokens=False).
 
     ``keeps_spaces``: whether spaces and line ends give ids (byte-level vocabularies) or are dropped (word-end vocabularies).
     ``limit``: units remembered at most; beyond it only those used again since are kept.
@@ -31,7 +32,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_spaces = keeps_spaces
         # Between units that are encoded together: it always gives this one id, and units that hold it are encoded alone.
         self.mark, self.between = ("\n", "\n") if keeps_spaces else ("\x01", " \x01 ")
@@ -89,17 +90,21 @@ class UnitEncoder:
             lengths.append(np.array([len(x) for x in each], np.int64))
         self._append(np.concatenate(ids), np.concatenate(lengths))
 
+    def _has_added(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _units(self, text: str) -> list[str]:
-        if _ODD.search(text) or _WHOLE in text:
+        if _ODD.search(text) or _WHOLE in text or self._has_added(text):
             return [_WHOLE + text]
         if self.keeps_spaces:
             return _WITH_SPACES.findall(text)
         try:  # this vocabulary is lower case; within Latin-1 each letter has one lower-case letter
             text.encode("latin-1")
-            text = text.lower()
+            lower = text.lower()
         except UnicodeEncodeError:
-            pass
-        return text.split()
+            lower = text
+        # Only the text itself can hold an added token, not what lower case makes of it.
+        return [_WHOLE + text] if self._has_added(lower) else lower.split()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""

@@ -29,6 +29,17 @@ def test_units_give_the_ids_of_whole_texts(file, keeps):
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == whole
 
 
+@pytest.mark.parametrize(("file", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_as_the_library_encodes_them(file, keeps):
+    """Against a fresh tokenizer with the library's defaults."""
+    own, fresh = UnitEncoder(public_tokenizers.path(file), keeps, limit=200), Tokenizer.from_file(public_tokenizers.path(file))
+    rng = np.random.default_rng(7)
+    parts = ["a", " ", "\n", "\n\n", ".", "<|", "|>", "é", "see", " here", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\x01"]
+    texts = ["see <|endoftext|> here", *("".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(600))]
+    ids, counts = own.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_round_trip(spark):
     texts = [None, "", "Hello, world", "line\nline " * 4000, "déjà vu", "Hello, world", "tail"] + [f"Some words here {k} and there {k * k}" for k in range(700)]
     docs = spark.createDataFrame([(k * 3, t, "z") for k, t in reversed(list(enumerate(texts)))], "doc_id long, text string, shard string").repartition(5)
