@@ -2,7 +2,9 @@
 
 A public vocabulary with byte fallback measures each text: characters per token, the share of tokens that are fallback bytes and
 the entropy of its token distribution. Texts of one script and like length should measure alike; each group's quartiles
-over all documents give a band, and texts outside it are rejected. Plain rules on words, symbols and repeats come first.
+over all documents, each distinct measure once, give a band, and texts outside it are rejected. Groups of few rows and short texts
+take a wider band of the whole script, and fixed limits hold for every text, whatever the bands are. Plain rules on words, symbols
+and repeats come first.
 """
 
 from __future__ import annotations
@@ -14,17 +16,23 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, window_hashes
 
 WINDOW = 8
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Bands reach so many interquartile ranges beyond the quartiles, and at least so far; texts of fewer tokens aren't judged by them.
+#: Bands reach so many interquartile ranges beyond the quartiles, and at least so far. Groups of fewer distinct measures, and texts of fewer
+#: tokens, take the band of their script, WIDER times as wide; a script of fewer has none.
 REACH = 5.0
+WIDER = 2.0
+LEAST_ROWS = 30
 LEAST_WIDTH = {"chars_per_token": 0.5, "byte_share": 0.05, "entropy": 1.0}
 LEAST_TOKENS = 50
+#: Fixed limits. Characters per token and bytes have a lower and an upper one in Latin script only: the vocabulary may lack other scripts.
+#: Entropy grows with the number of tokens, so texts under LEAST_TOKENS are not judged by it.
+LATIN_LEAST_CHARS, MOST_CHARS, LATIN_MOST_BYTES, LEAST_ENTROPY = 1.2, 10.0, 0.3, 2.0
 #: Words remembered by a worker.
 REMEMBERED = 400_000
 
@@ -117,18 +125,33 @@ def judged(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """``measures`` with base_failed (fewer than 20 words, or over 30 % of them in repeated windows), outside (a measure is out of its
     band) and kept.
 
-    Bands come from all rows of the same script and like number of tokens (a power of four). Null and empty texts have no words and
-    fail. Rows that repeat give equal rows; other columns are not read; an empty table gives an empty one.
+    Bands come from all rows of the same script and like number of tokens (a power of four), those of small groups and short texts from
+    all rows of the script; fixed limits hold besides. Null and empty texts have no words and fail. Rows that repeat give equal rows;
+    other columns are not read; an empty table gives an empty one.
     """
     found = stored(measures(docs, vocabulary, id_col, text_col), "fertility")
     found = found.withColumn("scale", F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) / 2).cast("int"))
     names = list(LEAST_WIDTH)
-    quartiles = found.filter(F.col("n_tokens") >= LEAST_TOKENS).groupBy("script", "scale").agg(*[F.percentile_approx(c, [0.25, 0.75], 2000).alias(f"q_{c}") for c in names])
-    out = F.lit(False)
+    # Copies count once.
+    distinct = found.filter(F.col("n_tokens") >= LEAST_TOKENS).select("script", "scale", "n_tokens", *names).distinct()
+
+    def quartiles(prefix: str, *keys: str) -> DataFrame:
+        of = [F.percentile_approx(c, [0.25, 0.75], 2000).alias(f"{prefix}_{c}") for c in names]
+        return distinct.groupBy(*keys).agg(F.count("*").alias("n"), *of).filter(F.col("n") >= LEAST_ROWS).drop("n")
+
+    def beyond(prefix: str, c: str, reach: float) -> Column:
+        low, high = F.get(f"{prefix}_{c}", F.lit(0)), F.get(f"{prefix}_{c}", F.lit(1))
+        width = F.greatest((high - low) * REACH, F.lit(LEAST_WIDTH[c])) * reach
+        return (F.col(c) < low - width) | (F.col(c) > high + width)
+
+    long = F.col("n_tokens") >= LEAST_TOKENS
+    latin = F.col("script") == "latin"
+    out = latin & ((F.col("chars_per_token") < LATIN_LEAST_CHARS) | (F.col("byte_share") > LATIN_MOST_BYTES))
+    out = (F.col("n_tokens") > 0) & (out | (F.col("chars_per_token") > MOST_CHARS) | (long & (F.col("entropy") < LEAST_ENTROPY)))
     for c in names:
-        low, high = F.get(f"q_{c}", F.lit(0)), F.get(f"q_{c}", F.lit(1))
-        width = F.greatest((high - low) * REACH, F.lit(LEAST_WIDTH[c]))
-        out = out | (F.col(c) < low - width) | (F.col(c) > high + width)
+        script_wide = beyond("s", c, WIDER) & (long if c == "entropy" else F.lit(True)) & (F.col("n_tokens") > 0)
+        out = out | F.coalesce(F.when(long & F.col(f"q_{c}").isNotNull(), beyond("q", c, 1.0)).otherwise(script_wide), F.lit(False))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    judged_ = found.join(F.broadcast(quartiles), ["script", "scale"], "left").withColumn("base_failed", failed)
-    return judged_.withColumn("outside", (F.col("n_tokens") >= LEAST_TOKENS) & F.coalesce(out, F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("outside")).select(*_NAMES, "base_failed", "outside", "kept")
+    judged_ = found.join(F.broadcast(quartiles("q", "script", "scale")), ["script", "scale"], "left").join(F.broadcast(quartiles("s", "script")), "script", "left")
+    judged_ = judged_.withColumn("base_failed", failed).withColumn("outside", out)
+    return judged_.withColumn("kept", ~F.col("base_failed") & ~F.col("outside")).select(*_NAMES, "base_failed", "outside", "kept")

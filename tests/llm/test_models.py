@@ -124,6 +124,22 @@ def test_fertility(spark):
     assert fertility.judged(docs.limit(0), PIECES).count() == 0
 
 
+def test_fertility_rejects_junk_that_sets_its_own_band(spark):
+    """A lone very long junk text, short junk, and a source of junk with a third of the rows."""
+    rng = np.random.default_rng(8)
+
+    def digits(words):
+        return " ".join("".join(rng.choice(list("0123456789"), 5)) for _ in range(words))
+
+    clean = sentences(rng, ["the ", "house ", "water", "ing ", "stone", "er "], 120, 80)
+    junk = [digits(80) for _ in range(60)] + [digits(40_000)] + [" ".join(rng.choice(list("0123456789"), 20))]
+    rows = fertility.judged(spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string"), PIECES).collect()
+    got = {r.doc_id: r for r in rows}
+    assert all(got[k].kept for k in range(120))
+    assert not any(got[k].base_failed for k in range(120, 181)) and all(got[k].outside for k in range(120, 181))
+    assert got[181].n_tokens < fertility.LEAST_TOKENS and not got[181].base_failed and got[181].outside
+
+
 def test_scripts():
     said = {"latin": "Hello é", "cyrillic": "Привет", "greek": "Καλημέρα", "cjk": "中文字符", "arabic": "مرحبا", "hangul": "안녕하세요", "hebrew": "שלום"}
     assert {k: fertility.script(v.encode()) for k, v in said.items()} == {k: k for k in said}
