@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a key list may have to be broadcast (16 MB of longs); longer lists are joined by shuffle.
@@ -17,9 +17,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one if all runs in this process,
+    as in tests; on a cluster an error, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="folioforge-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -40,6 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(text: Column) -> Column:
+    """Tells rows of one id (or of none) apart by their texts."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """Mark a table of counted ``rows`` for broadcast if it is within the bound; leave it to a shuffle join beyond."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -127,21 +135,46 @@ def window_hashes(words: list[bytes], size: int) -> np.ndarray:
     return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
 
 
+#: Rows taken of a class none of whose texts is within the length bound: its shortest ones.
+LONG_ROWS = 20
+
+
+def class_sample(rows: DataFrame, key: str, per_class: int, max_chars: int) -> list[Row]:
+    """(doc_id, key, text) of a bounded sample of rows (doc_id, key, text), by doc_id and key: ``per_class`` ids of each class at most, those of
+    smallest id hash with a text of 1 to ``max_chars`` characters, or the LONG_ROWS shortest texts of a class that has only longer ones.
+    Of several texts of an id the smallest counts. Null ids, keys and texts are left out.
+
+    Classes are counted first; an id is then ranked only if its hash is below what lets about twice the wanted number pass, so
+    the ranking of a class reads a bounded number of rows however large the class is.
+    """
+    own = rows.select("doc_id", F.col(key).alias("key"), "text").filter("doc_id is not null and key is not null and length(text) > 0")
+    fits = F.length("text") <= max_chars
+    counts = {r["key"]: r.n for r in own.groupBy("key").agg(F.count_if(fits).alias("n")).collect()}
+    if not counts:
+        return []
+    kind = own.schema["key"].dataType.simpleString()
+    shares = rows.sparkSession.createDataFrame([(k, min(1.0, (2 * per_class + 100) / n)) for k, n in counts.items() if n] or [(next(iter(counts)), 0.0)], f"key {kind}, share double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    few = own.filter(fits).join(F.broadcast(shares), "key").filter(place < F.col("share")).select("key", "doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = few.withColumn("n", rank).filter(F.col("n") <= per_class).select("key", "doc_id", F.lit(max_chars).alias("most"))
+    for lost in (k for k, n in counts.items() if not n):
+        long = own.filter(F.col("key") == F.lit(lost)).orderBy(F.length("text"), F.xxhash64("doc_id"), "doc_id").limit(LONG_ROWS)
+        ids = ids.union(long.groupBy("key", "doc_id").agg(F.max(F.length("text")).alias("most")))
+    found = own.join(F.broadcast(ids), ["key", "doc_id"]).filter(F.length("text") <= F.col("most")).groupBy("key", "doc_id").agg(F.min("text").alias("text"))
+    return sorted(found.collect(), key=lambda r: (r.doc_id, r["key"]))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of a bounded sample: ``per_class`` rows at most of each label, those of smallest id hash; of these, texts of
-    1 to ``max_chars`` characters. ``training`` says which ids may be learned from. The bound keeps the sample on the driver small."""
+    """Texts and 0/1 labels of a bounded sample (see ``class_sample``). ``training`` says which ids may be learned from; of several
+    labels of an id the rounded mean counts."""
     known = labels.filter(training & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    ids = None
-    for k in (0, 1):
-        own = known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        ids = own if ids is None else ids.union(own)
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, max_chars)).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return [r.text for r in rows], np.array([r.label for r in rows], np.int64)
+    found = class_sample(docs.select("doc_id", "text").join(known, "doc_id"), "label", per_class, max_chars)
+    return [r.text for r in found], np.array([r["key"] for r in found], np.int64)
 
 
-def adam(params: dict[str, np.ndarray], gradients, steps: int, rate: float) -> None:
-    """Full-batch Adam: ``gradients(step)`` gives one array per parameter; parameters change in place."""
+def adam(params: dict[str, np.ndarray], gradients, steps: int, rate: float, watch=None) -> None:
+    """Full-batch Adam: ``gradients(step)`` gives one array per parameter; parameters change in place. ``watch(step)`` sees each step."""
     m = {k: np.zeros_like(v) for k, v in params.items()}
     s = {k: np.zeros_like(v) for k, v in params.items()}
     for t in range(1, steps + 1):
@@ -149,6 +182,8 @@ def adam(params: dict[str, np.ndarray], gradients, steps: int, rate: float) -> N
             m[k] += 0.1 * (g - m[k])
             s[k] += 0.01 * (g * g - s[k])
             params[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(params[k].dtype)
+        if watch:
+            watch(t)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -1,10 +1,11 @@
 """Quality rules from tokeniser fertility.
 
-A public vocabulary with byte fallback measures each text: characters per token, the share of tokens that are fallback bytes and
-the entropy of its token distribution. Texts of one script and like length should measure alike; each group's quartiles
-over all documents, each distinct measure once, give a band, and texts outside it are rejected. Groups of few rows and short texts
-take a wider band of the whole script, and fixed limits hold for every text, whatever the bands are. Plain rules on words, symbols
-and repeats come first.
+Public vocabularies measure each text: one with byte fallback gives characters per token, the share of tokens that are fallback bytes and
+the entropy of its token distribution, a byte-level one characters per token once more. Texts of one language (or script, where no
+language is given) and like length should measure alike; each group's quartiles over all documents, each distinct measure once, give
+bands. A text is rejected if one measure is far out of its band, or two are out of it by less. Groups of few rows and short texts take a
+wider band of the whole language or script, and fixed limits hold for every text, whatever the bands are. Plain rules on words,
+symbols and repeats come first.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, window_hashes
+from .common import small_or_shuffled, stored, window_hashes
 
 WINDOW = 8
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Bands reach so many interquartile ranges beyond the quartiles, and at least so far. Groups of fewer distinct measures, and texts of fewer
-#: tokens, take the band of their script, WIDER times as wide; a script of fewer has none.
-REACH = 5.0
-WIDER = 2.0
+#: A text is rejected if one measure is FAR interquartile ranges beyond the quartiles of its group, or two are NEAR. Ranges count as so wide at
+#: least (LEAST_RANGE). Groups of fewer distinct measures than LEAST_ROWS, and texts of fewer than LEAST_TOKENS tokens, take the band of their
+#: language or script, WIDER times as wide; a language or script of fewer has none.
+FAR, NEAR = 5.0, 2.5
+WIDER = 4.0
 LEAST_ROWS = 30
-LEAST_WIDTH = {"chars_per_token": 0.5, "byte_share": 0.05, "entropy": 1.0}
+LEAST_RANGE = {"chars_per_token": 0.03, "bytes_chars_per_token": 0.03, "byte_share": 0.01, "entropy": 0.2}
 LEAST_TOKENS = 50
 #: Fixed limits. Characters per token and bytes have a lower and an upper one in Latin script only: the vocabulary may lack other scripts.
 #: Entropy grows with the number of tokens, so texts under LEAST_TOKENS are not judged by it.
@@ -48,11 +50,14 @@ def script(raw: bytes) -> str:
 
 
 class Pieces:
-    """Piece ids of words by a SentencePiece model, each distinct word encoded once for a while."""
+    """Piece ids of words by a SentencePiece model, and their numbers of byte-level tokens, each distinct word encoded once for a while."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bytes_path: str):
         import sentencepiece
+        from tokenizers import Tokenizer
 
+        self.bytes = Tokenizer.from_file(bytes_path)
+        self.bytes.encode_special_tokens = True  # words are only measured here
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(k) for k in range(self.model.get_piece_size())])
         self._forget()
@@ -61,18 +66,22 @@ class Pieces:
         self.known: defaultdict[str, int] = defaultdict()
         self.known.default_factory = self.known.__len__
         self.ids: list[np.ndarray] = []
+        self.sizes = np.zeros(0, np.int64)
 
-    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def of(self, texts: list[list[str]]) -> tuple[list[np.ndarray], list[int]]:
         if len(self.known) > REMEMBERED:
             self._forget()
         numbers = [list(map(self.known.__getitem__, words)) for words in texts]
         fresh = list(islice(self.known, len(self.ids), None))
-        self.ids += [np.array(x, np.int32) for x in self.model.encode(fresh, num_threads=1)] if fresh else []
+        if fresh:
+            self.ids += [np.array(x, np.int32) for x in self.model.encode(fresh, num_threads=1)]
+            sizes = [len(e.ids) for k in range(0, len(fresh), 2000) for e in self.bytes.encode_batch_fast([" " + w for w in fresh[k : k + 2000]], add_special_tokens=False)]
+            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
         none = np.zeros(0, np.int32)
-        return [np.concatenate([self.ids[k] for k in n]) if n else none for n in numbers]
+        return [np.concatenate([self.ids[k] for k in n]) if n else none for n in numbers], [int(self.sizes[n].sum()) for n in numbers]
 
 
-_pieces: dict[str, Pieces] = {}
+_pieces: dict[tuple[str, str], Pieces] = {}
 
 
 def base_counts(text: str | None) -> tuple[list[bytes], list[int]]:
@@ -93,65 +102,75 @@ def base_counts(text: str | None) -> tuple[list[bytes], list[int]]:
     return words, [chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), covered]
 
 
-def measures(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, the base counts, script, n_tokens, chars_per_token, byte_share and entropy (bits) of every whole text."""
+def measures(docs: DataFrame, vocabulary: str, bytes_vocabulary: str, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
+    """doc_id, n_words, the base counts, script, band (the value of ``group_col``, else the script), n_tokens, chars_per_token, byte_share and entropy
+    (bits) by the first vocabulary, bytes_chars_per_token by the second, of every whole text.
+
+    Null, empty and blank texts have no words and measure 0; rows that repeat give equal rows; an empty table gives an empty one. Other
+    columns are not read. Ids are cast to long: one that is no number stops the run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _pieces:
-            _pieces[vocabulary] = Pieces(vocabulary)
-        pieces = _pieces[vocabulary]
+        key = (vocabulary, bytes_vocabulary)
+        if key not in _pieces:
+            _pieces[key] = Pieces(*key)
+        pieces = _pieces[key]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts, groups = (batch.column(k).to_pylist() for k in range(3))
             for k in range(0, len(texts), 500):
                 rows, words = [], []
-                for i, t in zip(ids[k : k + 500], texts[k : k + 500], strict=True):
+                for i, t, g in zip(ids[k : k + 500], texts[k : k + 500], groups[k : k + 500], strict=True):
                     own, base = base_counts(t)
                     words.append([w.decode("utf-8", "replace") for w in own])
-                    rows.append([i, len(own), *base, script((t or "").encode("utf-8", "replace"))])
-                for row, p in zip(rows, pieces.of(words), strict=True):
+                    of = script((t or "").encode("utf-8", "replace"))
+                    rows.append([i, len(own), *base, of, of if g is None else g])
+                for row, p, n_bytes in zip(rows, *pieces.of(words), strict=True):
                     n = np.unique(p, return_counts=True)[1] / max(len(p), 1)
-                    row += [len(p), row[2] / max(len(p), 1), float(pieces.is_byte[p].mean()) if len(p) else 0.0, float(-(n * np.log2(n)).sum()) + 0.0]
+                    row += [len(p), row[2] / max(len(p), 1), row[2] / max(n_bytes, 1), float(pieces.is_byte[p].mean()) if len(p) else 0.0, float(-(n * np.log2(n)).sum()) + 0.0]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, entropy double")
+    group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), group.alias("band"))
+    return own.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, band string, n_tokens long, chars_per_token double, bytes_chars_per_token double, byte_share double, entropy double")
 
 
-_NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", "n_tokens", "chars_per_token", "byte_share", "entropy"]
-_TYPES = [*[pa.int64()] * 6, pa.string(), pa.int64(), *[pa.float64()] * 3]
+_NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", "band", "n_tokens", "chars_per_token", "bytes_chars_per_token", "byte_share", "entropy"]
+_TYPES = [*[pa.int64()] * 6, pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 4]
 
 
-def judged(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``measures`` with base_failed (fewer than 20 words, or over 30 % of them in repeated windows), outside (a measure is out of its
-    band) and kept.
+def judged(docs: DataFrame, vocabulary: str, bytes_vocabulary: str, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
+    """``measures`` with base_failed (fewer than 20 words, or over 30 % of them in repeated windows), outside (measures are out of their
+    bands) and kept.
 
-    Bands come from all rows of the same script and like number of tokens (a power of four), those of small groups and short texts from
-    all rows of the script; fixed limits hold besides. Null and empty texts have no words and fail. Rows that repeat give equal rows;
-    other columns are not read; an empty table gives an empty one.
+    Bands come from all rows of the same language or script and like number of tokens (a power of four), those of small groups and short
+    texts from all rows of the language or script; fixed limits hold besides. Null and empty texts have no words and fail. Rows that
+    repeat give equal rows; other columns are not read; an empty table gives an empty one.
     """
-    found = stored(measures(docs, vocabulary, id_col, text_col), "fertility")
+    found = stored(measures(docs, vocabulary, bytes_vocabulary, id_col, text_col, group_col), "fertility")
     found = found.withColumn("scale", F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) / 2).cast("int"))
-    names = list(LEAST_WIDTH)
-    # Copies count once.
-    distinct = found.filter(F.col("n_tokens") >= LEAST_TOKENS).select("script", "scale", "n_tokens", *names).distinct()
+    names = list(LEAST_RANGE)
+    # Copies count once; texts that fail the base rules set no bands.
+    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    distinct = found.filter((F.col("n_tokens") >= LEAST_TOKENS) & ~failed).select("band", "scale", "n_tokens", *names).distinct()
 
     def quartiles(prefix: str, *keys: str) -> DataFrame:
         of = [F.percentile_approx(c, [0.25, 0.75], 2000).alias(f"{prefix}_{c}") for c in names]
-        return distinct.groupBy(*keys).agg(F.count("*").alias("n"), *of).filter(F.col("n") >= LEAST_ROWS).drop("n")
+        own = stored(distinct.groupBy(*keys).agg(F.count("*").alias("n"), *of).filter(F.col("n") >= LEAST_ROWS).drop("n"), f"quartiles-{prefix}")
+        return small_or_shuffled(own, own.count())
 
-    def beyond(prefix: str, c: str, reach: float) -> Column:
+    def beyond(prefix: str, c: str, wider: float) -> Column:
+        """How many ranges a measure is beyond the quartiles; null without a band."""
         low, high = F.get(f"{prefix}_{c}", F.lit(0)), F.get(f"{prefix}_{c}", F.lit(1))
-        width = F.greatest((high - low) * REACH, F.lit(LEAST_WIDTH[c])) * reach
-        return (F.col(c) < low - width) | (F.col(c) > high + width)
+        return F.greatest(low - F.col(c), F.col(c) - high) / (F.greatest(high - low, F.lit(LEAST_RANGE[c])) * wider)
 
     long = F.col("n_tokens") >= LEAST_TOKENS
-    latin = F.col("script") == "latin"
-    out = latin & ((F.col("chars_per_token") < LATIN_LEAST_CHARS) | (F.col("byte_share") > LATIN_MOST_BYTES))
+    out = (F.col("script") == "latin") & ((F.col("chars_per_token") < LATIN_LEAST_CHARS) | (F.col("byte_share") > LATIN_MOST_BYTES))
     out = (F.col("n_tokens") > 0) & (out | (F.col("chars_per_token") > MOST_CHARS) | (long & (F.col("entropy") < LEAST_ENTROPY)))
+    off = {}
     for c in names:
-        script_wide = beyond("s", c, WIDER) & (long if c == "entropy" else F.lit(True)) & (F.col("n_tokens") > 0)
-        out = out | F.coalesce(F.when(long & F.col(f"q_{c}").isNotNull(), beyond("q", c, 1.0)).otherwise(script_wide), F.lit(False))
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    judged_ = found.join(F.broadcast(quartiles("q", "script", "scale")), ["script", "scale"], "left").join(F.broadcast(quartiles("s", "script")), "script", "left")
-    judged_ = judged_.withColumn("base_failed", failed).withColumn("outside", out)
-    return judged_.withColumn("kept", ~F.col("base_failed") & ~F.col("outside")).select(*_NAMES, "base_failed", "outside", "kept")
+        band_wide = F.when((F.col("n_tokens") > 0) & (long if c == "entropy" else F.lit(True)), beyond("s", c, WIDER))
+        off[c] = F.coalesce(F.when(long, beyond("q", c, 1.0)), band_wide, F.lit(0.0))
+    far = F.greatest(*off.values()) > FAR
+    near = sum(((x > NEAR).cast("int") for x in off.values()), F.lit(0)) >= 2
+    both = found.join(quartiles("q", "band", "scale"), ["band", "scale"], "left").join(quartiles("s", "band"), "band", "left")
+    return both.withColumn("base_failed", failed).withColumn("outside", out | far | near).withColumn("kept", ~F.col("base_failed") & ~F.col("outside")).select(*_NAMES, "base_failed", "outside", "kept")

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import class_sample, slices
 
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 12
@@ -84,13 +84,9 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 
 def training_sample(docs: DataFrame, training: Column) -> tuple[list[str], list[str]]:
-    """Texts and languages of the PER_LANGUAGE rows of each language with the smallest id hash, among those that may be learned from."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = docs.filter(training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANGUAGE).select("doc_id").distinct()
-    rows = known.filter(F.length("text").between(1, MAX_CHARS)).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return [r.text for r in rows], [r.lang for r in rows]
+    """Texts and languages of a bounded sample of the rows that may be learned from: PER_LANGUAGE of each language at most (see ``class_sample``)."""
+    found = class_sample(docs.filter(training), "lang", PER_LANGUAGE, MAX_CHARS)
+    return [r.text for r in found], [r["key"] for r in found]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +94,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     distance, or without a letter) of every whole text.
 
     lang_pred is ``und`` for null texts and texts without a letter, with score 0, and else the nearest language, rejected or not. Rows
-    that repeat give equal rows; other columns are not read; an empty table gives an empty one.
+    that repeat give equal rows; other columns are not read; an empty table gives an empty one. Ids are cast to long: one that is no number
+    stops the run.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,9 +1,10 @@
 """Packing by vector bin packing: sequences limited in tokens, segments and loss-bearing tokens at once.
 
-A sequence is filled with the example whose demand has the largest dot product with what the sequence has left, both
-taken relative to the limits, among those that fit. When none fits, the best of the rest is cut to what is left. A
-sequence that can't be filled is cut to a power of two, so no sequence needs padding; what is cut off goes back to the
-examples. Windows of documents are packed on their own: nothing is shuffled, memory is that of one window.
+What can be taken of an example, whole or cut to what a sequence has left, is its demand; the example of largest dot product
+between demand and room, both relative to the limits, comes next. Whole examples go before cut ones, but the last segment that a
+sequence may have is the one that fills it best. A sequence that can't be filled is cut to a power of two, so no sequence needs
+padding; what is cut off goes back to the examples. Windows of documents are packed on their own: nothing is shuffled, memory is
+that of one window.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches
@@ -45,42 +46,37 @@ def pack_window(sizes: np.ndarray, shares: np.ndarray, limits: Limits) -> list[t
     start = np.zeros(len(size), np.int64)
     pieces: list[tuple[int, int, int, int, int]] = []
     sequence = 0
+    tokens, loss = limits.tokens, float(limits.loss)
 
-    def loss(tokens, share):
-        return np.ceil(np.maximum(tokens - 1, 0) * share)
-
-    def most(share: float, room: float, tokens: int) -> int:
-        """The most tokens of an example that keep its loss within room."""
-        return tokens if share <= 0 else int(min(tokens, np.floor(room / share) + 1))
+    def demand(examples: np.ndarray, room: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """The most tokens of each example that fit, and how many of these bear loss; the first of a segment bears none."""
+        share = np.maximum(shares[examples], 1e-12)
+        part = np.minimum(np.minimum(size[examples], room), np.floor(slack / share + 1e-9) + 1).astype(np.int64)
+        return part, np.ceil((part - 1) * share - 1e-9)
 
     # Whole sequences of one long example need no choice.
-    for k in np.flatnonzero(size > limits.tokens):
-        full = 1 << (min(limits.tokens, most(shares[k], limits.loss, limits.tokens)).bit_length() - 1)
-        while size[k] > limits.tokens:
+    for k in np.flatnonzero(size > tokens):
+        part, _ = demand(np.array([k]), tokens, loss)
+        full = 1 << (int(part[0]).bit_length() - 1)
+        for _ in range((size[k] - 1 - tokens) // full + 1):
             pieces.append((int(k), int(start[k]), full, sequence, 0))
             start[k], size[k], sequence = start[k] + full, size[k] - full, sequence + 1
     left = np.flatnonzero(size > 0)
     while len(left):
-        room, segments, slack = limits.tokens, limits.segments, float(limits.loss)
+        room, segments, slack = tokens, limits.segments, loss
         chosen: list[tuple[int, int]] = []
         while room and segments and len(left):
-            n, need = size[left], loss(size[left], shares[left])
-            fits = (n <= room) & (need <= slack)
-            gain = n * (room / limits.tokens**2) + (segments / limits.segments**2) + need * (slack / limits.loss**2)
-            if fits.any():
-                at = int(np.argmax(np.where(fits, gain, -1)))
-                k, take = left[at], int(n[at])
-            else:
-                at = int(np.argmax(gain))
-                k = left[at]
-                take = min(room, most(shares[k], slack, room))
-                if take <= 0:
-                    break
+            part, need = demand(left, room, slack)
+            # Every example takes one segment, so that dimension adds the same to each product.
+            gain = part * (room / tokens**2) + need * (slack / max(loss, 1.0) ** 2)
+            whole = part == size[left]
+            at = int(np.argmax(np.where(whole, gain, -1.0) if segments > 1 and whole.any() else gain))
+            k, take = left[at], int(part[at])
             chosen.append((int(k), take))
-            room, segments, slack = room - take, segments - 1, slack - float(loss(take, shares[k]))
+            room, segments, slack = room - take, segments - 1, slack - float(need[at])
             size[k] -= take
             if size[k]:
-                break  # it was cut to fill what was left
+                break  # it was cut to what was left
             left = np.delete(left, at)
         used = sum(t for _, t in chosen)
         over = used - (1 << (used.bit_length() - 1))
@@ -100,15 +96,23 @@ def pack_window(sizes: np.ndarray, shares: np.ndarray, limits: Limits) -> list[t
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int, limits: Limits = Limits(), loss_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def reply_share(text: Column) -> Column:
+    """The loss share of a text read as a dialogue whose every second line is a reply: the characters of those lines by those of all lines;
+    1 for a text of one line or none."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    size = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda total, x: total + F.length(x))
+    return F.when(F.size(lines) > 1, F.coalesce(F.try_divide(size(F.filter(lines, lambda x, i: i % 2 == 1)), size(lines)), F.lit(1.0))).otherwise(1.0)
+
+
+def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int, limits: Limits = Limits(), loss: Column | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens and, if asked, ids.
 
-    Every whole text (null: empty) is encoded with ``end_id`` appended. ``loss_col`` names a column with the share of loss-bearing
+    Every whole text (null: empty) is encoded with ``end_id`` appended. ``loss`` is a column with the share of loss-bearing
     tokens (null: all). Rows are packed as they come, so repeated ids stay apart; a null id stays null. Sequence ids
-    are unique, not dense. An empty table gives an empty one.
+    are unique, not dense. An empty table gives an empty one. Ids are cast to long: one that is no number stops the run.
     """
     small_batches(docs.sparkSession)
-    share = F.coalesce(F.col(loss_col).cast("double"), F.lit(1.0)) if loss_col else F.lit(1.0)
+    share = F.lit(1.0) if loss is None else F.coalesce(loss.cast("double"), F.lit(1.0))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,8 +97,8 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fertility.judged(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
+    found = fertility.judged(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json"), group_col="lang")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "bytes_chars_per_token", "byte_share", "entropy")
 
 
 def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +110,13 @@ def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Documents as instruction data: every second line is a reply, and a sequence holds eight documents and 1280 tokens of replies at most.
+INSTRUCTION = packing.Limits(tokens=2048, segments=8, loss=1280)
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1, with_ids=False)
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1, limits=INSTRUCTION, loss=packing.reply_share(F.col("text")), with_ids=False)
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> dict:

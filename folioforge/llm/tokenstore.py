@@ -4,8 +4,8 @@ A store is a folder with two Parquet tables, so that any file system Spark write
 are written again:
 
 * ``dictionary``: dict_sha256, width (bytes of a serialized id), content. One row.
-* ``blocks``: shard, block, dict_sha256, payload (frames in a row), and the offset index of the block: doc_ids, offsets,
-  lengths (bytes of each frame) and counts (ids of each document). Shards and blocks ascend with doc_id.
+* ``blocks``: shard, block, dict_sha256, first_id and last_id, payload (frames in a row), and the offset index of the block: doc_ids,
+  offsets, lengths (bytes of each frame) and counts (ids of each document). Shards and blocks ascend with doc_id.
 
 A document is read by its index entry alone: one slice of one payload, and the dictionary.
 """
@@ -33,8 +33,10 @@ DICT_BYTES = 64 * 1024
 #: A block holds frames of about so many bytes.
 BLOCK_BYTES = 2 << 20
 LEVEL = 3
+#: Ranges of ids that a fetch asks for at most.
+MOST_RANGES = 50
 
-BLOCKS = "shard long, block long, dict_sha256 string, payload binary, doc_ids array<long>, offsets array<long>, lengths array<long>, counts array<long>"
+BLOCKS = "shard long, block long, dict_sha256 string, first_id long, last_id long, payload binary, doc_ids array<long>, offsets array<long>, lengths array<long>, counts array<long>"
 
 
 def token_arrays(texts: list[str | None], path: str, keeps_spaces: bool, end_id: int) -> list[np.ndarray]:
@@ -71,8 +73,8 @@ def _dictionary(content: bytes, compress: bool = False) -> dict:
 def write(docs: DataFrame, store: str, tokenizer: str, keeps_spaces: bool, end_id: int, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write the store in ascending doc_id order (null ids first; equal ids in order of their text).
 
-    ``width`` is the bytes of a serialized id (2 for vocabularies up to 65,536). An empty table gives an empty store.
-    Other columns are not read.
+    ``width`` is the bytes of a serialized id (2 for vocabularies up to 65,536); an id that needs more is an error. An empty table gives
+    an empty store. Other columns are not read. Document ids are cast to long: one that is no number stops the run.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -89,13 +91,15 @@ def write(docs: DataFrame, store: str, tokenizer: str, keeps_spaces: bool, end_i
         def out() -> pa.RecordBatch:
             ids, frames, counts = zip(*made, strict=True)
             lengths = np.array([len(f) for f in frames], np.int64)
-            rows = [[shard], [block], [sha], [b"".join(frames)], [list(ids)], [np.cumsum(lengths) - lengths], [lengths], [list(counts)]]
+            rows = [[shard], [block], [sha], [next((i for i in ids if i is not None), None)], [ids[-1]], [b"".join(frames)], [list(ids)], [np.cumsum(lengths) - lengths], [lengths], [list(counts)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, _BLOCK_TYPES, strict=True)], _BLOCK_NAMES)
 
         held = 0
         for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, a in zip(ids, token_arrays(texts, tokenizer, keeps_spaces, end_id), strict=True):
+                if int(a.max()) >> (8 * width):
+                    raise ValueError(f"id {a.max()} does not fit in {width} bytes")
                 made.append((i, compressor.compress(a.astype(f"<u{width}").tobytes()), len(a)))
                 held += len(made[-1][1])
                 if held >= BLOCK_BYTES:
@@ -108,8 +112,8 @@ def write(docs: DataFrame, store: str, tokenizer: str, keeps_spaces: bool, end_i
     ordered.mapInArrow(blocks, BLOCKS).write.parquet(f"{store}/blocks")
 
 
-_BLOCK_NAMES = ["shard", "block", "dict_sha256", "payload", "doc_ids", "offsets", "lengths", "counts"]
-_BLOCK_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 4]
+_BLOCK_NAMES = ["shard", "block", "dict_sha256", "first_id", "last_id", "payload", "doc_ids", "offsets", "lengths", "counts"]
+_BLOCK_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 4]
 
 
 def _open(spark: SparkSession, store: str) -> tuple[DataFrame, str, int, bytes]:
@@ -130,8 +134,15 @@ def index(spark: SparkSession, store: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, store: str, ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of a few documents: only their frames are cut from the payloads and decompressed."""
+    """(doc_id, ids) of a few documents. Blocks are found by their first and last id, which Parquet's statistics prune, so other payloads
+    are not read; of those that are, only the wanted frames are cut out and decompressed. Unknown ids give no row, a repeated id all of its."""
     rows, _, width, content = _open(spark, store)
+    ids = sorted(set(ids))
+    step = -(-len(ids) // MOST_RANGES) or 1
+    near = F.lit(False)
+    for k in range(0, len(ids), step):
+        near = near | ((F.col("first_id") <= ids[min(k + step, len(ids)) - 1]) & (F.col("last_id") >= ids[k]))
+    rows = rows.filter(near)
     entries = rows.select("payload", F.explode(F.arrays_zip("doc_ids", "offsets", "lengths")).alias("e")).filter(F.col("e.doc_ids").isin(ids))
     frames = entries.select(F.col("e.doc_ids").alias("doc_id"), F.expr("substring(payload, cast(e.offsets + 1 as int), cast(e.lengths as int))").alias("frame"))
 
@@ -145,13 +156,15 @@ def fetch(spark: SparkSession, store: str, ids: list[int]) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, store: str) -> DataFrame:
-    """Decode every frame: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of ids as little-endian unsigned 32 bits)."""
+    """Decode every frame: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of ids as little-endian unsigned 32 bits).
+
+    Repeated and null ids have a row for each stored document; an empty store gives none. A block of another dictionary is an error."""
     rows, sha, width, content = _open(spark, store)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor(**_dictionary(content))
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(7)]
+            cols = [b.column(k).to_pylist() for k in range(7)]  # as selected below
             out: list[tuple] = []
             for shard, block, own, payload, ids, offsets, lengths in zip(*cols, strict=True):
                 if own != sha:
@@ -169,5 +182,5 @@ def read_digests(spark: SparkSession, store: str) -> DataFrame:
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     within = sums.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("block_start"))
     starts = within.join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("at"))
-    decoded = rows.select(*_BLOCK_NAMES[:7]).mapInArrow(run, "shard long, block long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    decoded = rows.select("shard", "block", "dict_sha256", "payload", "doc_ids", "offsets", "lengths").mapInArrow(run, "shard long, block long, doc_id long, before long, n_tokens long, ids_crc32 long")
     return decoded.join(starts, ["shard", "block"]).select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

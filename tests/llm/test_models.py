@@ -8,7 +8,7 @@ import public_tokenizers
 
 from folioforge.llm import fertility, langid, mil, toxicity
 
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
+PIECES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def sentences(rng, syllables, n, words=30):
@@ -111,7 +111,7 @@ def test_fertility(spark):
     texts += ["\n".join(rng.choice(["a b", "c", "", " ", "d\x0be"], 30)) for _ in range(40)]
     texts += [None, "", "é😀 " * 30, "word " * 30_000, "ԹԺԻ " * 100, " | # <a> & $   x y"]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate([*texts, texts[0]])], "doc_id long, text string, kept int")
-    rows = fertility.judged(docs, PIECES).collect()
+    rows = fertility.judged(docs, *PIECES).collect()
     assert len(rows) == len(texts) + 1
     for r in rows:
         want = base((texts + [texts[0]])[r.doc_id])
@@ -121,7 +121,7 @@ def test_fertility(spark):
     got = {r.doc_id: r for r in rows}
     assert all(got[k].kept for k in range(80))
     assert got[len(texts) - 2].byte_share > 0.5
-    assert fertility.judged(docs.limit(0), PIECES).count() == 0
+    assert fertility.judged(docs.limit(0), *PIECES).count() == 0
 
 
 def test_fertility_rejects_junk_that_sets_its_own_band(spark):
@@ -133,7 +133,7 @@ def test_fertility_rejects_junk_that_sets_its_own_band(spark):
 
     clean = sentences(rng, ["the ", "house ", "water", "ing ", "stone", "er "], 120, 80)
     junk = [digits(80) for _ in range(60)] + [digits(40_000)] + [" ".join(rng.choice(list("0123456789"), 20))]
-    rows = fertility.judged(spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string"), PIECES).collect()
+    rows = fertility.judged(spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string"), *PIECES).collect()
     got = {r.doc_id: r for r in rows}
     assert all(got[k].kept for k in range(120))
     assert not any(got[k].base_failed for k in range(120, 181)) and all(got[k].outside for k in range(120, 181))

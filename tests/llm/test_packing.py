@@ -4,9 +4,10 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioforge.llm.packing import Limits, pack, pack_window
+from folioforge.llm.packing import Limits, pack, pack_window, reply_share
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,5 +64,51 @@ def test_empty_table(spark):
 
 def test_loss_column(spark):
     docs = spark.createDataFrame([(1, "a b c d", 0.5), (2, "e f", None)], "doc_id long, text string, share double")
-    for r in pack(docs, PATH, True, 1, loss_col="share").collect():
+    for r in pack(docs, PATH, True, 1, loss=F.col("share")).collect():
         assert r.loss_tokens == np.ceil((r.length - 1) * (0.5 if r.doc_id == 1 else 1))
+
+
+def first_fit(sizes, shares, limits):
+    """Sequences that first fit makes of the same examples, without padding too: whole ones in order, the first that fits; a rest is cut in two."""
+    todo, count = [(n, s) for n, s in zip(sizes.tolist(), shares.tolist(), strict=True) if n], 0
+    while todo:
+        room, slack, segments, at, taken = limits.tokens, limits.loss, limits.segments, 0, []
+        while at < len(todo) and segments and room:
+            n, s = todo[at]
+            if n <= room and np.ceil((n - 1) * s) <= slack:
+                room, slack, segments = room - n, slack - np.ceil((n - 1) * s), segments - 1
+                taken.append(todo.pop(at))
+            else:
+                at += 1
+        if room and segments and todo:  # the first of the rest is cut to what is left
+            n, s = todo[0]
+            part = int(min(n, room, slack // max(s, 1e-9) + 1))
+            room, todo[0] = room - part, (n - part, s)
+            taken.append((part, s))
+        used = sum(n for n, _ in taken)
+        over = used - (1 << (used.bit_length() - 1))
+        for n, s in reversed(taken):
+            back = min(over, n)
+            over -= back
+            if back:
+                todo.append((back, s))
+        todo, count = [x for x in todo if x[0]], count + 1
+    return count
+
+
+def test_limits_bind_and_the_dot_product_needs_fewer_sequences_than_first_fit():
+    rng = np.random.default_rng(9)
+    sizes, shares = np.exp(rng.normal(6.2, 0.7, 1500)).astype(np.int64), np.clip(rng.normal(0.55, 0.3, 1500), 0, 1)
+    limits = Limits(2048, 8, 1280)
+    pieces = pack_window(sizes, shares, limits)
+    check(pieces, sizes.tolist(), shares, limits)
+    loss, segments = {}, {}
+    for k, _, n, s, _ in pieces:
+        loss[s], segments[s] = loss.get(s, 0) + np.ceil((n - 1) * shares[k]), segments.get(s, 0) + 1
+    assert sum(v > 0.98 * limits.loss for v in loss.values()) > 0.1 * len(loss) and max(segments.values()) == limits.segments
+    assert len(loss) < first_fit(sizes, shares, limits)
+
+
+def test_reply_share(spark):
+    docs = spark.createDataFrame([("q\nabc",), ("one",), (None,), ("",), ("\n",), ("é\nb\ncc\n",)], "text string")
+    assert [r[0] for r in docs.select(reply_share(F.col("text"))).collect()] == [0.75, 1.0, 1.0, 1.0, 1.0, 0.25]
