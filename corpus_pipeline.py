@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import decontam, mil, minhash, packing, pii
 from folioforge.llm.common import small_or_shuffled, stored
-from folioforge.llm.queries import quality_model, table
+from folioforge.llm.queries import INSTRUCTION, quality_model, table
 from folioforge.llm.spans import redacted
 
 #: SQL can't express the trained models and the tokenizer; tests hold the stages against brute force instead.
@@ -54,8 +54,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1)
+    """Pieces of sequences of 2048 tokens, eight documents and 1280 tokens of replies at most. Null texts are empty; rows that repeat are packed
+    each; an empty table gives an empty one."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1, limits=INSTRUCTION, loss=packing.reply_share(F.col("text")))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("pack", pack)]
