@@ -1,10 +1,12 @@
 """Personal data by weak supervision.
 
-Candidates come from wide patterns. Labelers (formats, checksums, gazetteers, context before and after) each vote for, against or not
-at all. Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is and so how likely each
-pattern is personal data; a logistic span classifier is then trained on these probabilities from the kind, votes and shape of a
-span. Both need only the counts of patterns, of which there are as many as ways to vote, however large the corpus is.
-The base kinds are rules with a fixed definition: their spans always stay; the classifier decides on all others.
+Candidates are all matches of the base patterns, valid or not, and of wider patterns: forms that the base rules know nothing of, and
+numbers that a base match swallowed together with something else. Labelers (the base rules' own checks, checksums, gazetteers, what
+stands around a candidate) each vote for, against or not at all. Expectation-maximisation over the counts of vote patterns of each
+kind estimates how reliable each labeler is and so how likely each pattern is personal data; a logistic span classifier is then
+trained on these probabilities from the kind, votes and shape of a span. Both need only the counts of patterns, of which there are as
+many as ways to vote, however large the corpus is. Spans of the base rules have a fixed definition and always stay; the
+classifier decides on all other candidates.
 """
 
 from __future__ import annotations
@@ -19,13 +21,19 @@ from .spans import with_matches
 # Base kinds in the order in which they are listed, then the kinds that the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("masked_email", "local_phone", "iban", "ssn", "name")
+KINDS = BASE_KINDS + ADDED_KINDS
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Gazetteers.
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 FIRST_NAMES = ("James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "Hans", "Peter", "Anna", "Klaus", "Jean", "Pierre", "Marie", "Sophie", "Carlos", "María", "José", "Carmen")
-CUES = ("phone", "tel", "call", "mobile", "fax", "mail", "contact", "iban", "account", "konto", "compte", "cuenta", "ssn", "social", "name", "telefon", "téléphone", "teléfono", "write to", "reach")
-AGAINST = ("version", "isbn", "fig", "section", "page", "model", "serial", "order", "price", "€", "$", "no.")
+DOMAINS = "(?i)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)\\z"
+IBAN_COUNTRIES = "^(DE|FR|ES|GB|IT|NL|AT|BE|CH)"
+#: First digits of card issuers, and country codes of telephone numbers.
+ISSUERS = "^(4|5[1-5]|2[2-7]|3[47]|6(011|5))"
+COUNTRIES = r"^\+(1|33|34|39|4[0-9]|81|86|91)(?![0-9])"
+CUES = ("phone", "tel", "call", "mobile", "fax", "mail", "contact", "iban", "account", "konto", "compte", "cuenta", "ssn", "social", "name", "telefon", "téléphone", "teléfono", "write to", "reach", "card", "visa", "host", "server", "address")
+AGAINST = ("version", "isbn", "fig", "section", "page", "model", "serial", "order", "price", "€", "$", "no.", "token", "key", "hash", "id")
 
 # Possessive repeats and look-behinds keep long runs linear; with \G they allow what follows a match directly.
 PATTERNS = {
@@ -36,9 +44,19 @@ PATTERNS = {
     "masked_email": rf"(?<!{_LOCAL}){_LOCAL}++ ?[\[({{]at[\])}}] ?{_HOST}++(?: ?(?:\.|[\[({{]dot[\])}}]) ?{_HOST}++)++",
     "number": r"(?<![0-9A-Za-z+-])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z-])",
     "name": rf"(?<![\p{{L}}])(?=[{''.join(sorted({n[0] for n in TITLES + FIRST_NAMES}))}])(?:(?:{'|'.join(TITLES)})\.? |(?:{'|'.join(FIRST_NAMES)}) )\p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
+    # Card and telephone numbers with edges of their own, also beside other numbers.
+    "lone_card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4}){2}|3[47][0-9]{2}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z-])",
+    "lone_phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z-])",
 }
-LABELERS = ("format", "checksum", "gazetteer", "cue", "against", "repeated")
+LABELERS = ("rule", "checksum", "gazetteer", "cue", "against", "edges", "plain_digits")
 FEATURES = ("long", "spaced", "mostly_digits", "starts_line", "ends_sentence")
+#: Digits that a base card match has at least to be a candidate.
+LEAST_DIGITS = 12
+#: What is held of labelers before seeing votes: how often each class gets -1, 0 and 1, as so many observations. The first two, which compute
+#: rather than look around, count for TRUST of all candidates besides, so that no chance agreement of the others can outvote them.
+PRIOR = ((4.0, 2.0, 1.0), (1.0, 2.0, 4.0))
+TRUSTED, TRUST = 2, 0.25
+TRUSTED_PRIOR = ((0.8, 0.15, 0.05), (0.02, 0.18, 0.8))
 
 
 def _digits(text: Column) -> Column:
@@ -81,16 +99,38 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(F.lit(False) if no is None else no, -1).otherwise(0)
 
 
-def _judged(kind: Column, x: Column) -> Column:
-    """start, end, kind, votes and features of a candidate."""
+def _judged(kind: Column, x: Column, is_base: bool) -> Column:
+    """start, end, kind, whether it is a match of a base pattern, votes and features of a candidate."""
     text, before, digits = x["text"], F.lower(x["before"]), _digits(x["text"])
+    luhn = F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))
+    is_card, is_phone, is_number = kind == "card", (kind == "phone") | (kind == "local_phone"), ~kind.isin("email", "masked_email", "name")
+    rule = (
+        F.when(kind == "ip", text.rlike(rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"))
+        .when(is_card, F.length(digits).between(14, 19) & luhn)
+        .when(is_phone, F.length(digits).between(10, 15))
+        .when(kind == "iban", text.rlike(r"\A[A-Z]{2}[0-9]{2}( [A-Z0-9]{4})+"))
+        .when(kind == "masked_email", text.rlike("(?i)dot|\\."))
+        .when(kind == "name", text.rlike(r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+\z"))
+        .otherwise(F.lit(True))
+    )
+    checked = F.when(is_card, luhn).when(kind == "ssn", ~text.rlike("^(000|666|9)")).when(kind == "local_phone", ~digits.rlike("^[01]")).when(kind == "ip", ~text.rlike(r"^0+\."))
+    listed = (
+        F.when(is_card, digits.rlike(ISSUERS))
+        .when(kind == "phone", text.rlike(COUNTRIES))
+        .when(kind == "iban", text.rlike(IBAN_COUNTRIES))
+        .when((kind == "email") | (kind == "masked_email"), text.rlike(DOMAINS))
+        .when(kind == "name", _any_of(text, FIRST_NAMES))
+    )
+    # Base patterns have no edges of their own: a match within a longer run of letters and digits is a part of something else.
+    torn = x["before"].rlike(r"[0-9A-Za-z]\z") | x["after"].rlike(r"\A[0-9A-Za-z]")
     votes = F.array(
-        _vote((kind == "ssn") | ((kind == "iban") & text.rlike(r"\A[A-Z]{2}[0-9]{2}( [A-Z0-9]{4})+")) | ((kind == "local_phone") & text.rlike(r"\A\(")) | ((kind == "masked_email") & text.rlike("(?i)dot|\\."))),
-        _vote((kind == "ssn") & ~text.rlike("^(000|666|9)"), ((kind == "ssn") & text.rlike("^(000|666|9)")) | ((kind == "local_phone") & digits.rlike("^[01]"))),
-        _vote(_any_of(text, FIRST_NAMES) | text.rlike(r"(?i)(com|org|net|edu|de|fr|es)\z") | ((kind == "iban") & text.rlike("^(DE|FR|ES|GB|IT|NL|AT|BE|CH)")), (kind == "iban") & ~text.rlike("^(DE|FR|ES|GB|IT|NL|AT|BE|CH)")),
+        _vote(rule, ~rule),
+        _vote(F.coalesce(checked, F.lit(False)), F.coalesce(~checked, F.lit(False))),
+        _vote(F.coalesce(listed, F.lit(False)), F.coalesce(~listed, F.lit(False))),
         _vote(_any_of(before, CUES)),
         _vote(F.lit(False), _any_of(F.right(before, F.lit(15)), AGAINST)),
-        _vote(F.lit(False), digits.rlike(r"([0-9])\1{5}") | _any_of(digits, ("123456",))),
+        _vote(~torn, torn),
+        _vote(F.lit(False), is_number & (digits.rlike(r"([0-9])\1{5}") | _any_of(digits, ("123456",)))),
     )
     features = F.array(
         F.length(text) > 16,
@@ -99,44 +139,52 @@ def _judged(kind: Column, x: Column) -> Column:
         x["before"].rlike(r"(\A|\n)\z"),
         x["after"].rlike(r"\A[.!?\n]|\A\z"),
     )
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), votes.alias("votes"), features.alias("features"))
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), F.lit(is_base).alias("is_base"), votes.alias("votes"), features.alias("features"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, row (a struct of the columns of ``keep``, if any), base (valid spans of the base kinds) and found (judged candidates of the added kinds that overlap no base span)."""
+    """doc_id, row (a struct of the columns of ``keep``, if any), base (valid spans of the base kinds) and found (judged candidates: all
+    matches of base patterns, and those of wider ones that overlap no valid span of a base kind).
+
+    Null texts are empty and have no candidates; rows that repeat give equal rows; an empty table gives an empty one.
+    """
     text = F.col("__text")
+    long_number = text.rlike("[0-9](?:[ -]?[0-9]){11}")
     gates = {
         "email": F.contains(text, F.lit("@")),
         "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
-        "card": text.rlike("[0-9](?:[ -]?[0-9]){13}"),
+        "card": long_number,
         "phone": F.contains(text, F.lit("+")),
         "masked_email": text.rlike(r"[\[({]at[\])}]"),
         "number": text.rlike("[0-9]{2}"),
         "name": F.lit(True),
+        "lone_card": long_number,
+        "lone_phone": F.contains(text, F.lit("+")),
     }
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
     own = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     own = with_matches(own, "__text", {k: (PATTERNS[k], gates[k]) for k in PATTERNS})
+    own = own.withColumn("card", F.filter("card", lambda x: F.length(_digits(x["text"])) >= LEAST_DIGITS))
     base = [_ranked(k, r) for r, k in enumerate(BASE_KINDS)]
     own = own.withColumn("base", F.array_sort(F.concat(*base)))
     kind_of = lambda x: F.when(x["text"].rlike("^[A-Z]"), F.lit("iban")).when(x["text"].rlike("^[0-9]{3}-[0-9]{2}-"), F.lit("ssn")).otherwise(F.lit("local_phone"))
-    found = F.concat(
-        F.transform("masked_email", lambda x: _judged(F.lit("masked_email"), x)),
-        F.transform("number", lambda x: _judged(kind_of(x), x)),
-        F.transform("name", lambda x: _judged(F.lit("name"), x)),
-    )
+    of = lambda column, kind, is_base=False: F.transform(column, lambda x: _judged(kind(x) if callable(kind) else F.lit(kind), x, is_base))
+    wide = F.concat(of("masked_email", "masked_email"), of("number", kind_of), of("name", "name"), of("lone_card", "card"), of("lone_phone", "phone"))
     apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return own.withColumn("found", F.filter(found, apart)).select("doc_id", *["row"] * bool(keep), "base", "found")
+    found = F.concat(*[of(k, k, True) for k in BASE_KINDS], F.filter(wide, apart))
+    return own.withColumn("found", found).select("doc_id", *["row"] * bool(keep), "base", "found")
 
 
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
     """Dawid and Skene's estimates from vote patterns (-1, 0, 1) and their counts: the probability of each pattern, P(vote | class) by labeler, the prior."""
     p = 1 / (1 + np.exp(-votes.sum(axis=1).astype(float)))  # the majority, softly, to begin with
     table, prior = np.zeros((2, votes.shape[1], 3)), 0.5
+    before = np.repeat(np.array(PRIOR)[:, None, :], votes.shape[1], axis=1)
+    before[:, :TRUSTED] += TRUST * counts.sum() * np.array(TRUSTED_PRIOR)[:, None, :]
     for _ in range(rounds):
         for c, weight in enumerate(((1 - p) * counts, p * counts)):
             for v in (-1, 0, 1):
-                table[c, :, v + 1] = ((votes == v) * weight[:, None]).sum(axis=0) + 0.5
+                table[c, :, v + 1] = ((votes == v) * weight[:, None]).sum(axis=0) + before[c, :, v + 1]
             table[c] /= table[c].sum(axis=1, keepdims=True)
         prior = float(np.clip((p * counts).sum() / max(counts.sum(), 1), 0.05, 0.95))
         logs = [np.log(table[c, np.arange(votes.shape[1]), votes + 1]).sum(axis=1) for c in (0, 1)]
@@ -157,7 +205,9 @@ def fit_logistic(x: np.ndarray, p: np.ndarray, counts: np.ndarray, rounds: int =
 
 
 def _inputs(kind: str, votes: list[int], features: list[bool]) -> list[float]:
-    return [float(kind == k) for k in ADDED_KINDS] + [float(v) for v in votes] + [float(f) for f in features]
+    """Kind, votes, features, and the two first votes of each kind on their own."""
+    own = [float(v) if kind == k else 0.0 for k in KINDS for v in votes[:2]]
+    return [float(kind == k) for k in KINDS] + [float(v) for v in votes] + [float(f) for f in features] + own
 
 
 def fit(found: DataFrame) -> np.ndarray:
@@ -165,21 +215,27 @@ def fit(found: DataFrame) -> np.ndarray:
     rows = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.features").count().collect()  # as many as patterns
     rows.sort(key=lambda r: (r.kind, r.votes, r.features))
     if not rows:
-        return np.array([0.0] * (len(ADDED_KINDS) + len(LABELERS) + len(FEATURES)) + [-1.0])
-    votes, counts = np.array([r.votes for r in rows]), np.array([r["count"] for r in rows], float)
-    p, _, _ = reliabilities(votes, counts)
-    return fit_logistic(np.array([_inputs(r.kind, r.votes, r.features) for r in rows]), p, counts)
+        return np.array([0.0] * len(_inputs("", [0] * len(LABELERS), [False] * len(FEATURES))) + [-1.0])
+    counts, p = np.array([r["count"] for r in rows], float), np.zeros(len(rows))
+    for kind in {r.kind for r in rows}:
+        own = np.array([r.kind == kind for r in rows])
+        p[own], _, _ = reliabilities(np.array([r.votes for r in rows if r.kind == kind]), counts[own])
+    # Counts are damped, so that the rules of one frequent kind don't drown what the others have learned.
+    return fit_logistic(np.array([_inputs(r.kind, r.votes, r.features) for r in rows]), p, np.sqrt(counts), ridge=0.1)
 
 
 def _score(c: Column, w: np.ndarray) -> Column:
     """The classifier's log-odds of a candidate."""
-    at, out = 0, F.lit(float(w[-1]))
-    for k in ADDED_KINDS:
-        out, at = out + F.when(c["kind"] == k, float(w[at])).otherwise(0.0), at + 1
+    weights = iter(w.tolist())
+    out = F.lit(float(w[-1]))
+    for k in KINDS:
+        out = out + F.when(c["kind"] == k, next(weights)).otherwise(0.0)
     for j in range(len(LABELERS)):
-        out, at = out + F.get(c["votes"], F.lit(j)) * float(w[at]), at + 1
+        out = out + F.get(c["votes"], F.lit(j)) * next(weights)
     for j in range(len(FEATURES)):
-        out, at = out + F.when(F.get(c["features"], F.lit(j)), float(w[at])).otherwise(0.0), at + 1
+        out = out + F.when(F.get(c["features"], F.lit(j)), next(weights)).otherwise(0.0)
+    for k in KINDS:
+        out = out + F.when(c["kind"] == k, F.get(c["votes"], F.lit(0)) * next(weights) + F.get(c["votes"], F.lit(1)) * next(weights)).otherwise(0.0)
     return out
 
 
@@ -193,9 +249,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stored(candidates(docs, id_col, text_col, keep), "personal-data")
     w = fit(found)
     cut = float(np.log(threshold / (1 - threshold)))
-    rank = F.array(*[F.lit(k) for k in ADDED_KINDS])
-    added = F.transform(
-        F.filter("found", lambda c: _score(c, w) >= cut),
-        lambda c: F.struct(c["start"].alias("start"), (F.array_position(rank, c["kind"]).cast("int") + len(BASE_KINDS)).alias("rank"), c["kind"].alias("kind"), c["end"].alias("end")),
-    )
+    rank = F.array(*[F.lit(k) for k in KINDS])
+    span = lambda c: F.struct(c["start"].alias("start"), (F.array_position(rank, c["kind"]).cast("int") - 1).alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"))
+    known = F.transform("base", lambda b: F.struct(b["start"], b["end"]))
+    # A match of a base pattern that failed its check can only come back in parts; valid ones are there already.
+    added = F.transform(F.filter("found", lambda c: ~c["is_base"] & (_score(c, w) >= cut) & ~F.array_contains(known, F.struct(c["start"], c["end"]))), span)
     return found.select("doc_id", *["row"] * bool(keep), "base", F.array_sort(F.concat("base", added)).alias("spans"))

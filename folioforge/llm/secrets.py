@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_or_shuffled, stored
 from .spans import with_matches
 
 
@@ -57,6 +57,8 @@ BASE = (
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+"),
 )
 MORE = (
+    # Digests in capitals, which the rule for small ones leaves out.
+    Rule("hex_upper", r"(?<![0-9A-Za-z])(?=[0-9]*[A-F])[0-9A-F]{24,}+(?![0-9A-Za-z])"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", ("-----BEGIN ",)),
     Rule("github", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}+", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+", ("xox",)),
@@ -79,7 +81,7 @@ def scan(versions: DataFrame, path_cols: list[str], ledger: DataFrame | None = N
     ledger, with what was scanned now.
 
     ``versions`` has every historical version of every path. Null content is that of an empty file. Rows that repeat give equal
-    rows; an empty table scans nothing. Findings of rule versions that are not asked for stay in the ledger and out of the result.
+    rows; an empty table scans nothing; columns other than the path and the content are not read. Findings of rule versions that are not asked for stay in the ledger and out of the result.
     """
     versions = versions.select(*path_cols, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     addressed = versions.withColumn("blob", F.sha2("__text", 256))
@@ -88,9 +90,11 @@ def scan(versions: DataFrame, path_cols: list[str], ledger: DataFrame | None = N
     if ledger is None:
         todo = blobs.dropDuplicates(["blob"]).withColumn("todo", all_rules)
     else:
-        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rule_versions"))).alias("seen"))
+        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rule_versions"))).alias("seen"))
         lacking = addressed.select("blob").distinct().join(seen, "blob", "left").withColumn("todo", F.when(F.col("seen").isNull(), all_rules).otherwise(F.array_except(all_rules, "seen")))
-        todo = blobs.join(lacking.filter(F.size("todo") > 0).select("blob", "todo"), "blob").dropDuplicates(["blob"])
+        lacking = stored(lacking.filter(F.size("todo") > 0).select("blob", "todo"), "unseen")
+        # A few unseen blobs are picked out where their texts are; texts of all others never move.
+        todo = blobs.join(small_or_shuffled(lacking, lacking.count()), "blob").dropDuplicates(["blob"])
     fresh = stored(_scan(todo, rules), "ledger")
     whole = fresh if ledger is None else ledger.select(*fresh.columns).unionByName(fresh)
     names = [r.name for r in rules]

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontam, pii, secrets
-from folioforge.llm.queries import op2_weak_supervision_pii
+from folioforge.llm.queries import op2_weak_supervision_pii, op3_secret_ledger
 from folioforge.llm.spans import redacted
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -118,6 +118,57 @@ def test_added_spans_and_redaction(spark):
     assert [s.kind for s in got[0].spans] == ["masked_email"]
 
 
+def test_added_spans_against_labelled_ones(spark):
+    """Spans that no base rule gives, beside numbers that only look like them: both are known here."""
+    rng = np.random.default_rng(11)
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+
+    def card(valid=True):
+        own = "4" + digits(14)
+        return next(own + d for d in "0123456789" if luhn(own + d) == valid)
+
+    texts, truth = [], []
+    makers = [
+        lambda: ("paid with ", [("card", card()), ("", " "), ("card", card())], " today"),
+        lambda: ("the list ", [("", card(False)), ("", " "), ("card", card())], " of it"),
+        lambda: ("number ", [("", card(False)), ("", " "), ("", card(False))], " again"),
+        lambda: ("reach us at ", [("phone", f"+1 (310) 555-{digits(4)}"), ("", " "), ("", "190.137.223.204")], " or so"),
+        lambda: ("write to ", [("masked_email", "jane.doe [at] mail [dot] example.org")], " then"),
+        lambda: ("my ssn ", [("ssn", f"219-09-{digits(4)}")], " is"),
+        lambda: ("version ", [("", f"900-12-{digits(4)}")], " of the file"),
+        lambda: ("order no. ", [("", "123456" + digits(10))], " was sent"),
+        lambda: ("on ", [("", "2.0.1")], " it ran"),
+        lambda: ("mail ", [("", "a@b.com")], " or card "),
+    ]
+    for k in range(400):
+        lead, parts, tail = makers[k % len(makers)]()
+        at, own = len(lead), set()
+        for kind, said in parts:
+            if kind:
+                own.add((kind, at, at + len(said)))
+            at += len(said)
+        texts.append(lead + "".join(said for _, said in parts) + tail)
+        truth.append(own)
+    rows = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    base = {k: {(s.kind, s.start, s.end) for s in rows[k].base} for k in rows}
+    got = {k: {(s.kind, s.start, s.end) for s in rows[k].spans} - base[k] for k in rows}
+    want = {k: truth[k] - base[k] for k in rows}
+    right = sum(len(got[k] & want[k]) for k in rows)
+    # A part of a labelled span, such as a telephone number without its country, is not wrong.
+    wrong = sum(not any(a <= s[1] and s[2] <= b for _, a, b in truth[k]) for k in rows for s in got[k])
+    assert sum(map(len, want.values())) >= 200
+    assert right > 0.95 * sum(map(len, want.values())) and wrong < 0.05 * right, {(k % 10, s[0]) for k in rows for s in got[k] if not any(a <= s[1] and s[2] <= b for _, a, b in truth[k])}
+
+
+def test_real_rows_get_added_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.personal_data(docs, keep=("text",)).filter("size(spans) > size(base)").collect()
+    assert rows
+    for r in rows:
+        for s in {tuple(x) for x in r.spans} - {tuple(x) for x in r.base}:
+            assert s[2] == "card" and luhn(r.row.text[s[0] : s[3]])
+
+
 def test_reliabilities_find_the_noisy_labeler():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.4
@@ -144,6 +195,33 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secrets.scan(v1.limit(0), ["path"])[0].count() == 0
 
 
+def test_ledger_query_scans_each_pair_once(spark, monkeypatch):
+    """The second increment takes only blobs that the first has not seen, and together they take all."""
+    seen, scan = [], secrets._scan
+
+    def counted(blobs, rules):
+        kept = blobs.select("blob", "text", "todo").cache()
+        seen.extend((r.blob, v) for r in kept.select("blob", "todo").collect() for v in r.todo)
+        return scan(kept, rules)
+
+    monkeypatch.setattr(secrets, "_scan", counted)
+    sf = "/root/testdata/sf0.001"
+    found = op3_secret_ledger(spark, sf)
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    blobs = {hashlib.sha256(t.encode()).hexdigest() for t in texts}
+    assert found.count() == len(texts) > len(blobs)
+    assert sorted(seen) == sorted((b, r.version) for b in blobs for r in secrets.BASE + secrets.MORE)
+
+
+def test_findings_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token = abcdef", "x", "y"), (1, "token = abcdef", "x", "y")], "doc_id long, text string, blob string, todo string")
+    found, ledger = secrets.scan(docs, ["doc_id"])
+    again, _ = secrets.scan(docs, ["doc_id"], ledger)
+    assert [[f.kind for f in r.findings] for r in found.union(again).collect()] == [["assign"]] * 4
+    upper = secrets.scan(spark.createDataFrame([(1, "A1" * 20), (2, "1" * 40), (3, "g" + "A1" * 20)], "doc_id long, text string"), ["doc_id"])[0]
+    assert {r.doc_id: [f.kind for f in r.findings] for r in upper.collect()} == {1: ["hex_upper"], 2: ["hex"], 3: []}
+
+
 def test_query_digest(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
