@@ -5,11 +5,14 @@ that position on, circularly shifted by one for each coordinate. A shingle's con
 contiguous slice, and the signature is the minimum over the slices.
 
 Equal shingle sets are one class first, so copies never become pairs. Members of a band's bucket are compared with a few
-pivots of the bucket, not with each other; links found so join classes to components. Only pairs of classes that share a
-bucket and are still in different components are left; of these, those which a bound can't exclude are compared too: two sets
-share no more than, summed over PARTS parts of the hash range, the smaller of their counts of shingles that anyone shares. Every comparison is on full sets, and every pair of a bucket is linked,
-in one component already, excluded by the bound or compared: banding is the only step that can miss a link, with
-probability (1 - 0.8**5)**34, about one in 700,000, at a similarity of exactly 0.8 and less above it.
+pivots of the bucket, not with each other; links found so join classes to components. Only classes of buckets that still hold
+several components are left, and these go through a prefix filter: with the shingles of each set in one order, those that no other
+set has first, two sets with the wanted similarity share a shingle within the first few of both, so only pairs of different components that
+do are compared. Every comparison is on full sets. Banding is the only step that can miss a link, with probability
+(1 - 0.8**5)**34, about one in 700,000, at a similarity of exactly 0.8 and less above it.
+
+Sets of over about a million shingles fill most positions of the permutations, so they share buckets with others more often; that
+costs comparisons and changes no result.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, small_batches, small_or_shuffled, stored, window_hashes, words_of
+from .common import BROADCAST_ROWS, mix, row_key, slices, small_batches, small_or_shuffled, stored, window_hashes, words_of
 
 #: Signature layout: BANDS bands of ROWS coordinates; positions of the two permutations.
 BANDS, ROWS, UNIVERSE = 34, 5, 1 << 20
 PIVOTS = 3
-PARTS = 128
+#: Rows from which a class of equal sets counts as large: its name is broadcast instead of dealt by key.
+LARGE = 1000
 _ring: list[np.ndarray] = []
 
 
@@ -59,16 +63,20 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix((sig.reshape(BANDS, ROWS).astype(np.uint64) * _WEIGHTS).sum(axis=1, dtype=np.uint64) + _SEEDS).view(np.int64)
 
 
+def _set_key(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n, sets, bands = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = np.unique(window_hashes(words_of(text), size))
                 n.append(len(s))
-                sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sets.append(_set_key(s))
                 bands.append(band_keys(signature(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "n_shingles", "set_key", "bands"])
 
     return run
 
@@ -76,28 +84,15 @@ def _sketches(size: int):
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [np.unique(window_hashes(words_of(t), size)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
+            sets = [np.unique(window_hashes(words_of(t), size)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_key", "items"])
 
     return run
 
 
-def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each set, the shingles that no other has, and those that some other has by part of the hash range."""
-    for batch in batches:
-        alone, common, parts = [], [], []
-        for items, own in zip(batch.column(1), batch.column(2), strict=True):
-            k = np.bincount(items.values.to_numpy() % PARTS, minlength=PARTS)
-            if own.is_valid:
-                k -= np.bincount(own.values.to_numpy() % PARTS, minlength=PARTS)
-            common.append(int(k.sum()))
-            alone.append(len(items) - common[-1])
-            parts.append(k.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(alone, pa.int64()), pa.array(common, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], ["node", "alone", "common", "parts"])
-
-
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
-    """(node, label) for the nodes of ``edges`` (a, b): label is the smallest node that can be reached.
+    """(node, label) for the nodes of ``edges`` (a, b): label is the smallest node that can be reached. Repeated edges count once; no edges
+    give no rows.
 
     A node that finds a smaller label gives it to the node of its old label as well, so what shared the old label moves together; a
     pointer jump follows. Labels only get smaller, and rounds go on until none changes: then neighbours have equal labels. On chains of
@@ -125,56 +120,82 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("n") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
+def _late_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of sets (node, label, items) with different labels that can have 100 * intersection >= percent * union.
+
+    Shingles are ordered as those of this set alone, then all others by value. Of a set of n, the smaller of a pair shows its first
+    n - ceil(2 * percent * n / (100 + percent)) + 1, the larger its first n - ceil(percent * n / 100) + 1; two sets without a common one among these
+    can't be that similar. Per shingle, members of its most frequent label meet only those of other labels.
+    """
+    each = sets.select("node", F.explode("items").alias("item"))
+    lone = each.groupBy("item").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.collect_list("item").alias("lone"))
+    none = F.array().cast("array<bigint>")
+    shared = sets.join(lone, "node", "left").select("node", "label", F.size("items").alias("n"), F.sort_array(F.array_except("items", F.coalesce("lone", none))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    show = lambda share: F.greatest(F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    shared = shared.select("node", "label", "n", show(percent / 100).alias("most"), show(2 * percent / (100 + percent)).alias("few"), "shared").filter("most > 0")
+    shown = shared.select("node", "label", "n", "few", F.posexplode(F.slice("shared", F.lit(1), F.col("most"))).alias("at", "item"))
+    shown = stored(shown.withColumn("first", F.col("at") < F.col("few")).drop("at", "few"), "shown")
+    labels = shown.groupBy("item", "label").agg(F.count("*").alias("k"))
+    mixed = labels.groupBy("item").agg(F.max_by("label", "k").alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("item", "main")
+    shown = stored(shown.join(mixed, "item").withColumn("rare", F.col("label") != F.col("main")), "mixed")
+    x, y = (shown.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "first", "rare")]) for s in "xy")
+    smaller = F.struct("n_x", "node_x") < F.struct("n_y", "node_y")
+    fits = (F.col("label_x") != F.col("label_y")) & F.col("first_x") & smaller & (F.col("n_x") * 100 >= F.col("n_y") * percent)
+    both = x.filter("rare_x").join(y, "item").filter(fits).unionByName(x.filter("not rare_x").join(y.filter("rare_y"), "item").filter(fits))
+    return both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row for each row of ``docs``: doc_id, row (tells texts of one id apart, see ``row_key``), n_shingles, component_id, kept, group (a number of
+    the component; null without shingles).
 
     Words are between ASCII white space, A-Z lower-cased; shingles are ``size`` words, or the whole sequence of a shorter text.
-    Null, empty and blank texts have no shingles and are their own component. Rows that repeat give equal rows; a null id
-    is never the smallest of a component, nor kept. Other columns of ``docs`` are not read. An empty table gives an empty one.
+    Null, empty and blank texts have no shingles and are their own component. Rows that repeat give equal rows; texts that share an id
+    are linked each on its own; a null id is never the smallest of a component, nor kept, and a component of null ids alone
+    has the id null. Other columns of ``docs`` are not read. An empty table gives an empty one. Ids are cast to long: one that is no
+    number stops the run.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     small_batches(docs.sparkSession)
-    rows = stored(docs.mapInArrow(_sketches(size), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
-    # Copies are one class, named by its smallest id; its bands are those of any member.
-    classes = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    first = rows.select("set_key", "doc_id", "bands", "n_shingles").join(classes.withColumnRenamed("set_key", "own"), (F.col("own") == F.col("set_key")) & (F.col("node") == F.col("doc_id")))
-    buckets = first.select("node", F.explode("bands").alias("bucket"))
+    rows = stored(docs.mapInArrow(_sketches(size), "doc_id long, row long, n_shingles long, set_key binary, bands array<long>"), "sketches")
+    # Copies are one class with a number of its own, which is fixed once it is written; its bands are those of any member.
+    member = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    classes = rows.filter("set_key is not null").groupBy("set_key").agg(F.min(member).alias("m"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
+    classes = stored(classes.select("set_key", F.col("m.doc_id").alias("least_id"), "m.row", "rows", "bands", F.monotonically_increasing_id().alias("node")), "classes")
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
     # Buckets of one class are the many; the others keep their members and a few pivots, the first by PIVOTS orders.
     orders = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("r"), "node")).alias(f"p{k}") for k in range(PIVOTS)]
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members"), *orders).filter("members > 1")
     shared = shared.select("bucket", F.array_distinct(F.array(*[f"p{k}.node" for k in range(PIVOTS)])).alias("pivots"))
     members = stored(buckets.join(shared, "bucket"), "members")
     pairs = stored(members.select("node", F.explode("pivots").alias("pivot")).filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
-    nodes = stored(members.select("node").distinct(), "nodes")
-    wanted = small_or_shuffled(nodes, nodes.count())
-    chosen = docs.join(wanted, docs.doc_id == wanted.node, "left_semi")
-    sets = stored(chosen.mapInArrow(_full_sets(size), "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    # One text of each class that takes part, that of its first member: no text moves but those.
+    nodes = stored(classes.join(members.select("node").distinct(), "node").select("node", "set_key", "least_id", F.col("row").alias("own")), "nodes")
+    n_nodes = nodes.count()
+    wanted = small_or_shuffled(nodes.select("least_id", "own"), n_nodes)
+    chosen = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.least_id) & (docs.row == wanted.own), "left_semi")
+    full = chosen.select("text").mapInArrow(_full_sets(size), "set_key binary, items array<long>")
+    sets = stored(full.join(small_or_shuffled(nodes.select("set_key", "node"), n_nodes), "set_key").select("node", "items").dropDuplicates(["node"]), "sets")
     links = stored(_linked(pairs, sets, percent), "links")
     labels = components(links)
     # What is left: classes that share a bucket but no component yet.
     labelled = members.select("node", "bucket").join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = stored(labelled.join(split, "bucket"), "rest")
-    own = rest.select("node").distinct()
-    items = sets.join(own, "node", "left_semi")
-    lone = items.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.collect_list("item").alias("lone"))
-    counted = items.join(lone, "node", "left").select("node", "items", "lone").mapInArrow(_part_counts, "node long, alone long, common long, parts array<int>")
-    # A class that could reach the threshold with no partner, given what it shares with anyone, is done.
-    counted = stored(counted.filter(F.col("common") * 100 >= F.lit(percent) * (F.col("common") + F.col("alone"))), "counts")
-    sized = rest.join(counted, "node")
-    x, y = (sized.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "alone", "common", "parts")]) for s in "xy")
-    most = F.aggregate(F.zip_with("parts_x", "parts_y", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, k: total + k)
-    all_ = F.col("alone_x") + F.col("common_x") + F.col("alone_y") + F.col("common_y")
-    open_ = x.join(y, "bucket").filter(
-        (F.col("node_x") < F.col("node_y"))
-        & (F.col("label_x") != F.col("label_y"))
-        & (F.least("common_x", "common_y") * (100 + percent) >= F.lit(percent) * all_)
-        & (most * (100 + percent) >= F.lit(percent) * all_)
-    )
-    late = _linked(stored(open_.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "late-pairs"), sets, percent)
-    late = stored(late, "late")
+    rest = labelled.join(split, "bucket", "left_semi").select("node", "label").distinct()
+    late = _late_pairs(stored(sets.join(rest, "node"), "rest"), percent)
+    late = stored(_linked(stored(late.join(pairs, ["a", "b"], "left_anti"), "late-pairs"), sets, percent), "late")
     if late.take(1):
         labels = components(links.union(late), "all")
-    named = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    joined = classes.select("set_key", "least_id", "rows", "node").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
+    ids = joined.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    named = stored(joined.join(ids, "group").select("set_key", "rows", "group", "component_id"), "named")
+    # Names of large classes are broadcast: there are BROADCAST_ROWS of them at most. Their rows are dealt by row, not by class.
+    from_rows = max(LARGE, -(-rows.count() // BROADCAST_ROWS))
+    large = F.broadcast(named.filter(F.col("rows") >= from_rows).select("set_key", F.col("group").alias("g"), F.col("component_id").alias("c")))
+    own = rows.select("doc_id", "row", "n_shingles", "set_key").join(large, "set_key", "left")
+    spread = F.unhex(F.md5(F.concat_ws(" ", "doc_id", "row").cast("binary")))
+    own = own.withColumn("key", F.when(F.col("g").isNull() & F.col("set_key").isNotNull(), F.col("set_key")).otherwise(spread))
+    small = named.filter(F.col("rows") < from_rows).select(F.col("set_key").alias("key"), "group", "component_id")
+    out = own.join(small, "key", "left").select("doc_id", "row", "n_shingles", F.coalesce("g", "group").alias("group"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("c", "component_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
