@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_key, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 5
-#: Benchmark windows that are broadcast (about 100 bytes each); more are joined by shuffle.
-BROADCAST_WINDOWS = 300_000
+#: Benchmark windows are broadcast up to so many bytes (words, item ids and 64 for each window and id), which are counted; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: str | Column) -> Column:
@@ -33,32 +33,49 @@ def _positions(n: Column, size: int) -> Column:
     return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
 
 
+def _runs(values: Column, size: int) -> Column:
+    """The ``size`` neighbours from each place on, as structs; those that reach over the end hold nulls."""
+    return F.arrays_zip(*[F.slice(values, F.lit(k + 1), F.greatest(F.size(values) - k, F.lit(0))).alias(f"h{k}") for k in range(size)])
+
+
 def _grams(hashes: Column, n: Column, size: int) -> Column:
-    return F.transform(_positions(n, size), lambda i: F.xxhash64(F.lit(size), *[F.get(hashes, i + k) for k in range(size)]))
+    """The hash of each run of ``size`` words."""
+    whole = F.slice(_runs(hashes, size), F.lit(1), F.greatest(n - size + 1, F.lit(0)))
+    return F.transform(whole, lambda x: F.xxhash64(F.lit(size), *[x[f"h{k}"] for k in range(size)]))
 
 
-def _smallest(grams: Column, n: Column, window: int) -> Column:
-    """The smallest gram of each window."""
-    return F.transform(_positions(n, window), lambda i: F.least(*[F.get(grams, i + k) for k in range(window - GRAM + 1)]))
+def _sliding(values: Column, width: int, pick) -> Column:
+    """``pick`` (least or greatest) of the ``width`` values from each place on, by doubling; places at the end see fewer."""
+    done, out = 1, values
+    while done < width:
+        step = min(done, width - done)
+        shifted = F.slice(out, F.lit(step + 1), F.greatest(F.size(out) - step, F.lit(0)))
+        out, done = F.zip_with(out, shifted, lambda a, b: pick(a, b)), done + step
+    return out
 
 
 def _fingerprints(docs: DataFrame, window: int, lengths: list[int]) -> DataFrame:
     """Adds ``prints``: (at, key) for each kept gram and, for the lengths of short items, for each gram of that length."""
-    n = F.col("n_words")
+    n, width = F.col("n_words"), window - GRAM + 1
     docs = docs.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     docs = docs.withColumn("grams", F.when(n >= window, _grams(F.col("hashes"), n, GRAM)).otherwise(F.array().cast("array<bigint>")))
-    docs = docs.withColumn("least", _smallest(F.col("grams"), n, window))
-    # get() gives null outside the array, and greatest() skips nulls.
+    # The smallest gram of each window; one that any window over it has for its smallest is kept. Nulls outside the windows are skipped.
+    docs = docs.withColumn("least", F.slice(_sliding(F.col("grams"), width, F.least), F.lit(1), F.greatest(n - window + 1, F.lit(0))))
+    edge = F.array_repeat(F.lit(None).cast("bigint"), width - 1)
+    docs = docs.withColumn("over", _sliding(F.concat(edge, F.col("least"), edge), width, F.greatest))
     kept = F.filter(
-        F.transform("grams", lambda g, i: F.when(g == F.greatest(*[F.get("least", F.when(i >= k, i - k)) for k in range(window - GRAM + 1)]), F.struct(i.alias("at"), g.alias("key")))),
+        F.transform(F.arrays_zip(F.col("grams").alias("g"), F.slice("over", F.lit(1), F.size("grams")).alias("o")), lambda x, i: F.when(x["g"] == x["o"], F.struct(i.alias("at"), x["g"].alias("key")))),
         lambda x: x.isNotNull(),
     )
+    kept = F.when(n >= window, kept).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
     short = [F.transform(_grams(F.col("hashes"), n, size), lambda g, i: F.struct(i.alias("at"), g.alias("key"))) for size in lengths]
-    return docs.withColumn("prints", F.concat(kept, *short) if short else kept).drop("hashes", "grams", "least")
+    return docs.withColumn("prints", F.concat(kept, *short) if short else kept).drop("hashes", "grams", "least", "over")
 
 
 def windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct benchmark windows: size, words, item_ids (as strings), and the key and place of the gram that is joined."""
+    """Distinct benchmark windows: size, words, item_ids (as strings), and the key and place of the gram that is joined.
+
+    Null, empty and wordless items and null ids have none; items that repeat count once; an empty table gives an empty one."""
     items = items.select(F.col(id_col).cast("string").alias("item_id"), words(text_col).alias("w")).withColumn("n", F.size("w")).filter("n > 0 and item_id is not null")
     size = F.least(F.col("n"), F.lit(window))
     each = items.select("item_id", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), lambda i: F.slice("w", i, size))).alias("own"))
@@ -75,21 +92,23 @@ def windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: st
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit (words inside any occurrence of a benchmark window), item_ids (those with
+    """One row per row of ``docs``: doc_id, row (tells texts of one id apart, see ``row_key``), n_words, n_hit (words inside any occurrence of a benchmark window), item_ids (those with
     occurring windows, sorted as strings), spans (hit word ranges, end exclusive), contaminated.
 
     Null and empty texts have no words; items without words, or with a null id, are no windows; an empty benchmark hits nothing.
-    Rows that repeat give equal rows. Other columns of either table are not read.
+    Rows that repeat give equal rows. Other columns of either table are not read. Ids are cast to long: one that is no number stops the run.
     """
     if window < GRAM + 1:
         raise ValueError(f"a window has at least {GRAM + 1} words")
     found = stored(windows(items, window, item_id_col, item_text_col), "benchmark-windows")
-    count, lengths = found.count(), sorted(r["size"] for r in found.filter(F.col("size") < window).select("size").distinct().collect())
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), words(text_col).alias("words")).withColumn("n_words", F.size("words"))
-    none = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("key"))
+    size = F.aggregate(F.concat("own", "item_ids"), F.lit(64).cast("long"), lambda a, x: a + F.octet_length(x) + 64)
+    held, lengths = found.agg(F.sum(size)).first()[0] or 0, sorted(r["size"] for r in found.filter(F.col("size") < window).select("size").distinct().collect())
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("row"), words(text_col).alias("words")).withColumn("n_words", F.size("words"))
+    # Every document has one entry that stands for itself; its key is its own, so that these entries are dealt evenly.
+    none = F.struct(F.lit(-1).alias("at"), F.xxhash64("doc_id", "row").alias("key"))
     prints = _fingerprints(base, window, lengths).select("doc_id", "row", "words", "n_words", F.explode(F.concat(F.array(none), "prints")).alias("p"))
     begin = F.col("p.at") - F.col("shift")
-    if count <= BROADCAST_WINDOWS:
+    if held <= BROADCAST_BYTES:
         near = prints.join(F.broadcast(found), F.col("p.key") == F.col("key"), "left")
         same = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.col("size")) == F.col("own")
     else:
@@ -115,6 +134,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     grouped = grouped.withColumn("spans", F.when(F.size("found") > 0, merged).otherwise(start))
     out = grouped.select(
         "doc_id",
+        "row",
         F.col("n_words").cast("long").alias("n_words"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten("sets"))).alias("item_ids"),

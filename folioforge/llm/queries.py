@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = crc_of("doc_id") % 5 != 0
     texts, known = labelled_sample(docs, labels, "toxic", training, toxicity.PER_CLASS, toxicity.MAX_CHARS)
     share = labels.filter(training).agg(F.avg("toxic")).first()[0]
-    found = toxicity.score(docs, toxicity.fit(texts, known, float(share or 0.5)))
+    found = toxicity.score(docs, toxicity.fit(texts, known, 0.5 if share is None else float(np.clip(share, 0.001, 0.999))))
     return found.select("doc_id", (crc_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -133,10 +133,11 @@ def fit(texts: list[str], labels: np.ndarray, prior: float) -> Model:
     held = np.arange(len(texts)) % 5 == 4
     if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
         held[:] = False
-    weights, bias = _fit_vectors([t for t, h in zip(texts, held, strict=True) if not h], labels[~held])
-    held = held if held.any() else ~held
-    plain = Scorer(Model(weights, bias, 1.0, 0.0)).scores([t for t, h in zip(texts, held, strict=True) if h])
-    best, known = np.log(plain) - np.log1p(-plain), labels[held]
+    learned = [t for t, h in zip(texts, held, strict=True) if not h]
+    known_texts, known = ([t for t, h in zip(texts, held, strict=True) if h], labels[held]) if held.any() else (learned, labels[~held])
+    weights, bias = _fit_vectors(learned, labels[~held])
+    plain = Scorer(Model(weights, bias, 1.0, 0.0)).scores(known_texts)
+    best = np.log(plain) - np.log1p(-plain)
     c = {"scale": np.ones(1), "shift": np.zeros(1)}
     spread, middle = float(best.std()) or 1.0, float(best.mean())
     balance = np.where(known == 1, prior / (known == 1).sum(), (1 - prior) / (known == 0).sum())
@@ -151,7 +152,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float) -> Model:
 
 
 def _fit_vectors(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """The weight of each n-gram bucket (its vector times the output layer) and the bias."""
+    """The log-odds that each n-gram bucket adds (its vector times the difference of the softmax's two columns), and the bias."""
     found = [WORDS.findall(t.lower()) for t in texts]
     seen = Counter(w for ws in found for w in set(ws))
     vocabulary: dict[str, int] = {w: k for k, w in enumerate(sorted(w for w, n in seen.items() if n >= LEAST_DOCS))} or {"": 0}
@@ -171,35 +172,35 @@ def _fit_vectors(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, floa
     word_of, passage_of, doc_of = np.concatenate(word_of), np.concatenate(passage_of), np.array(doc_of)
     first = np.concatenate([[0], np.flatnonzero(np.diff(doc_of)) + 1])
     rng = np.random.default_rng(8)
-    p = {"vectors": rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32), "out": rng.normal(0, 0.5, DIMENSIONS), "bias": np.zeros(1)}
+    p = {"vectors": rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32), "out": rng.normal(0, 0.5, (DIMENSIONS, 2)), "bias": np.zeros(2)}
+    wanted = np.eye(2)[labels]
+    balance = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())[:, None]
 
-    def forward() -> tuple[np.ndarray, np.ndarray]:
+    def gradients(step: int) -> dict[str, np.ndarray]:
         words = _sums(p["vectors"][buckets], owner, len(vocabulary)) / per_word[:, None]
         bags = _sums(words[word_of], passage_of, n_passages) / PASSAGE
-        return bags, bags @ p["out"] * TEMPERATURE + p["bias"][0]
-
-    balance = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
-
-    def gradients(step: int) -> dict[str, np.ndarray]:
-        bags, logits = forward()
+        logits = bags @ p["out"] * TEMPERATURE + p["bias"]
         # Passages count by how toxic they look, from all alike at first to the most toxic one alone.
-        e = np.exp(np.minimum(logits - np.maximum.reduceat(logits, first)[doc_of], 0))
-        share = e / np.add.reduceat(e, first)[doc_of]
+        odds = logits[:, 1] - logits[:, 0]
+        e = np.exp(np.minimum(odds - np.maximum.reduceat(odds, first)[doc_of], 0))
+        share = (e / np.add.reduceat(e, first)[doc_of])[:, None]
         document = np.add.reduceat(share * logits, first)
-        error = share * ((sigmoid(document) - labels) * balance)[doc_of]
-        bag_grad = np.outer(error * (TEMPERATURE / PASSAGE), p["out"])
+        softmax = np.exp(document - document.max(axis=1, keepdims=True))
+        error = share * (((softmax / softmax.sum(axis=1, keepdims=True)) - wanted) * balance)[doc_of]
+        bag_grad = error @ p["out"].T * (TEMPERATURE / PASSAGE)
         per_word_grad = _sums(bag_grad[passage_of], word_of, len(vocabulary)) / per_word[:, None]
         vectors = _sums(per_word_grad[owner], buckets, BUCKETS) + RIDGE * p["vectors"]
-        return {"vectors": vectors, "out": bags.T @ error * TEMPERATURE + 1e-4 * p["out"], "bias": np.array([error.sum()])}
+        return {"vectors": vectors, "out": bags.T @ error * TEMPERATURE + 1e-4 * p["out"], "bias": error.sum(axis=0)}
 
     adam(p, gradients, STEPS, RATE)
-    return (p["vectors"] @ p["out"]).astype(np.float32), float(p["bias"][0])
+    return (p["vectors"] @ (p["out"][:, 1] - p["out"][:, 0])).astype(np.float32), float(p["bias"][1] - p["bias"][0])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every whole text; null and empty texts, which have no words, get the score of no evidence.
 
-    Rows that repeat give equal rows; other columns are not read; an empty table gives an empty one.
+    Rows that repeat give equal rows; other columns are not read; an empty table gives an empty one. Ids are cast to long: one that is
+    no number stops the run.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -77,3 +77,15 @@ def test_repeated_rows_null_texts_and_no_rows(spark, tmp_path):
     assert texts == ["A b c d e f g h", "A b c d e f g h", "None", "mail [EMAIL]", "zz yy"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_with_null_and_reused_ids(spark):
+    """Each row is judged by its own text: a null id hides nothing, and a clean text stays beside a contaminated one of its id."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    a = " ".join(f"a{k}" for k in range(60))
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(None, item), (1, item), (1, "clean words"), (2, a), (None, a + " z"), (3, "b " + a), (3, "other text of three"), (None, None)]], kind)
+    left = corpus_pipeline.decontaminate(spark, docs, SF).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(str((r.doc_id, r.text)) for r in docs.collect() if r.text != item)
+    left = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert sorted(str((r.doc_id, (r.text or "")[:6])) for r in left) == sorted(map(str, [(1, item[:6]), (1, "clean "), (2, a[:6]), (3, "other "), (None, "")]))

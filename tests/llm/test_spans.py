@@ -40,10 +40,10 @@ def test_contamination_like_brute_force(spark):
     docs += [(100, None), (101, ""), (102, items[7][1].upper()), (103, ", ".join(items[0][1].split())), (104, "the " * 40000 + items[1][1]), (105, " ".join(items[7][1].split()[3:13])), (106, " ".join(items[7][1].split()[3:12]))]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    for bound in (decontam.BROADCAST_WINDOWS, 0):
-        old, decontam.BROADCAST_WINDOWS = decontam.BROADCAST_WINDOWS, bound
+    for bound in (decontam.BROADCAST_BYTES, 0):
+        old, decontam.BROADCAST_BYTES = decontam.BROADCAST_BYTES, bound
         got = {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids)) for r in decontam.contamination(d, b).collect()}
-        decontam.BROADCAST_WINDOWS = old
+        decontam.BROADCAST_BYTES = old
         known = [(i, t) for i, t in items if i is not None]
         assert got == {i: hits(t, known) for i, t in docs if i != 104} | {104: got[104]}
         assert got[104][1:] == (got[104][1], got[104][2]) and "2" in got[104][2]
