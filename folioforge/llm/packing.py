@@ -10,7 +10,7 @@ that of one window.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,45 +48,60 @@ def pack_window(sizes: np.ndarray, shares: np.ndarray, limits: Limits) -> list[t
     sequence = 0
     tokens, loss = limits.tokens, float(limits.loss)
 
-    def demand(examples: np.ndarray, room: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """The most tokens of each example that fit, and how many of these bear loss; the first of a segment bears none."""
-        share = np.maximum(shares[examples], 1e-12)
-        part = np.minimum(np.minimum(size[examples], room), np.floor(slack / share + 1e-9) + 1).astype(np.int64)
-        return part, np.ceil((part - 1) * share - 1e-9)
+    def demand(n: np.ndarray, share: np.ndarray, room: int, slack: float) -> np.ndarray:
+        """The most tokens of each example that fit; the first of a segment bears no loss."""
+        return np.minimum(np.minimum(n, room), np.floor(slack / share + 1e-9) + 1).astype(np.int64)
 
+    def bearing(n, share):
+        return np.ceil((n - 1) * share - 1e-9)
+
+    every = np.maximum(shares, 1e-12)
     # Whole sequences of one long example need no choice.
     for k in np.flatnonzero(size > tokens):
-        part, _ = demand(np.array([k]), tokens, loss)
-        full = 1 << (int(part[0]).bit_length() - 1)
+        full = 1 << (int(demand(size[k : k + 1], every[k : k + 1], tokens, loss)[0]).bit_length() - 1)
         for _ in range((size[k] - 1 - tokens) // full + 1):
             pieces.append((int(k), int(start[k]), full, sequence, 0))
             start[k], size[k], sequence = start[k] + full, size[k] - full, sequence + 1
-    left = np.flatnonzero(size > 0)
-    while len(left):
+    # Examples that are left, with their sizes, shares and loss-bearing tokens, in the first ``count`` places of four arrays.
+    ids = np.flatnonzero(size > 0)
+    n, share = size[ids], every[ids]
+    need = bearing(n, share)
+    count = len(ids)
+    while count:
         room, segments, slack = tokens, limits.segments, loss
         chosen: list[tuple[int, int]] = []
-        while room and segments and len(left):
-            part, need = demand(left, room, slack)
+        while room and segments and count:
+            left, wanted = n[:count], need[:count]
             # Every example takes one segment, so that dimension adds the same to each product.
-            gain = part * (room / tokens**2) + need * (slack / max(loss, 1.0) ** 2)
-            whole = part == size[left]
-            at = int(np.argmax(np.where(whole, gain, -1.0) if segments > 1 and whole.any() else gain))
-            k, take = left[at], int(part[at])
-            chosen.append((int(k), take))
-            room, segments, slack = room - take, segments - 1, slack - float(need[at])
+            by_room, by_slack = room / tokens**2, slack / max(loss, 1.0) ** 2
+            whole = (left <= room) & (wanted <= slack)
+            at = int(np.argmax((left * by_room + wanted * by_slack + 1e-9) * whole)) if segments > 1 else 0
+            take = int(left[at])
+            if segments == 1 or not whole[at]:
+                part = demand(left, share[:count], room, slack)
+                at = int(np.argmax(part * by_room + bearing(part, share[:count]) * by_slack))
+                take = int(part[at])
+            k = int(ids[at])
+            chosen.append((k, take))
+            room, segments, slack = room - take, segments - 1, slack - float(bearing(take, share[at]))
             size[k] -= take
             if size[k]:
+                n[at], need[at] = size[k], bearing(size[k], share[at])
                 break  # it was cut to what was left
-            left = np.delete(left, at)
+            count -= 1
+            for a in (ids, n, share, need):
+                a[at] = a[count]
         used = sum(t for _, t in chosen)
         over = used - (1 << (used.bit_length() - 1))
         for j in range(len(chosen) - 1, -1, -1):  # cut off what exceeds a power of two
             k, take = chosen[j]
             back = min(over, take)
             chosen[j], over = (k, take - back), over - back
-            if back and not size[k]:
-                left = np.append(left, k)
-            size[k] += back
+            if back:
+                at = count if not size[k] else int(np.flatnonzero(ids[:count] == k)[0])
+                size[k] += back
+                ids[at], n[at], share[at], need[at] = k, size[k], every[k], bearing(size[k], every[k])
+                count = max(count, at + 1)
         offset = 0
         for k, take in chosen:
             if take:
@@ -96,29 +111,31 @@ def pack_window(sizes: np.ndarray, shares: np.ndarray, limits: Limits) -> list[t
     return pieces
 
 
-def reply_share(text: Column) -> Column:
+def reply_share(text: str) -> float:
     """The loss share of a text read as a dialogue whose every second line is a reply: the characters of those lines by those of all lines;
     1 for a text of one line or none."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    size = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda total, x: total + F.length(x))
-    return F.when(F.size(lines) > 1, F.coalesce(F.try_divide(size(F.filter(lines, lambda x, i: i % 2 == 1)), size(lines)), F.lit(1.0))).otherwise(1.0)
+    lines = list(map(len, text.split("\n")))
+    return sum(lines[1::2]) / sum(lines) if len(lines) > 1 and sum(lines) else 1.0
 
 
-def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int, limits: Limits = Limits(), loss: Column | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int, limits: Limits = Limits(), loss: Column | Callable[[str], float] | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens and, if asked, ids.
 
-    Every whole text (null: empty) is encoded with ``end_id`` appended. ``loss`` is a column with the share of loss-bearing
-    tokens (null: all). Rows are packed as they come, so repeated ids stay apart; a null id stays null. Sequence ids
+    Every whole text (null: empty) is encoded with ``end_id`` appended. ``loss`` is the share of loss-bearing tokens, as
+    a column (null: all) or a function of the text. Rows are packed as they come, so repeated ids stay apart; a null id stays null. Sequence ids
     are unique, not dense. An empty table gives an empty one. Ids are cast to long: one that is no number stops the run.
     """
     small_batches(docs.sparkSession)
-    share = F.lit(1.0) if loss is None else F.coalesce(loss.cast("double"), F.lit(1.0))
+    share = F.coalesce(loss.cast("double"), F.lit(1.0)) if isinstance(loss, Column) else F.lit(1.0)
+    of_text = loss if callable(loss) and not isinstance(loss, Column) else None
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() * _SEQUENCES_PER_TASK
         for batch in slices(batches, WINDOW_DOCS):
             ids, texts, shares = (batch.column(k).to_pylist() for k in range(3))
+            if of_text:
+                shares = [of_text(t or "") for t in texts]
             sums = np.cumsum([len(t or "") + 1 for t in texts])
             a = 0
             while a < len(ids):
@@ -128,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int, limit
                 cols: list[list] = [[] for _ in range(9)]
                 for k, at, n, sequence, offset in pieces:
                     own = tokens[k][at : at + n]
-                    row = (ids[a + k], at, n, zlib.crc32(own.astype("<u4").tobytes()), len(tokens[k]), first + sequence, offset, int(np.ceil((n - 1) * shares[a + k])), own.astype(np.int32) if with_ids else None)
+                    row = (ids[a + k], at, n, zlib.crc32(own.astype("<u4").tobytes()), len(tokens[k]), first + sequence, offset, int(np.ceil((n - 1) * shares[a + k] - 1e-9)), own.astype(np.int32) if with_ids else None)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 first += 1 + max((p[3] for p in pieces), default=-1)

@@ -121,7 +121,7 @@ INSTRUCTION = packing.Limits(tokens=2048, segments=8, loss=1280)
 
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1, limits=INSTRUCTION, loss=packing.reply_share(F.col("text")), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1, limits=INSTRUCTION, loss=packing.reply_share, with_ids=False)
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> dict:

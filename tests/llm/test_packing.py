@@ -26,7 +26,7 @@ def check(pieces, sizes, shares, limits):
         total = sum(p[1] for p in parts)
         assert total <= limits.tokens and total & (total - 1) == 0
         assert len(parts) <= limits.segments
-        assert sum(np.ceil((n - 1) * shares[k]) for _, n, k in parts) <= limits.loss
+        assert sum(np.ceil((n - 1) * shares[k] - 1e-9) for _, n, k in parts) <= limits.loss
 
 
 @settings(max_examples=80, deadline=None)
@@ -109,6 +109,5 @@ def test_limits_bind_and_the_dot_product_needs_fewer_sequences_than_first_fit():
     assert len(loss) < first_fit(sizes, shares, limits)
 
 
-def test_reply_share(spark):
-    docs = spark.createDataFrame([("q\nabc",), ("one",), (None,), ("",), ("\n",), ("é\nb\ncc\n",)], "text string")
-    assert [r[0] for r in docs.select(reply_share(F.col("text"))).collect()] == [0.75, 1.0, 1.0, 1.0, 1.0, 0.25]
+def test_reply_share():
+    assert [reply_share(t) for t in ("q\nabc", "one", "", "\n", "é\nb\ncc\n")] == [0.75, 1.0, 1.0, 1.0, 0.25]
