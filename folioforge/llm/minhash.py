@@ -123,25 +123,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _late_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of sets (node, label, items) with different labels that can have 100 * intersection >= percent * union.
 
-    Shingles are ordered as those that only sets of one label have, which find no partner, then all others by value. Of a set of n, the smaller of a pair shows its first
-    n - ceil(2 * percent * n / (100 + percent)) + 1, the larger its first n - ceil(percent * n / 100) + 1; two sets without a common one among these
-    can't be that similar. Per shingle, members of its most frequent label meet only those of other labels.
+    Shingles are ordered as those that only sets of one label have, which find no partner, then all others, rare before frequent. Of a
+    set of n, the smaller of a pair shows its first n - ceil(2 * percent * n / (100 + percent)) + 1, the larger its first
+    n - ceil(percent * n / 100) + 1; two sets without a common one among these can't be that similar. Nor can those whose first
+    common one leaves too few behind it for the intersection. Per shingle, members of its most frequent label meet only those of other labels.
     """
     each = sets.select("node", "label", F.explode("items").alias("item"))
-    mixed = each.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("item")
-    theirs = each.select("node", "item").join(mixed, "item", "left_semi").groupBy("node").agg(F.sort_array(F.collect_list("item")).alias("shared"))
-    shared = sets.select("node", "label", F.size("items").alias("n")).join(theirs, "node")
-    alone = F.col("n") - F.size("shared")
+    mixed = each.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.floor(F.log2(F.count("*")) * 2).alias("often")).filter("lo <> hi").select("item", "often")
+    theirs = each.select("node", "item").join(mixed, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("shared"))
+    shared = sets.select("node", "label", F.size("items").alias("n")).join(theirs, "node").withColumn("open", F.size("shared"))
+    alone = F.col("n") - F.col("open")
     show = lambda share: F.greatest(F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - alone, F.lit(0)).cast("int")
-    shared = shared.select("node", "label", "n", show(percent / 100).alias("most"), show(2 * percent / (100 + percent)).alias("few"), "shared").filter("most > 0")
-    shown = shared.select("node", "label", "n", "few", F.posexplode(F.slice("shared", F.lit(1), F.col("most"))).alias("at", "item"))
-    shown = stored(shown.withColumn("first", F.col("at") < F.col("few")).drop("at", "few"), "shown")
+    shared = shared.select("node", "label", "n", "open", show(percent / 100).alias("most"), show(2 * percent / (100 + percent)).alias("few"), "shared").filter("most > 0")
+    shown = shared.select("node", "label", "n", "open", "few", F.posexplode(F.slice("shared", F.lit(1), F.col("most"))).alias("at", "s"))
+    shown = stored(shown.select("node", "label", "n", (F.col("open") - F.col("at")).alias("behind"), (F.col("at") < F.col("few")).alias("first"), F.col("s.item").alias("item")), "shown")
     labels = shown.groupBy("item", "label").agg(F.count("*").alias("k"))
-    mixed = labels.groupBy("item").agg(F.max_by("label", "k").alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("item", "main")
-    shown = stored(shown.join(mixed, "item").withColumn("rare", F.col("label") != F.col("main")), "mixed")
-    x, y = (shown.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "first", "rare")]) for s in "xy")
+    met = labels.groupBy("item").agg(F.max_by("label", "k").alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("item", "main")
+    shown = stored(shown.join(met, "item").withColumn("rare", F.col("label") != F.col("main")), "met")
+    x, y = (shown.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "behind", "first", "rare")]) for s in "xy")
     smaller = F.struct("n_x", "node_x") < F.struct("n_y", "node_y")
-    fits = (F.col("label_x") != F.col("label_y")) & F.col("first_x") & smaller & (F.col("n_x") * 100 >= F.col("n_y") * percent)
+    enough = F.least("behind_x", "behind_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    fits = (F.col("label_x") != F.col("label_y")) & F.col("first_x") & smaller & enough
     both = x.filter("rare_x").join(y, "item").filter(fits).unionByName(x.filter("not rare_x").join(y.filter("rare_y"), "item").filter(fits))
     return both.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
