@@ -68,6 +68,33 @@ def div_inner(page: Column, attribute: str, value: str) -> Column:
     return run(page)
 
 
+def _without(page: str, attributes: re.Pattern) -> str:
+    out, at = [], 0
+    for m in re.finditer(r"<div\b([^>]*)>", page, re.IGNORECASE):
+        if m.start() < at or not attributes.search(m[1]):
+            continue
+        depth, end = 1, len(page)
+        for tag in _DIV.finditer(page, m.end()):
+            depth += -1 if tag[1] else 1
+            if not depth:
+                end = tag.end()
+                break
+        out += [page[at : m.start()], " "]
+        at = end
+    return "".join([*out, page[at:]])
+
+
+def without_divs(page: Column, attributes: str) -> Column:
+    """The markup without divs whose attributes match a pattern (in any case), nested ones included; one that isn't closed goes to the end."""
+    opening = re.compile(attributes, re.IGNORECASE)
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: _without(p, opening), na_action="ignore")
+
+    return run(page)
+
+
 def paragraphs(page: Column) -> Column:
     """The texts of paragraph elements without tags and outer space, empty ones dropped."""
     raw = F.regexp_extract_all(page, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))

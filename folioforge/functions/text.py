@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import SPACE, collapse, utf16_length
+from .dialect import SPACE, collapse, trim, utf16_length
 
 # The named entities that are decoded; all others stay as they are.
 ENTITIES = "amp lt gt quot apos nbsp ldquo rdquo mdash hellip emsp ensp thinsp middot lsquo rsquo".split()
@@ -93,7 +93,7 @@ def cover_text(title: Column) -> Column:
 def retry_after_seconds(header: Column, now: Column) -> Column:
     """Seconds of a Retry-After header, given as seconds or as an HTTP date; null if it is neither."""
     date = F.try_to_timestamp(F.regexp_extract(header, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(F.when(header.rlike(r"^\s*\d+\s*$"), F.trim(header).try_cast("long")), F.greatest(F.unix_timestamp(date) - F.unix_timestamp(now), F.lit(0)))
+    return F.coalesce(F.when(header.rlike(r"^\s*\d+\s*$"), F.trim(header).try_cast("long")), F.when(date.isNotNull(), F.greatest(F.unix_timestamp(date) - F.unix_timestamp(now), F.lit(0))))
 
 
 def backoff_ms(attempt: Column, first: int = 400, most: int = 4000) -> Column:
@@ -112,3 +112,34 @@ def size_estimate_mb(said: Column) -> Column:
     number = F.regexp_extract(said, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     chars = number * F.when(F.contains(said, F.lit("万")), 10_000).otherwise(1)
     return chars / 1_000_000 * 0.9
+
+
+# What introductions say that is not about the book.
+INTRO_BOILERPLATE = (r"(?s)三秒记住本站.*\z", r"[^。！？\n]*免费提供[^。！？\n]*[。！？]?", r"如果您喜欢[^，,]*[，,]别忘记分享给朋友[.。…]*", r"\A关于[^：:]{1,40}[：:]")
+#: The same of pages that send markup as text and praise every book.
+PRAISE = (r"(?i)<br\s*/?>", "<[^>]+>", r"[^。！？\n]*(?:最新章节由网友提供|情节跌宕起伏、扣人心弦)[^。！？\n]*[。！？]?")
+
+
+def clean_intro(intro: Column, title: Column, boilerplate: tuple[str, ...] = INTRO_BOILERPLATE) -> Column:
+    """An introduction without boilerplate; empty if nothing but the title is left."""
+    own = intro
+    for pattern in boilerplate:
+        own = F.regexp_replace(own, pattern, " " if pattern == PRAISE[0] else "")
+    own = trim(own)
+    return F.when(own.eqNullSafe(title), F.lit("")).otherwise(own)
+
+
+def short_title(display_title: Column, extra: Column, numerals: str = "零〇一二三四五六七八九十百千万两") -> Column:
+    """A title without its chapter number; 正文 if it has nothing else; extras stay as they are."""
+    pattern = rf"\A第[0-9{numerals}]+章[\s　]*(.*)\z"
+    rest = F.coalesce(F.nullif(F.regexp_extract(display_title, pattern, 1), F.lit("")), F.lit("正文"))
+    return F.when(~extra & display_title.rlike(pattern), rest).otherwise(display_title)
+
+
+def ordinal(number: Column, extra: Column) -> Column:
+    """What stands before a title in a list: 番外 for extras, the number, or a dot."""
+    return F.when(extra.isNull(), F.lit("")).when(extra, F.lit("番外")).otherwise(F.coalesce(number.cast("string"), F.lit("·")))
+
+
+def chapter_label(display_title: Column, chapter_id: Column) -> Column:
+    return F.coalesce(display_title, F.concat(F.lit("章节 "), chapter_id), F.lit("未知章节"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import pandas as pd
@@ -14,54 +13,58 @@ _PAGE_TITLE = re.compile(r"第\d+页")
 SCHEMA = "book_id string, chapter_id string, title string, paragraphs array<string>, prev_id string, next_id string, page_count int, char_count long, complete boolean, missing array<int>, restricted boolean"
 
 
-def _visit(pages: dict[int, dict]) -> tuple[dict[int, dict], set[int], bool]:
-    """Pages that count, pages that are missing, and whether the end is proved, as a reader from page 0 on would find them.
-
-    The smallest page not visited comes next. A page that repeats one seen, or that says it is an earlier one, shows that there is
-    no page at its place. When nothing is left, one probe may look past the last page.
-    """
-    queue, queued, seen = [0], {0}, set()
-    fetched: dict[int, dict] = {}
-    absent, failed, discovered, texts = set(), set(), set(), set()
-    probed = end = False
-    while len(fetched) < MOST_PAGES:
-        if not queue:
-            if not fetched:
-                break
-            last = max(fetched)
-            end = (fetched[last]["next_id"] is not None and last > 0) or last + 1 in absent
-            probe = next((k for k in range(last + 1, MOST_PAGES) if k not in seen), None)
-            if end or probed or probe is None:
-                break
-            probed = True
-            heapq.heappush(queue, probe)
-            queued.add(probe)
-            continue
-        at = heapq.heappop(queue)
-        seen.add(at)
+def _answers(pages: dict[int, dict], reached: list[int]) -> dict[int, str]:
+    """What each reached page turns out to be, in order of visits: text, absent or failed. A page that repeats a text or says that it is an
+    earlier one shows that there is none at its place."""
+    texts, out = set(), {}
+    for at in reached:
         page = pages.get(at)
-        if page is None or page["outcome"] == "failed":
-            failed.add(at)
-            continue
-        if page["outcome"] == "not_found":
-            absent.add(at)
-            continue
-        if not page["paragraphs"]:
-            failed.add(at)
-            continue
-        text = tuple(page["paragraphs"])
-        if text in texts or (page["declared_page"] is not None and page["declared_page"] < at):
-            absent.add(at)
+        text = tuple(page["paragraphs"]) if page and page["outcome"] not in ("failed", "not_found") else ()
+        if page and page["outcome"] == "not_found":
+            out[at] = "absent"
+        elif not text:
+            out[at] = "failed"
+        elif text in texts or (page["declared_page"] is not None and page["declared_page"] < at):
+            out[at] = "absent"
         else:
             texts.add(text)
-            fetched[at] = page
-        discovered |= set(page["same_pages"])
-        for k in page["same_pages"]:
-            if 0 <= k < MOST_PAGES and k not in seen and k not in queued:
-                heapq.heappush(queue, k)
-                queued.add(k)
-    missing = failed | {k for k in discovered if k not in fetched and k not in absent and k < MOST_PAGES}
-    return fetched, missing, end and len(fetched) < MOST_PAGES
+            out[at] = "text"
+    return out
+
+
+def _closure(pages: dict[int, dict], start: list[int]) -> list[int]:
+    """Pages that links lead to from ``start`` on, the smallest open one first; no more once MOST_PAGES have text."""
+    order: list[int] = []
+    open_ = set(start)
+    while open_ and sum(kind == "text" for kind in _answers(pages, order).values()) < MOST_PAGES:
+        order.append(min(open_))
+        page = pages.get(order[-1])
+        linked = page["same_pages"] if page and page["outcome"] not in ("failed", "not_found") and page["paragraphs"] else ()
+        open_ = (open_ | {k for k in linked if 0 <= k < MOST_PAGES}) - set(order)
+    return order
+
+
+def _proved(pages: dict[int, dict], answers: dict[int, str]) -> bool:
+    """Whether the last page with text is the chapter's last: it leads on to another chapter, or no page is at the place after it."""
+    last = max(at for at, kind in answers.items() if kind == "text")
+    return (pages[last]["next_id"] is not None and last > 0) or answers.get(last + 1) == "absent"
+
+
+def _visit(pages: dict[int, dict]) -> tuple[dict[int, dict], set[int], bool]:
+    """Pages that count, pages that are missing, and whether the end is proved: the closure of page 0 over links, and one probe past the
+    last page if that proves nothing."""
+    order = _closure(pages, [0])
+    answers = _answers(pages, order)
+    texts = {at for at, kind in answers.items() if kind == "text"}
+    end = bool(texts) and _proved(pages, answers)
+    probe = next((k for k in range(max(texts, default=0) + 1, MOST_PAGES) if k not in answers), None)
+    if texts and not end and probe is not None and len(texts) < MOST_PAGES:
+        answers = _answers(pages, order + [k for k in _closure(pages, [0, probe]) if k not in order])
+        texts = {at for at, kind in answers.items() if kind == "text"}
+        end = _proved(pages, answers)
+    linked = {k for at in answers if pages.get(at) and pages[at]["outcome"] not in ("failed", "not_found") and pages[at]["paragraphs"] for k in pages[at]["same_pages"] if k < MOST_PAGES}
+    missing = {at for at, kind in answers.items() if kind == "failed"} | {k for k in linked if answers.get(k) not in ("text", "absent")}
+    return {at: pages[at] for at in texts}, missing, end and len(texts) < MOST_PAGES
 
 
 def _assembled(fetched: dict[int, dict], any_repeat: bool) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import trim, utf16_length
+from ..functions.text import count_chars
 
 # Whole-line rules look at short lines only; patterns in Java syntax.
 SHORT = 80
@@ -39,19 +40,23 @@ EMPTY_NOTE = "（本章在来源中没有正文）"
 
 def strip_inline(text: Column) -> Column:
     """The text without watermarks, markup remains and outer white space; cheap for texts that hold nothing suspect."""
-    own = trim(text)
+    return F.when(text.rlike(SUSPECT), F.transform(F.array(trim(text)), _without_junk)[0]).otherwise(trim(text))
+
+
+def _without_junk(own: Column) -> Column:
     changed = own
     for pattern in INLINE_JUNK:
         changed = F.regexp_replace(changed, pattern, "")
     for name, char in ENTITIES:
         changed = F.regexp_replace(changed, f"(?i)&{name};", char)
-    tidy = F.when(changed == own, own).otherwise(trim(F.regexp_replace(changed, r"[ \t]{2,}", " ")))
-    return F.when(own.rlike(SUSPECT), tidy).otherwise(own)
+    tidy = lambda new: F.when(new == own, own).otherwise(trim(F.regexp_replace(new, r"[ \t]{2,}", " ")))
+    return F.transform(F.array(changed), tidy)[0]
 
 
 def kind_of(line: Column) -> Column:
     """kept, break or junk for a stripped line; junk if it is empty."""
-    short = utf16_length(line) <= SHORT
+    # Code points are no more than UTF-16 units, so the cheap length settles most lines.
+    short = (F.length(line) <= SHORT) & (utf16_length(line) <= SHORT)
     return F.when(line == "", "junk").when(short & line.rlike(PAGE_BREAK), "break").when(short & line.rlike("|".join(f"(?:{p})" for p in JUNK_LINES)), "junk").otherwise("kept")
 
 
@@ -74,16 +79,38 @@ def clean_paragraphs(lines: DataFrame, keys: list[str], pos: str = "pos", text:
 
 
 def clean_array(paragraphs: Column) -> Column:
-    """The same on one row: an array of paragraphs to an array of cleaned ones, by a fold."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("join"))
-
-    def step(acc: Column, line: Column) -> Column:
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        joined = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.concat(last, line)))
-        kind = kind_of(line)
-        out = F.when(kind != "kept", acc["out"]).when(acc["join"], joined).otherwise(F.concat(acc["out"], F.array(line)))
-        join = F.when(kind == "break", F.coalesce(last.rlike(OPEN_END), F.lit(False))).when(kind == "kept", F.lit(False)).otherwise(acc["join"])
-        return F.struct(out.alias("out"), join.alias("join"))
-
-    found = F.aggregate(F.transform(paragraphs, strip_inline), start, step, lambda a: a["out"])
+    """The same on one row: an array of paragraphs to an array of cleaned ones.
+
+    Lines are stripped and judged once each. Texts without a page break, which are the many, are then done; the fold that joins lines
+    copies an array per line.
+    """
+    judged = F.filter(F.transform(F.transform(paragraphs, strip_inline), lambda line: F.struct(line.alias("line"), kind_of(line).alias("kind"))), lambda x: x["kind"] != "junk")
+    return F.transform(F.array(judged), lambda all_: _joined(all_, paragraphs))[0]
+
+
+def _joined(lines: Column, paragraphs: Column) -> Column:
+    """Kept lines and breaks to paragraphs: a kept line goes on with the one before iff a break stands between and that one ends with an open mark."""
+    any_break = F.exists(lines, lambda p: p["kind"] == "break")
+    plain = F.transform(lines, lambda p: p["line"])
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(False).alias("broken"))
+
+    def step(acc: Column, p: Column) -> Column:
+        line, is_break = p["line"], p["kind"] == "break"
+        goes_on = acc["broken"] & F.coalesce(acc["last"].rlike(OPEN_END), F.lit(False))
+        out = F.when(is_break, acc["out"]).when(goes_on, F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.concat(F.element_at(acc["out"], -1), line)))).otherwise(F.concat(acc["out"], F.array(line)))
+        return F.struct(out.alias("out"), F.when(is_break, acc["last"]).otherwise(line).alias("last"), is_break.alias("broken"))
+
+    # Most texts have no page break: their kept lines are the result as they stand.
+    found = F.when(any_break, F.aggregate(lines, start, step, lambda a: a["out"])).otherwise(plain)
     return F.when((F.size(found) == 0) & F.exists(paragraphs, lambda p: trim(p) != ""), F.array(F.lit(EMPTY_NOTE))).otherwise(found)
+
+
+def read_view(chapters: DataFrame, paragraphs: str = "paragraphs") -> DataFrame:
+    """Stored chapters as they are read: cleaned paragraphs and their char_count; what is stored stays as it is."""
+    return chapters.withColumn(paragraphs, clean_array(F.col(paragraphs))).withColumn("char_count", count_chars(F.col(paragraphs)))
+
+
+def is_empty_chapter(paragraphs: Column) -> Column:
+    """Whether a chapter has no paragraphs, or none that cleaning leaves."""
+    cleaned = clean_array(paragraphs)
+    return (F.size(paragraphs) == 0) | (F.size(cleaned) == 0) | ((F.size(cleaned) == 1) & (F.element_at(cleaned, 1) == EMPTY_NOTE))

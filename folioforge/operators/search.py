@@ -117,3 +117,14 @@ def same_chapter(chapter: DataFrame, other: DataFrame) -> DataFrame:
     left = chapter.select("book_id", "chapter_id", title_key(F.col("title")).alias("key"))
     right = other.select("book_id", F.col("chapter_id").alias("other_id"), "pos", title_key(F.col("title")).alias("key"))
     return left.join(right, ["book_id", "key"]).groupBy("book_id", "chapter_id").agg(F.min_by("other_id", "pos").alias("other_id"))
+
+
+def toc_search_by_pages(toc: DataFrame, ranges: DataFrame, query: str, around: int = 3, limit: int = LIMIT) -> DataFrame:
+    """``toc_search`` of one book's contents (page, pos, title, number, id) that first looks at the pages around the one that can hold the number asked
+    for, which prunes a table partitioned by page; all pages if that finds nothing or the query is no number."""
+    own = query.strip()
+    if re.fullmatch(r"\d+", own) and (page := page_for_number(ranges, int(own)).first()):
+        near = toc_search(toc.filter(F.col("page").between(page.page - around, page.page + around)), own, limit, number="number", id_col="id")
+        if near.take(1):
+            return near
+    return toc_search(toc, own, limit, number="number", id_col="id")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPACE, lines, trim
+from .clean import kind_of
 
 # The heading pattern (Java syntax) and the title of what stands before the first heading.
 HEADING = (
@@ -37,42 +38,44 @@ def _units(text: str) -> bytes:
     return text.encode("utf-16-le", "surrogatepass")
 
 
+def _groups(sizes: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of paragraphs that share a block: as many as fit with two units between them; one that is too long is alone."""
+    first = 0
+    while first < len(sizes):
+        last, total = first, sizes[first]
+        while last + 1 < len(sizes) and max(sizes[first], sizes[last + 1]) <= size and (not total or total + 2 + sizes[last + 1] <= size):
+            last += 1
+            total += 2 * (total > 0) + sizes[last]
+        yield first, last
+        first = last + 1
+
+
+def _cuts(raw: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """Places in UTF-16 units at which a long paragraph is cut; a surrogate pair stays whole."""
+    begin, n = 0, len(raw) // 2
+    while begin < n:
+        end = min(begin + size, n)
+        end -= end < n and 0xD8 <= raw[2 * end - 1] < 0xDC
+        yield begin, end
+        begin = end
+
+
 def blocks_of(paragraphs: list[str], size: int = BLOCK) -> list[tuple[int, int, str, list[int]]]:
     """(first paragraph, last paragraph, text, offsets) of blocks of about ``size`` UTF-16 units. A paragraph's offset is where it starts in
-    the block, negative if it began in an earlier one."""
-    out: list[tuple[int, int, str, list[int]]] = []
-    held: list[str] = []
-    at: list[int] = []
-    length = first = 0
-
-    def flush(last: int) -> None:
-        nonlocal held, at, length
-        if length:
-            out.append((first, last, "\n\n".join(held), at))
-        held, at, length = [], [], 0
-
-    for i, p in enumerate(paragraphs):
-        raw = _units(p or "")
-        n = len(raw) // 2
-        if length and length + n + 2 > size:
-            flush(i - 1)
-            first = i
-        if n > size:
-            flush(i - 1)
-            begin = 0
-            while begin < n:
-                end = min(begin + size, n)
-                if end < n and 0xD8 <= raw[2 * end - 1] < 0xDC:
-                    end -= 1  # a surrogate pair stays whole
-                out.append((i, i, raw[2 * begin : 2 * end].decode("utf-16-le", "surrogatepass"), [-begin]))
-                begin = end
-            first = i + 1
-            continue
-        length += 2 if length else 0
-        at.append(length)
-        held.append(p or "")
-        length += n
-    flush(len(paragraphs) - 1)
+    the block, negative if it began in an earlier one. Groups without any text have no block."""
+    raws = [_units(p or "") for p in paragraphs]
+    sizes = [len(r) // 2 for r in raws]
+    out = []
+    for first, last in _groups(sizes, size):
+        if sizes[first] > size:
+            out += [(first, first, raws[first][2 * a : 2 * b].decode("utf-16-le", "surrogatepass"), [-a]) for a, b in _cuts(raws[first], size)]
+        elif any(sizes[first : last + 1]):
+            offsets, at = [], 0
+            for n in sizes[first : last + 1]:
+                at += 2 * (at > 0)
+                offsets.append(at)
+                at += n
+            out.append((first, last, "\n\n".join(p or "" for p in paragraphs[first : last + 1]), offsets))
     return out
 
 
@@ -131,3 +134,44 @@ def align_to_catalog(keyed_lines: DataFrame, catalog: DataFrame, window: int = 2
     kind = keyed_lines.schema["doc_id"].dataType.simpleString()
     right = catalog.select("doc_id", F.col("index"), F.col("index").alias("index_"), "key")
     return keyed_lines.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, pos int, catalog_index int")
+
+
+#: Matched headings by headings found, from which on an alignment with a catalog counts.
+LEAST_MATCHED = 0.5
+
+
+def aligned(matches: DataFrame, headings: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(books, missing): doc_id, matched, headings, accepted for each doc_id of ``headings`` (doc_id, headings: how many lines look like headings), and
+    the entries (doc_id, index, key) of accepted catalogs that no line matched."""
+    found = matches.groupBy("doc_id").agg(F.count("*").alias("matched"))
+    books = headings.join(found, "doc_id", "left").select("doc_id", F.coalesce("matched", F.lit(0)).alias("matched"), "headings")
+    books = books.withColumn("accepted", (F.col("matched") > 0) & (F.col("matched") >= F.col("headings") * LEAST_MATCHED))
+    taken = matches.select("doc_id", F.col("catalog_index").alias("index"))
+    missing = catalog.join(books.filter("accepted").select("doc_id"), "doc_id", "left_semi").join(taken, ["doc_id", "index"], "left_anti")
+    return books, missing.select("doc_id", "index", "key")
+
+
+def looks_like_heading(line: Column, numbered: str = r"\A第[零〇一二三四五六七八九十百千万两0-9]+[章节回卷]") -> Column:
+    """A line at the margin of 40 characters at most that isn't advertising and, unless it is numbered, doesn't end a sentence."""
+    own = trim(line)
+    return ~line.rlike(r"\A[ \t\u3000]") & (own != "") & (F.length(own) <= 40) & (~own.rlike(r"[。…]\z") | own.rlike(numbered)) & (kind_of(own) == "kept")
+
+
+def split_by_margin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, chapter (from 1), title, paragraphs of texts whose headings stand at the margin and whose paragraphs are indented: the way for texts
+    that no catalog fits. Blank and advertising lines go; headings without a body stay. Null and blank texts give no rows."""
+    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines(F.col(text_col))).alias("pos", "raw")).withColumn("line", trim(F.col("raw"))).filter("line <> ''")
+    each = each.filter(kind_of(F.col("line")) == "kept").withColumn("is_heading", looks_like_heading(F.col("raw")))
+    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("at", F.sum(F.col("is_heading").cast("int")).over(order))
+    body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("pos", "line")))), lambda x: x["line"])
+    found = each.groupBy("doc_id", "at").agg(F.coalesce(F.max(F.when(F.col("is_heading"), F.col("line"))), F.lit(FRONT)).alias("title"), body.alias("paragraphs"))
+    return found.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).alias("chapter"), "title", "paragraphs")
+
+
+def blocks_to_anchors(places: DataFrame, blocks: DataFrame) -> DataFrame:
+    """places (doc_id, block_index, block_offset) with paragraph and offset: the last paragraph of the block that starts at or before the place."""
+    starts = blocks.select("doc_id", "block_index", "start_paragraph", F.posexplode("offsets").alias("k", "at"))
+    found = places.join(starts, ["doc_id", "block_index"]).filter(F.col("at") <= F.col("block_offset"))
+    best = F.max_by(F.struct((F.col("start_paragraph") + F.col("k")).alias("paragraph"), (F.col("block_offset") - F.col("at")).alias("offset")), "k")
+    return found.groupBy("doc_id", "block_index", "block_offset").agg(best.alias("p")).select("doc_id", "block_index", "block_offset", "p.paragraph", "p.offset")

@@ -22,17 +22,21 @@ def newest(rows: DataFrame, keys: list[str], at: str, ties: list[str] | None = N
 
 
 def upsert_nonblank(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New non-blank fields replace old ones; blanks never do; keys on either side alone stay."""
+    """New non-blank fields replace old ones; blanks never do; keys on either side alone stay. Of several new rows of a key the largest non-blank
+    value of each field counts."""
     fields = [c for c in old.columns if c not in keys]
-    right = new.select(*keys, *[F.col(c).alias(f"__{c}") for c in fields])
+    # Of new rows with one key the largest value of each field counts, so that no row of the old side is multiplied.
+    right = new.groupBy(*keys).agg(*[F.max(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c))).alias(f"__{c}") for c in fields])
     kept = [F.coalesce(F.when(F.trim(F.col(f"__{c}").cast("string")) != "", F.col(f"__{c}")), F.col(c)).alias(c) for c in fields]
     return old.join(right, keys, "full").select(*keys, *kept)
 
 
 def never_shrink(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Chapters with char_count and paragraph_count: a new one is taken unless it is empty or the old one has more of either."""
+    """Chapters with char_count and paragraph_count: a new one is taken unless it is empty or the old one has more of either. Of
+    several new ones of a key the longest counts."""
     fields = [c for c in old.columns if c not in keys]
-    right = new.select(*keys, *[F.col(c).alias(f"__{c}") for c in fields], F.lit(True).alias("__new"))
+    longest = F.max_by(F.struct(*fields), F.struct("char_count", "paragraph_count", *[F.col(c).cast("string") for c in fields if c not in ("char_count", "paragraph_count")]))
+    right = new.groupBy(*keys).agg(longest.alias("n")).select(*keys, *[F.col(f"n.{c}").alias(f"__{c}") for c in fields], F.lit(True).alias("__new"))
     left = old.withColumn("__old", F.lit(True))
     larger = (F.col("char_count") > F.col("__char_count")) | (F.col("paragraph_count") > F.col("__paragraph_count"))
     take = F.col("__new").isNotNull() & (F.col("__char_count") > 0) & (F.col("__old").isNull() | ~larger)
@@ -99,3 +103,77 @@ def renumber(rows: DataFrame, keys: list[str], order: list[str], page_size: int
     """Rows with pos from 0 and page from 1 within their keys."""
     pos = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return rows.withColumn("pos", pos).withColumn("page", (F.floor(F.col("pos") / page_size) + 1).cast("int"))
+
+
+def read(rows: DataFrame, columns: list[str] | None = None, **keys) -> DataFrame:
+    """Rows whose columns have the given values, or one of a list of values; only the named columns, so ids alone read ids alone."""
+    out = rows
+    for name, value in keys.items():
+        out = out.filter(F.col(name).isin(value) if isinstance(value, list) else F.col(name).eqNullSafe(F.lit(value)))
+    return out.select(*columns) if columns else out
+
+
+def write(rows: DataFrame, path: str, by: str = "book_id") -> None:
+    """A store as one Parquet folder per value of ``by``; folders of values that ``rows`` has are replaced, others stay. A value's rows are
+    dealt to several tasks when they are many."""
+    rows.repartition(by, F.pmod(F.xxhash64(*rows.columns), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def deleted(rows: DataFrame, gone: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, one row with the number of existing keys that went)."""
+    own = gone.select(*keys).distinct()
+    return rows.join(own, keys, "left_anti"), rows.join(own, keys, "left_semi").select(*keys).distinct().agg(F.count("*").alias("deleted"))
+
+
+def without_remote(chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """Chapters without the fetched ones of some books (book_id); imported ones stay."""
+    return chapters.filter("source = 'local'").unionByName(chapters.filter("source is null or source <> 'local'").join(books.select("book_id"), "book_id", "left_anti"))
+
+
+def cache_path(key: Column, folder: str) -> Column:
+    """Where a response is kept: the folder and the SHA-1 of its key, spread over subfolders by the first two digits."""
+    digest = F.sha1(key.cast("binary"))
+    return F.concat(F.lit(folder.rstrip("/") + "/"), F.left(digest, F.lit(2)), F.lit("/"), digest, F.lit(".json"))
+
+
+def with_status(rows: DataFrame, changes: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
+    """Rows with the status that ``changes`` (keys, at, status) give them last; others keep theirs."""
+    last = changes.groupBy(*keys).agg(F.max_by(status, "at").alias("__status"))
+    return rows.join(last, keys, "left").withColumn(status, F.coalesce("__status", status)).drop("__status")
+
+
+def pending(pages: DataFrame, status: str = "status", done: str = "LOADED") -> DataFrame:
+    """Pages that are not loaded; an unknown status is not."""
+    return pages.filter(~F.col(status).eqNullSafe(F.lit(done)))
+
+
+def import_bookmarks(old: DataFrame, new: DataFrame, by_location: bool = True) -> DataFrame:
+    """Bookmarks (id, book_id, chapter_id, paragraph, offset, ...) with those of ``new`` whose place (or id) is not there yet. Ids that clash with
+    another place's are made anew from the place."""
+    keys = ["book_id", "chapter_id", "paragraph", "offset"] if by_location else ["id"]
+    fields = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("r")).select(*keys, "r.*").select(*old.columns)
+    added = one.join(old.select(*keys), keys, "left_anti")
+    if by_location:
+        taken = old.select("id").withColumn("__taken", F.lit(True)).distinct()
+        own = F.concat_ws("-", F.lit("b"), F.md5(F.concat_ws("|", *keys).cast("binary")))
+        added = added.join(taken, "id", "left").withColumn("id", F.when(F.col("__taken"), own).otherwise(F.col("id"))).drop("__taken")
+    return old.unionByName(added.select(*old.columns))
+
+
+def toggle_bookmarks(bookmarks: DataFrame, taps: DataFrame, reach: int = 1) -> DataFrame:
+    """Bookmarks (book_id, chapter_id, paragraph) after taps at places: a tap within ``reach`` paragraphs of bookmarks removes them, any other adds one.
+
+    A tap is met with the places around it by equality, not by comparing ranges.
+    """
+    keys = ["book_id", "chapter_id"]
+    near = taps.select(*keys, "paragraph").distinct().withColumn("at", F.explode(F.sequence(F.col("paragraph") - reach, F.col("paragraph") + reach)))
+    hit = near.join(bookmarks.select(*keys, F.col("paragraph").alias("at")), [*keys, "at"])
+    stay = bookmarks.select(*keys, "paragraph").join(near.select(*keys, F.col("at").alias("paragraph")), [*keys, "paragraph"], "left_anti")
+    added = taps.select(*keys, "paragraph").distinct().join(hit.select(*keys, "paragraph"), [*keys, "paragraph"], "left_anti")
+    return stay.unionByName(added)
+
+
+def in_request_order(requests: DataFrame) -> DataFrame:
+    """The most urgent first, then in the order in which they came."""
+    return requests.orderBy(F.col("priority").desc(), "sequence")

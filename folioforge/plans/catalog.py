@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import markup, text, titles, urls
+from ..functions import families, markup, text, titles, urls
 from ..functions.dialect import SPACE_SQL, lines, utf16_length
-from ..operators import chapters, clean, search, segment, stores, toc
+from ..functions.families import NUMBER, Family
+from ..operators import chapters, clean, search, segment, statistics, stores, toc
 from ..sources import archives
 from ..streaming import flows
 
@@ -49,8 +50,14 @@ def _inline_sql(own: str) -> str:
     return changed
 
 
-_CLEAN_SQL = rf"""
-r AS ({_LINES_SQL}),
+#: Lines with what the synthetic texts lack: open ends, page breaks, advertising, watermarks, entities.
+_JUNK_SQL = f"""SELECT doc_id, pos, CASE (doc_id + pos) % 9 WHEN 1 THEN line || '，' WHEN 2 THEN '-->>本章未完，请点击下一页继续阅读' WHEN 3 THEN '　　' || line WHEN 5 THEN '天才一秒记住【站】'
+  WHEN 6 THEN line || ' www.example.com &amp; <b>中文</b>' WHEN 7 THEN '（本章完）' ELSE line END AS line FROM ({_LINES_SQL})"""
+
+
+def _clean_sql(lines_sql: str) -> str:
+    return rf"""
+r AS ({lines_sql}),
 t AS (SELECT doc_id, pos, regexp_replace(line, '{_TRIM}', '', 'g') AS own FROM r),
 c AS (SELECT doc_id, pos, own, {_inline_sql('own')} AS changed FROM t),
 s AS (SELECT doc_id, pos, own <> '' AS had, CASE WHEN NOT regexp_matches(own, '{clean.SUSPECT}') OR changed = own THEN own
@@ -66,6 +73,26 @@ o AS (SELECT doc_id, min(pos) AS pos, string_agg(line, '' ORDER BY pos) AS text
 """
 
 
+_CLEAN_SQL, _CLEAN_JUNK_SQL = _clean_sql(_LINES_SQL), _clean_sql(_JUNK_SQL)
+
+
+def _junk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, line = (F.col("doc_id") + F.col("pos")) % 9, F.col("text")
+    own = F.when(k == 1, F.concat(line, F.lit("，"))).when(k == 2, "-->>本章未完，请点击下一页继续阅读").when(k == 3, F.concat(F.lit("　　"), line)).when(k == 5, "天才一秒记住【站】")
+    own = own.when(k == 6, F.concat(line, F.lit(" www.example.com &amp; <b>中文</b>"))).when(k == 7, "（本章完）").otherwise(line)
+    return _lines(spark, sf_dir).withColumn("text", own)
+
+
+def cleaned_junk(spark, d):
+    return clean.clean_paragraphs(_junk_lines(spark, d), ["doc_id"])
+
+
+def cleaned_junk_arrays(spark, d):
+    own = _junk_lines(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("paragraphs"))
+    view = clean.read_view(own)
+    return view.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.md5(F.array_join("paragraphs", "\n").cast("binary")).alias("digest"), "char_count", clean.is_empty_chapter(F.col("paragraphs")).alias("empty"))
+
+
 def stitch_open_lines(spark, d):
     return clean.clean_paragraphs(_lines(spark, d), ["doc_id"])
 
@@ -198,7 +225,8 @@ def toc_pages(spark, d):
 
 def history_top30(spark, d):
     orders = _table(spark, d, "orders").select("o_custkey", "o_orderkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
-    return stores.top_history(orders, "o_custkey", "o_orderkey", "ms", 10)
+    by_clerk = orders.withColumn("o_custkey", F.col("o_custkey") % 20)
+    return stores.top_history(by_clerk, "o_custkey", "o_orderkey", "ms", 30)
 
 
 def recent_topk(spark, d):
@@ -285,7 +313,7 @@ def nearest_number(spark, d):
 
 
 def semi_anti_delete(spark, d):
-    idle = stores.delete_keys(_table(spark, d, "customer"), _table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    idle = stores.delete_keys(_table(spark, d, "customer"), _table(spark, d, "orders").filter("o_totalprice > 200000").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
     return idle.select("c_custkey", "c_name")
 
 
@@ -331,6 +359,130 @@ def export_text(spark, d):
     return archives.export_text(contents, stored_).select("book_id", "order_key", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
+def chinese_titles(spark, d):
+    """Numbers from 11 to 9999 in numerals, with all kinds of headings that have one."""
+    n = F.col("o_orderkey") % 9989 + 11
+    digit = lambda k: F.substring(F.lit("零一二三四五六七八九"), (F.floor(n / k) % 10 + 1).cast("int"), F.lit(1))
+    has = lambda k: F.floor(n / k) % 10 > 0
+    part = lambda k, unit, gap: F.when(has(k), F.concat(digit(k), F.lit(unit))).when(gap, F.lit("零")).otherwise("")
+    said = F.concat(part(1000, "千", F.lit(False)), part(100, "百", (n > 999) & (has(10) | has(1))), part(10, "十", (n > 99) & has(100) & has(1)), F.when(has(1), digit(1)).otherwise(""))
+    said = F.when(n < 20, F.substring(said, F.lit(2), F.length(said))).otherwise(said)
+    mark = F.element_at(F.array(F.lit("章"), F.lit("回"), F.lit("掌")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    title = F.concat(F.lit("第"), said, mark, F.lit(" x"))
+    own = _table(spark, d, "orders").select("o_orderkey", titles.normal_title(title).alias("t"))
+    return own.select("o_orderkey", "t.number", "t.extra")
+
+
+def short_titles(spark, d):
+    number, extra = F.col("o_orderkey") % 50, F.col("o_orderkey") % 7 == 0
+    shown = F.concat(F.lit("第"), number.cast("string"), F.lit("章 "), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderpriority")))
+    return _table(spark, d, "orders").select("o_orderkey", text.short_title(shown, extra).alias("short"), text.ordinal(F.when(number > 0, number), extra).alias("ordinal"), text.chapter_label(F.when(number > 9, shown), F.col("o_orderkey").cast("string")).alias("label"))
+
+
+def intros(spark, d):
+    own = F.concat(F.when(F.col("p_partkey") % 2 == 0, "关于书：").otherwise(""), F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, "。本站免费提供全文。").otherwise(""), F.when(F.col("p_partkey") % 5 == 0, "三秒记住本站 x").otherwise(""))
+    return _table(spark, d, "part").select("p_partkey", text.clean_intro(own, F.when(F.col("p_partkey") % 7 == 0, F.col("p_name")).otherwise("")).alias("intro"))
+
+
+#: A made-up family of sites.
+FAMILY = Family("north", "north-", ("books.example.com",), (rf"\A/read/({NUMBER})/?\z",), (rf"\A/read/({NUMBER})/p([0-9]{{1,12}})\.html\z",), "https://books.example.com/read/{book}/", "https://books.example.com/read/{book}/p{chapter}.html", "https://img.example.com/{thousand}/{book}.jpg")
+PLAIN = Family("plain", "", ("www.example.com",), (rf"\A/book/({NUMBER})/?\z",), (rf"\A/book/({NUMBER})/([0-9]{{6,12}})\.html\z",), "https://www.example.com/book/{book}/", "https://www.example.com/book/{book}/{chapter}.html")
+
+
+def pasted_links(spark, d):
+    own = _table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c"), F.col("o_orderkey").cast("string").alias("k"))
+    link = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("https://books.example.com/read/"), "c", F.lit("/p"), "k", F.lit(".html?x=1"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit(" books.example.com/read/"), "c", F.lit("/"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("http://www.example.com/book/"), "c")).otherwise(F.concat(F.lit("https://other.example.com/read/"), "c"))
+    own = own.withColumn("r", families.pasted_reference(link, [FAMILY, PLAIN]))
+    return own.select("o_orderkey", "r.book_id", "r.chapter_id", families.route(F.col("r.book_id"), [FAMILY, PLAIN]).alias("family"), FAMILY.cover_url(F.col("r.book_id")).alias("cover"), FAMILY.chapter_link(F.concat(F.lit("north-"), "c"), link).alias("same_book"))
+
+
+def chapter_counts(spark, d):
+    own = _table(spark, d, "documents").select(F.col("source").alias("book_id"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 3 == 0).alias("complete"), F.octet_length("text").cast("long").alias("bytes"))
+    return statistics.chapter_counts(own)
+
+
+def store_size(spark, d):
+    return statistics.store_size(_table(spark, d, "documents").select(F.col("n_chars").alias("bytes")))
+
+
+def contents_counts(spark, d):
+    pages = _table(spark, d, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("page"), F.when(F.col("o_orderstatus") == "F", "LOADED").otherwise("PENDING").alias("status"))
+    return statistics.contents_counts(pages, _table(spark, d, "customer").select(F.col("c_custkey").alias("book_id")))
+
+
+def personal_counts(spark, d):
+    kind = F.create_map(*[F.lit(x) for p in (("view", "history"), ("click", "history"), ("purchase", "progress")) for x in p])
+    return statistics.personal_counts(_table(spark, d, "events").select(F.col("user_id").alias("book_id"), F.coalesce(kind[F.col("event_type")], F.lit("bookmark")).alias("kind")))
+
+
+def shelf_joined(spark, d):
+    orders = _table(spark, d, "orders").withColumn("ms", F.unix_millis(F.col("o_orderdate").cast("timestamp")))
+    progress = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("k"), F.min("ms").alias("updated_at")).filter("o_custkey % 3 > 0").select(F.col("o_custkey").alias("book_id"), F.col("k").alias("chapter_id"), "updated_at")
+    history = orders.select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("chapter_id"), F.col("ms").alias("read_at"))
+    books = _table(spark, d, "customer").select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("title"), F.col("c_custkey").alias("added_at"))
+    return statistics.in_shelf_order(statistics.shelf(books, progress, history), 500)
+
+
+def recent_by_owner(spark, d):
+    return statistics.recent(_events(spark, d).select("event_id", "user_id", "ms"), "ms", ["event_id"], 3, by="user_id")
+
+
+def cached_flags(spark, d):
+    own = _table(spark, d, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("order_key"), F.col("turn").cast("string").alias("chapter_id"), "role")
+    return statistics.cached_flags(own.drop("role").distinct(), own.filter("order_key % 3 > 0").withColumn("complete", F.col("role") == "assistant"))
+
+
+def status_updates(spark, d):
+    changes = _events(spark, d).filter("event_type <> 'view'").select("user_id", F.struct("ms", "event_id").alias("at"), F.when(F.col("event_type") == "click", "LOADED").otherwise("FAILED").alias("status"))
+    pages = _table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("PENDING").alias("status"))
+    return stores.pending(stores.with_status(pages, changes, ["user_id"]))
+
+
+def bookmark_import(spark, d):
+    own = _table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_suppkey").alias("book_id"), F.col("l_linenumber").alias("chapter_id"), (F.col("l_partkey") % 40).alias("paragraph"), F.lit(0).alias("offset"))
+    old, new = own.filter("chapter_id = 1").dropDuplicates(["book_id", "chapter_id", "paragraph"]), own.filter("chapter_id < 3")
+    return stores.import_bookmarks(old, new).groupBy("book_id", "chapter_id").agg(F.count("*").alias("n"), F.countDistinct("paragraph").alias("places"))
+
+
+def bookmark_toggle(spark, d):
+    own = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book_id"), F.col("l_linenumber").alias("chapter_id"), (F.col("l_partkey") % 200).alias("paragraph"), "l_orderkey")
+    return stores.toggle_bookmarks(own.filter("l_orderkey % 2 = 0").drop("l_orderkey").distinct(), own.filter("l_orderkey % 5 = 1").drop("l_orderkey"))
+
+
+def deleted_count(spark, d):
+    _, n = stores.deleted(_table(spark, d, "customer"), _table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("c_custkey")), ["c_custkey"])
+    return n
+
+
+def cache_paths(spark, d):
+    return _table(spark, d, "pages").select("page_id", stores.cache_path(F.col("url"), "/cache/").alias("path"))
+
+
+def paging_rules(spark, d):
+    total, seen, page = F.col("l_linenumber") - 2, F.when(F.col("l_partkey") % 4 == 0, F.col("l_partkey")), F.col("l_linenumber")
+    own = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", toc.last_page(total, F.col("l_partkey") % 4).cast("long").alias("last"), toc.total_after(total, seen, page).cast("long").alias("total"))
+    return own
+
+
+def source_contents(spark, d):
+    own = _table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("book_id"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("pos"), (F.col("l_partkey") % 97).cast("string").alias("id"), F.col("l_returnflag").alias("title"), F.col("l_returnflag").alias("display_title"), F.lit(None).cast("long").alias("number"), F.lit(False).alias("extra"))
+    return toc.merge_by_source(own.withColumn("source", F.lit("north")), F.col("source")).select("book_id", "order_key", "id", "title")
+
+
+def margin_chapters(spark, d):
+    own = segment.split_by_margin(_table(spark, d, "documents"))
+    return own.groupBy("doc_id").agg(F.count("*").alias("n_chapters"), F.sum(F.size("paragraphs")).alias("n_paragraphs"), F.md5(F.array_join(F.array_sort(F.collect_list("title")), "\n").cast("binary")).alias("titles"))
+
+
+def anchor_roundtrip(spark, d):
+    """Places of paragraphs to blocks and back."""
+    own = _paragraphs(spark, d)
+    blocks = segment.build_blocks(own, size=1000)
+    anchors = own.select("doc_id", F.posexplode("paragraphs").alias("paragraph", "p")).select("doc_id", "paragraph", F.least(F.col("paragraph") % 7, utf16_length(F.col("p")) - 1).cast("int").alias("offset"))
+    there = segment.anchors_to_blocks(anchors, blocks).select("doc_id", "block_index", "block_offset").distinct()
+    return segment.blocks_to_anchors(there, blocks).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("offset").cast("long").alias("place"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         stitch_open_lines, clean_lines_stats, cleaned_arrays, consecutive_dup_lines, page_signature_dups, last_by_key, first_by_key, heading_islands,
@@ -338,6 +490,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         normal_titles, upper_median_outliers, extras_keep_max, toc_merge, toc_pages, history_top30, recent_topk, shelf_order, task_poll, task_counts,
         nearest_in_band, toc_search, in_text_search, search_places, search_page, neighbours, store_stats, missing_pages, load_chunks, page_for_number,
         nearest_number, semi_anti_delete, upsert_nonblank, never_shrink, ttl_live, lru_victims, gate_schedule, debounced, personal_json, export_text,
+        cleaned_junk, cleaned_junk_arrays, chinese_titles, short_titles, intros, pasted_links, chapter_counts, store_size, contents_counts, personal_counts,
+        shelf_joined, recent_by_owner, cached_flags, status_updates, bookmark_import, bookmark_toggle, deleted_count, cache_paths, paging_rules, source_contents,
+        margin_chapters, anchor_roundtrip,
     )
     return {f.__name__: f for f in found}
 
@@ -356,6 +511,47 @@ def oracle_sql() -> dict[str, str]:
         "stitch_open_lines": f"WITH {_CLEAN_SQL} SELECT doc_id, pos, text FROM o",
         "clean_lines_stats": f"WITH {_CLEAN_SQL} SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM o GROUP BY doc_id",
         "cleaned_arrays": f"WITH {_CLEAN_SQL} SELECT d.doc_id, count(o.text) AS n_paragraphs, md5(coalesce(string_agg(o.text, chr(10) ORDER BY o.pos), '')) AS digest FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id",
+        "cleaned_junk": f"WITH {_CLEAN_JUNK_SQL} SELECT doc_id, pos, text FROM o",
+        "cleaned_junk_arrays": f"""WITH {_CLEAN_JUNK_SQL} SELECT d.doc_id, count(o.text) AS n_paragraphs, md5(coalesce(string_agg(o.text, chr(10) ORDER BY o.pos), '')) AS digest, CAST(coalesce(sum(length(o.text)), 0) AS BIGINT) AS char_count,
+            count(o.text) = 0 OR (count(o.text) = 1 AND max(o.text) = '{clean.EMPTY_NOTE}') AS empty FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id""",
+        "chinese_titles": "SELECT o_orderkey, o_orderkey % 9989 + 11 AS number, false AS extra FROM orders",
+        "short_titles": """WITH t AS (SELECT o_orderkey, o_orderkey % 50 AS n, o_orderkey % 7 = 0 AS e, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS r FROM orders)
+            SELECT o_orderkey, CASE WHEN e THEN '第' || n || '章 ' || r WHEN r = '' THEN '正文' ELSE r END AS short, CASE WHEN e THEN '番外' WHEN n > 0 THEN CAST(n AS VARCHAR) ELSE '·' END AS ordinal,
+            CASE WHEN n > 9 THEN '第' || n || '章 ' || r ELSE '章节 ' || o_orderkey END AS label FROM t""",
+        "intros": """WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '。' ELSE p_name END AS i, CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE '' END AS t FROM part)
+            SELECT p_partkey, CASE WHEN i = t THEN '' ELSE i END AS intro FROM t""",
+        "pasted_links": """WITH t AS (SELECT o_orderkey, CASE WHEN o_custkey = 0 THEN 3 ELSE o_orderkey % 4 END AS k, CAST(o_custkey AS VARCHAR) AS c, o_custkey FROM orders)
+            SELECT o_orderkey, CASE WHEN k < 2 THEN 'north-' || c WHEN k = 2 THEN c END AS book_id, CASE WHEN k = 0 THEN CAST(o_orderkey AS VARCHAR) END AS chapter_id, CASE WHEN k < 2 THEN 'north' WHEN k = 2 THEN 'plain' END AS family,
+            CASE WHEN k < 2 THEN 'https://img.example.com/' || (o_custkey // 1000) || '/' || c || '.jpg' END AS cover, CASE WHEN k = 0 THEN CAST(o_orderkey AS VARCHAR) END AS same_book FROM t""",
+        "chapter_counts": "SELECT source AS book_id, count(*) FILTER (doc_id % 5 > 0 AND doc_id % 3 = 0) AS complete, count(*) FILTER (NOT (doc_id % 5 > 0 AND doc_id % 3 = 0)) AS partial, CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS bytes FROM documents GROUP BY source",
+        "store_size": "SELECT count(*) AS n, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes FROM documents",
+        "contents_counts": "SELECT coalesce(c_custkey, o_custkey) AS book_id, CAST(c_custkey IS NOT NULL AS BIGINT) AS entries, coalesce(loaded, 0) AS loaded_pages FROM customer FULL JOIN (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS loaded FROM orders GROUP BY 1) ON o_custkey = c_custkey",
+        "personal_counts": "SELECT user_id AS book_id, count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase')) AS bookmarks, count(*) FILTER (event_type IN ('view', 'click')) AS history, bool_or(event_type = 'purchase') AS has_progress FROM events GROUP BY 1",
+        "shelf_joined": """WITH g AS (SELECT o_custkey, max(o_orderkey) AS k, min(epoch_ms(o_orderdate)) AS lo, max(epoch_ms(o_orderdate)) AS hi, arg_max(o_orderkey, {'a': epoch_ms(o_orderdate), 'b': o_orderkey}) AS l FROM orders GROUP BY 1)
+            SELECT c_custkey AS book_id, c_name AS title, c_custkey AS added_at, CASE WHEN c_custkey % 3 > 0 THEN k END AS progress_chapter, CASE WHEN c_custkey % 3 > 0 THEN lo END AS updated_at, l AS last_chapter, hi AS read_at,
+            coalesce(CASE WHEN c_custkey % 3 > 0 THEN lo END, c_custkey) AS opened_at FROM customer LEFT JOIN g ON o_custkey = c_custkey ORDER BY opened_at DESC, book_id LIMIT 500""",
+        "recent_by_owner": f"SELECT event_id, user_id, ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) AS n FROM ({_EVENTS_SQL})) WHERE n <= 3",
+        "cached_flags": """WITH c AS (SELECT conv_id, turn, bool_or(role = 'assistant') AS done FROM conversations WHERE turn % 3 > 0 GROUP BY 1, 2)
+            SELECT t.conv_id AS book_id, t.turn AS order_key, CAST(t.turn AS VARCHAR) AS chapter_id, c.done IS NOT NULL AS cached, coalesce(c.done, false) AS complete FROM (SELECT DISTINCT conv_id, turn FROM conversations) t LEFT JOIN c ON c.conv_id = t.conv_id AND c.turn = t.turn""",
+        "status_updates": f"""WITH l AS (SELECT user_id, arg_max(event_type, {{'a': ms, 'b': event_id}}) AS e FROM ({_EVENTS_SQL}) WHERE event_type <> 'view' GROUP BY 1)
+            SELECT c_custkey AS user_id, CASE WHEN e IS NULL THEN 'PENDING' ELSE 'FAILED' END AS status FROM customer LEFT JOIN l ON user_id = c_custkey WHERE e IS NULL OR e <> 'click'""",
+        "bookmark_import": "SELECT l_suppkey AS book_id, l_linenumber AS chapter_id, count(DISTINCT l_partkey % 40) AS n, count(DISTINCT l_partkey % 40) AS places FROM lineitem WHERE l_linenumber < 3 GROUP BY 1, 2",
+        "bookmark_toggle": """WITH l AS (SELECT l_suppkey AS b, l_linenumber AS c, l_partkey % 200 AS p, l_orderkey AS o FROM lineitem), m AS (SELECT DISTINCT b, c, p FROM l WHERE o % 2 = 0), t AS (SELECT DISTINCT b, c, p FROM l WHERE o % 5 = 1)
+            SELECT b AS book_id, c AS chapter_id, p AS paragraph FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.b = m.b AND t.c = m.c AND abs(t.p - m.p) <= 1)
+            UNION ALL SELECT b, c, p FROM t WHERE NOT EXISTS (SELECT 1 FROM m WHERE t.b = m.b AND t.c = m.c AND abs(t.p - m.p) <= 1)""",
+        "deleted_count": "SELECT count(*) AS deleted FROM customer WHERE c_custkey IN (SELECT o_custkey * 2 FROM orders)",
+        "cache_paths": "SELECT page_id, '/cache/' || sha1(url)[1:2] || '/' || sha1(url) || '.json' AS path FROM pages",
+        "paging_rules": """WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber - 2 AS t, l_partkey % 4 AS k, CASE WHEN l_partkey % 4 = 0 THEN l_partkey END AS s FROM lineitem)
+            SELECT l_orderkey, l_linenumber, CAST(least(CASE WHEN t > 0 THEN t ELSE 2 END, CASE WHEN k > 0 THEN k ELSE 1000 END) AS BIGINT) AS last, CAST(CASE WHEN s IS NOT NULL THEN greatest(1, least(s, 1000)) WHEN t <= 0 AND l_linenumber >= 2 THEN l_linenumber ELSE t END AS BIGINT) AS total FROM t""",
+        "source_contents": """WITH f AS (SELECT l_suppkey AS b, l_partkey % 97 AS i, l_returnflag AS m, l_linenumber AS g, l_orderkey AS o, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 97 ORDER BY l_linenumber, l_orderkey, l_returnflag) AS n FROM lineitem)
+            SELECT CAST(b AS VARCHAR) AS book_id, CAST(row_number() OVER (PARTITION BY b ORDER BY g, o, CAST(i AS VARCHAR)) - 1 AS INT) AS order_key, CAST(i AS VARCHAR) AS id, m AS title FROM f WHERE n = 1""",
+        "anchor_roundtrip": f"SELECT doc_id, p AS paragraph, least(p % 7, length(line) - 1) AS place FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p FROM ({_PARAGRAPHS_SQL}))",
+        "block_pack": f"""WITH RECURSIVE l AS (SELECT doc_id, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM ({_PARAGRAPHS_SQL})),
+            w AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS held, 0::BIGINT AS blocks, 0::BIGINT AS longest FROM (SELECT DISTINCT doc_id FROM l)
+              UNION ALL SELECT w.doc_id, l.i, CASE WHEN l.n > 1000 THEN 0 WHEN w.held > 0 AND w.held + 2 + l.n > 1000 THEN l.n WHEN w.held > 0 THEN w.held + 2 + l.n ELSE l.n END,
+                w.blocks + CASE WHEN l.n > 1000 THEN (l.n + 999) // 1000 + (w.held > 0)::INT WHEN w.held > 0 AND w.held + 2 + l.n > 1000 THEN 1 ELSE 0 END, greatest(w.longest, CASE WHEN l.n > 1000 OR w.held + 2 + l.n > 1000 THEN w.held ELSE 0 END, CASE WHEN l.n > 1000 THEN 1000 ELSE 0 END)
+              FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1)
+            SELECT doc_id, blocks + (held > 0)::INT AS n_blocks, greatest(longest, held) AS longest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS r FROM w) WHERE r = 1""",
         "consecutive_dup_lines": f"WITH r AS ({_LINES_SQL}), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM r) SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM p WHERE pos = 0 OR line IS DISTINCT FROM b GROUP BY doc_id",
         "page_signature_dups": "SELECT doc_id, row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id) > 1 AS absent FROM documents",
         "last_by_key": f"SELECT user_id, event_type, ms, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ms DESC, event_id DESC) AS n FROM ({_EVENTS_SQL})) WHERE n = 1",
@@ -378,7 +574,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT book_id, page, count(*) AS n, CAST(sum(n) AS BIGINT) AS total FROM i LEFT JOIN m USING (book_id, page) WHERE NOT coalesce(page >= 2 AND n > 0 AND (n * 2 < m OR n > m * 2), false) GROUP BY 1, 2""",
         "extras_keep_max": "SELECT p_brand AS book_id, p_type AS display_title, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CAST(p_size AS BIGINT) AS number FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey DESC) AS n FROM part) WHERE n = 1",
         "toc_pages": "WITH r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem) SELECT l_suppkey, CAST(pos // 100 + 1 AS INT) AS page, count(*) AS n, CAST(max(pos) AS INT) AS last FROM r GROUP BY 1, 2",
-        "history_top30": "WITH l AS (SELECT o_custkey, o_orderkey, max(epoch_ms(o_orderdate)) AS ms FROM orders GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY ms DESC, o_orderkey) AS INT) AS rank FROM l) SELECT * FROM r WHERE rank <= 10",
+        "history_top30": "WITH l AS (SELECT o_custkey % 20 AS o_custkey, o_orderkey, max(epoch_ms(o_orderdate)) AS ms FROM orders GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY ms DESC, o_orderkey) AS INT) AS rank FROM l) SELECT * FROM r WHERE rank <= 30",
         "recent_topk": f"SELECT event_id, user_id, ms FROM ({_EVENTS_SQL}) ORDER BY ms DESC, event_id DESC LIMIT 50",
         "shelf_order": "SELECT c_custkey, c_name, coalesce(l.ms, c_custkey) AS sort_key FROM customer LEFT JOIN (SELECT o_custkey, max(epoch_ms(o_orderdate)) AS ms FROM orders GROUP BY 1) l ON l.o_custkey = c_custkey ORDER BY sort_key DESC, c_custkey LIMIT 100",
         "task_poll": f"SELECT * FROM ({_TASKS_SQL}) WHERE state = 'PENDING' OR (state = 'RETRY_AT' AND next_attempt_at <= 500) ORDER BY priority DESC, next_attempt_at, task_id LIMIT 100",
@@ -396,7 +592,7 @@ def oracle_sql() -> dict[str, str]:
         "page_for_number": """WITH r AS (SELECT l_suppkey AS book_id, l_linenumber AS page, min(l_orderkey) AS low, max(l_orderkey) AS high FROM lineitem GROUP BY 1, 2), g AS (SELECT *, CASE WHEN 1234 < low THEN low - 1234 WHEN 1234 > high THEN 1234 - high ELSE 0 END AS gap FROM r),
             b AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY gap, page) AS n FROM g) SELECT book_id, CASE WHEN gap <= 200 THEN page ELSE 7 END AS page FROM b WHERE n = 1""",
         "nearest_number": "WITH t AS (SELECT l_suppkey AS book_id, l_orderkey * 10 + l_linenumber AS pos, l_partkey AS number FROM lineitem) SELECT book_id, pos, number FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY abs(number - 100), pos) AS n FROM t) WHERE n = 1",
-        "semi_anti_delete": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "semi_anti_delete": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
         "upsert_nonblank": """WITH n AS (SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END AS k, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'NEW' END AS s FROM customer WHERE c_custkey % 3 = 0)
             SELECT coalesce(c.c_custkey, n.k) AS c_custkey, c.c_name, coalesce(nullif(n.s, ''), c.c_mktsegment) AS c_mktsegment FROM customer c FULL JOIN n ON n.k = c.c_custkey""",
         "never_shrink": f"""WITH o AS (SELECT d.doc_id, d.n_chars AS cc, l.n AS pc FROM documents d JOIN (SELECT doc_id, count(*) AS n FROM ({_LINES_SQL}) GROUP BY 1) l USING (doc_id)),
