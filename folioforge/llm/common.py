@@ -139,37 +139,41 @@ def window_hashes(words: list[bytes], size: int) -> np.ndarray:
 LONG_ROWS = 20
 
 
-def class_sample(rows: DataFrame, key: str, per_class: int, max_chars: int) -> list[Row]:
-    """(doc_id, key, text) of a bounded sample of rows (doc_id, key, text), by doc_id and key: ``per_class`` ids of each class at most, those of
-    smallest id hash with a text of 1 to ``max_chars`` characters, or the LONG_ROWS shortest texts of a class that has only longer ones.
-    Of several texts of an id the smallest counts. Null ids, keys and texts are left out.
-
-    Classes are counted first; an id is then ranked only if its hash is below what lets about twice the wanted number pass, so
-    the ranking of a class reads a bounded number of rows however large the class is.
+def class_sample(keyed: DataFrame, texts: DataFrame, per_class: int, max_chars: int) -> list[Row]:
+    """(doc_id, key, text) of a bounded sample, by doc_id and key: ``per_class`` ids of each class at most, those of smallest id hash with a text of 1 to
+    ``max_chars`` characters, or the LONG_ROWS shortest texts of a class that has only longer ones. Of several texts of an id the
+    smallest counts. Null ids, keys and texts are left out.
+
+    ``keyed`` has doc_id, key and n, the length of the text; ``texts`` has doc_id, text and, where one id may have several keys, key. Only
+    lengths are counted, ranked and shuffled; texts are picked out where they are. Classes are counted first; an id is then
+    ranked only if its hash is below what lets about twice the wanted number pass, so the ranking of a class reads a bounded
+    number of rows however large the class is.
     """
-    own = rows.select("doc_id", F.col(key).alias("key"), "text").filter("doc_id is not null and key is not null and length(text) > 0")
-    fits = F.length("text") <= max_chars
-    counts = {r["key"]: r.n for r in own.groupBy("key").agg(F.count_if(fits).alias("n")).collect()}
+    own = keyed.filter("doc_id is not null and key is not null and n > 0")
+    fits = F.col("n") <= max_chars
+    counts = {r["key"]: r.fit for r in own.groupBy("key").agg(F.count_if(fits).alias("fit")).collect()}
     if not counts:
         return []
     kind = own.schema["key"].dataType.simpleString()
-    shares = rows.sparkSession.createDataFrame([(k, min(1.0, (2 * per_class + 100) / n)) for k, n in counts.items() if n] or [(next(iter(counts)), 0.0)], f"key {kind}, share double")
+    shares = keyed.sparkSession.createDataFrame([(k, min(1.0, (2 * per_class + 100) / n)) for k, n in counts.items() if n] or [(next(iter(counts)), 0.0)], f"key {kind}, share double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     few = own.filter(fits).join(F.broadcast(shares), "key").filter(place < F.col("share")).select("key", "doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = few.withColumn("n", rank).filter(F.col("n") <= per_class).select("key", "doc_id", F.lit(max_chars).alias("most"))
+    ids = few.withColumn("r", rank).filter(F.col("r") <= per_class).select("key", "doc_id", F.lit(max_chars).alias("most"))
     for lost in (k for k, n in counts.items() if not n):
-        long = own.filter(F.col("key") == F.lit(lost)).orderBy(F.length("text"), F.xxhash64("doc_id"), "doc_id").limit(LONG_ROWS)
-        ids = ids.union(long.groupBy("key", "doc_id").agg(F.max(F.length("text")).alias("most")))
-    found = own.join(F.broadcast(ids), ["key", "doc_id"]).filter(F.length("text") <= F.col("most")).groupBy("key", "doc_id").agg(F.min("text").alias("text"))
+        long = own.filter(F.col("key") == F.lit(lost)).orderBy("n", F.xxhash64("doc_id"), "doc_id").limit(LONG_ROWS)
+        ids = ids.union(long.groupBy("key", "doc_id").agg(F.max("n").alias("most")))
+    on = ["key", "doc_id"] if "key" in texts.columns else ["doc_id"]
+    found = texts.join(F.broadcast(ids), on).filter((F.length("text") > 0) & (F.length("text") <= F.col("most"))).groupBy("key", "doc_id").agg(F.min("text").alias("text"))
     return sorted(found.collect(), key=lambda r: (r.doc_id, r["key"]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int, max_chars: int) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels of a bounded sample (see ``class_sample``). ``training`` says which ids may be learned from; of several
     labels of an id the rounded mean counts."""
-    known = labels.filter(training & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    found = class_sample(docs.select("doc_id", "text").join(known, "doc_id"), "label", per_class, max_chars)
+    known = labels.filter(training & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("key"))
+    sized = docs.filter(training).select("doc_id", F.length("text").alias("n"))
+    found = class_sample(sized.join(known, "doc_id"), docs.select("doc_id", "text"), per_class, max_chars)
     return [r.text for r in found], np.array([r["key"] for r in found], np.int64)
 
 

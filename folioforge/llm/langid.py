@@ -85,7 +85,8 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 def training_sample(docs: DataFrame, training: Column) -> tuple[list[str], list[str]]:
     """Texts and languages of a bounded sample of the rows that may be learned from: PER_LANGUAGE of each language at most (see ``class_sample``)."""
-    found = class_sample(docs.filter(training), "lang", PER_LANGUAGE, MAX_CHARS)
+    own = docs.filter(training).select("doc_id", F.col("lang").alias("key"), "text")
+    found = class_sample(own.select("doc_id", "key", F.length("text").alias("n")), own, PER_LANGUAGE, MAX_CHARS)
     return [r.text for r in found], [r["key"] for r in found]
 
 

@@ -143,3 +143,19 @@ def test_fertility_rejects_junk_that_sets_its_own_band(spark):
 def test_scripts():
     said = {"latin": "Hello é", "cyrillic": "Привет", "greek": "Καλημέρα", "cjk": "中文字符", "arabic": "مرحبا", "hangul": "안녕하세요", "hebrew": "שלום"}
     assert {k: fertility.script(v.encode()) for k, v in said.items()} == {k: k for k in said}
+
+
+def test_class_sample(spark):
+    """Bounded, the same each time, whole texts within the bound, and no class is lost because its texts are long."""
+    from pyspark.sql import functions as F
+
+    from folioforge.llm.common import LONG_ROWS, class_sample
+
+    rows = [(k, "a" if k % 3 else "b", "x" * (k % 50 + 1)) for k in range(3000)] + [(5000 + k, "c", "y" * (200 + k)) for k in range(60)] + [(1, "a", "w"), (None, "a", "z"), (9001, None, "z"), (9002, "d", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, key string, text string").repartition(7)
+    found = class_sample(docs.select("doc_id", "key", F.length("text").alias("n")), docs, 100, 40)
+    again = class_sample(docs.repartition(3).select("doc_id", "key", F.length("text").alias("n")), docs, 100, 40)
+    assert found == again
+    kinds = Counter(r["key"] for r in found)
+    assert kinds["a"] == kinds["b"] == 100 and kinds["c"] == LONG_ROWS and set(kinds) == {"a", "b", "c"}
+    assert all(len(r.text) <= 40 for r in found if r["key"] != "c") and max(len(r.text) for r in found if r["key"] == "c") == 200 + LONG_ROWS - 1
