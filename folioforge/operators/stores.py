@@ -63,9 +63,9 @@ def merge_personal(old: DataFrame, new: DataFrame, most: int = 30) -> DataFrame:
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     key = F.when(F.col("kind") == "bookmark", F.col("id")).when(F.col("kind") == "history", F.col("chapter_id")).otherwise(F.lit(""))
     first = F.when(F.col("kind") == "bookmark", -F.col("__new")).otherwise(F.col("updated_at"))
-    order = Window.partitionBy("kind", "book_id", "__key").orderBy(F.col("__first").desc(), "__new")
+    order = Window.partitionBy("kind", "book_id", "__key").orderBy(F.col("__first").desc(), "__new", F.col("updated_at").desc(), "id", "chapter_id")
     one = both.withColumn("__key", key).withColumn("__first", first).withColumn("__n", F.row_number().over(order)).filter("__n = 1")
-    rank = Window.partitionBy("kind", "book_id").orderBy(F.col("updated_at").desc(), "id")
+    rank = Window.partitionBy("kind", "book_id").orderBy(F.col("updated_at").desc(), "id", "chapter_id")
     kept = one.withColumn("__rank", F.row_number().over(rank)).filter((F.col("kind") != "history") | (F.col("__rank") <= most))
     return kept.select(*old.columns)
 

@@ -17,28 +17,22 @@ from ..functions.families import NUMBER, Family
 from ..operators import chapters, clean, search, segment, statistics, stores, toc
 from ..sources import archives
 from ..streaming import flows
+from . import records
+from .tables import EVENTS_SQL as _EVENTS_SQL
+from .tables import NOW
+from .tables import events as _events
+from .tables import table as _table
 
 #: Headings of the synthetic texts: lines of at most three words that end in a full stop.
 SHORT_LINE = r"\A[^ ]+(?: [^ ]+){0,2}\.\z"
-NOW = 1_704_200_000_000
 _TRIM = rf"\A[{SPACE_SQL}]+|[{SPACE_SQL}]+\z"
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines(F.col("text"))).alias("pos", "text"))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their time in milliseconds."""
-    return _table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-
-
 _LINES_SQL = "SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM documents)"
-_EVENTS_SQL = "SELECT *, epoch_us(ts) // 1000 AS ms FROM events"
 
 
 def _inline_sql(own: str) -> str:
@@ -494,7 +488,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         shelf_joined, recent_by_owner, cached_flags, status_updates, bookmark_import, bookmark_toggle, deleted_count, cache_paths, paging_rules, source_contents,
         margin_chapters, anchor_roundtrip,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | records.queries()
 
 
 _PARAGRAPHS_SQL = f"SELECT doc_id, pos, line FROM ({_LINES_SQL}) WHERE trim(line, ' ') <> ''"
@@ -507,7 +501,7 @@ def _url(k: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return records.oracle_sql() | {
         "stitch_open_lines": f"WITH {_CLEAN_SQL} SELECT doc_id, pos, text FROM o",
         "clean_lines_stats": f"WITH {_CLEAN_SQL} SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM o GROUP BY doc_id",
         "cleaned_arrays": f"WITH {_CLEAN_SQL} SELECT d.doc_id, count(o.text) AS n_paragraphs, md5(coalesce(string_agg(o.text, chr(10) ORDER BY o.pos), '')) AS digest FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id",
