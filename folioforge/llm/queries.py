@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, langid, mil, minhash, packing, pii, secrets, tokenstore, toxicity
+from . import decontam, divergence, fertility, langid, mil, minhash, packing, pii, secrets, tokenstore, toxicity
 from .common import crc_of, labelled_sample, new_folder
 from .spans import joined
 
@@ -135,6 +135,37 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_of("doc_id") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY ALL),
+g AS (
+  SELECT x.lang, x.source, coalesce(any_value(v.v), 0) AS v, coalesce(sum(y.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN v ON v.lang = x.lang
+  LEFT JOIN (SELECT c.lang, c.source, c.n FROM c JOIN k USING (lang, term)) y ON y.lang = x.lang AND y.source = x.source GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) AS p
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), q AS (SELECT k.lang, k.term, 1 + (CAST(1000000000 AS HUGEINT) * (k.n + 5)) // (v.n + 5 * v.v) AS q FROM k JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q
+)
+SELECT * FROM (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found
+) WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing_decontamination": op1_winnowing_decontamination,
@@ -147,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_subword_toxicity": op8_subword_toxicity,
         "op9_vector_packing": op9_vector_packing,
         "op10_attention_quality": op10_attention_quality,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 
@@ -154,4 +186,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_winnowing_decontamination": OP1_SQL,
         "op4_minhash_near_dedup": OP4_SQL,
+        "op11_source_divergence": OP11_SQL,
     }
