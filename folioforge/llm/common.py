@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a key list may have to be broadcast (16 MB of longs); longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows from which a group of copies counts as large: what is said of it is broadcast instead of dealt by key.
+LARGE = 1000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -36,10 +38,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the checkpoint folder and read it again: lineage ends here, a lost executor costs no recomputation."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, fertility, langid, mil, minhash, packing, pii, secrets, tokenstore, toxicity
+from . import centroids, decontam, divergence, fertility, fingerprint, langid, mil, minhash, packing, pii, secrets, tokenstore, toxicity
 from .common import crc_of, labelled_sample, new_folder
 from .spans import joined
 
@@ -166,6 +166,38 @@ SELECT * FROM (
 """
 
 
+def op12_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
+def op13_annulus_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
+def _op13_sql() -> str:
+    """Three rounds over all vectors and centroids, then the last assignment."""
+    parts = [
+        """v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM v ORDER BY c LIMIT 16)"""
+    ]
+    distance = "list_sum(list_transform(list_zip(v.v, k.m), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS HUGEINT)))"
+    for n in range(4):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.r, k.c, {distance} AS d FROM v, c{n} k) GROUP BY r)")
+        if n < 3:
+            each = f"SELECT a.c, u.j, sum(v.v[u.j]) AS s, count(*) AS n FROM a{n} a JOIN v USING (r), (SELECT unnest(range(1, 65)) AS j) u GROUP BY a.c, u.j"
+            parts.append(f"m{n} AS (SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY j) AS m FROM ({each}) GROUP BY c)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.m, k.m) AS m FROM c{n} k LEFT JOIN m{n} m ON m.c = k.c)")
+    return f"""WITH {", ".join(parts)}
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.m, ',')) AS centroid_sha256
+FROM a3 a JOIN v USING (r) JOIN c3 k ON k.c = a.c"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing_decontamination": op1_winnowing_decontamination,
@@ -179,6 +211,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_packing": op9_vector_packing,
         "op10_attention_quality": op10_attention_quality,
         "op11_source_divergence": op11_source_divergence,
+        "op12_chunk_fingerprints": op12_chunk_fingerprints,
+        "op13_annulus_centroids": op13_annulus_centroids,
     }
 
 
@@ -187,4 +221,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_winnowing_decontamination": OP1_SQL,
         "op4_minhash_near_dedup": OP4_SQL,
         "op11_source_divergence": OP11_SQL,
+        "op13_annulus_centroids": OP13_SQL,
     }

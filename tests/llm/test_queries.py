@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from folioforge.llm import queries
+from tests.llm.test_fingerprint import held
 from tests.llm.test_models import base
 from tests.llm.test_spans import base_pii, base_secrets
 
@@ -91,3 +92,17 @@ def test_learned(spark, texts):
         got = rows(spark, name, texts)
         assert [bool(h) for h in got.held_out] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]
         assert got.score.between(0, 1).all() and (got.predicted == (got.score >= cut)).all()
+
+
+def test_fingerprints(spark, texts):
+    got = rows(spark, "op12_chunk_fingerprints", texts)
+    ids = sorted(texts, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    own = dict(zip(got.doc_id, got.fingerprint, strict=True))
+    for r in got.itertuples():
+        text, other = texts[r.doc_id] or "", texts[after[r.doc_id]] or ""
+        half = len(text) // 2
+        new = text[: len(text) - half] + other[:half]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
+        assert r.near_edited == pytest.approx(held(text, new)) and r.near_next == pytest.approx(held(text, other))
+        assert (r.fingerprint == own[after[r.doc_id]]) == (text == other)
