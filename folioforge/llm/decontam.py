@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_key, stored
+from .spans import let, with_reach
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,6 +77,15 @@ def windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: st
     return full.unionByName(few)
 
 
+def _merged(found: Column) -> Column:
+    """Ranges (s, e) in order, at least one; those that overlap or touch become one. Each begins behind the reach of all before it and goes
+    as far as those before the next one reach."""
+    first = lambda x: F.filter(x, lambda r: (r["span"]["s"] > r["before"]) | (r["before"] == 0))
+    end = F.aggregate(found, F.lit(0), lambda a, x: F.greatest(a, x["e"]))
+    ends = lambda x: F.concat(F.transform(F.slice(x, F.lit(2), F.size(x)), lambda r: r["before"]), F.array(end))
+    return let(first(with_reach(found, "e")), lambda x: F.zip_with(x, ends(x), lambda r, e: F.struct(r["span"]["s"].alias("s"), e.alias("e"))))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, row (tells texts of one id apart, see ``row_key``), n_words, n_hit (words inside any occurrence of a benchmark window), item_ids (those with
     occurring windows, sorted as strings), spans (hit word ranges, end exclusive), contaminated.
@@ -107,16 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     rows = near.filter(first | hit).select("doc_id", "row", "n_words", first.alias("first"), F.when(~first, F.struct(begin.alias("s"), (begin + F.col("size")).alias("e"))).alias("span"), "item_ids")
     grouped = rows.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.count_if("first").alias("copies"), F.array_sort(F.collect_set("span")).alias("found"), F.collect_set("item_ids").alias("sets"))
     start = F.array().cast("array<struct<s:int,e:int>>")
-    # Ranges in order; one that touches the last of those before it makes that longer.
-    merged = F.aggregate(
-        "found",
-        start,
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["e"] >= x["s"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["s"].alias("s"), F.greatest(F.element_at(done, -1)["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    grouped = grouped.withColumn("spans", F.when(F.size("found") > 0, merged).otherwise(start))
+    grouped = grouped.withColumn("spans", F.when(F.size("found") > 0, _merged(F.col("found"))).otherwise(start))
     out = grouped.select(
         "doc_id",
         "row",

@@ -26,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, mix, row_key, slices, small_batches, small_or_shuffled, stored, window_hashes, words_of
+from .common import BROADCAST_ROWS, LARGE, mix, row_key, slices, small_batches, small_or_shuffled, stored, window_hashes, words_of
 
 #: Signature layout: BANDS bands of ROWS coordinates; positions of the two permutations.
 BANDS, ROWS, UNIVERSE = 34, 5, 1 << 20
 PIVOTS = 3
-#: Rows from which a class of equal sets counts as large: its name is broadcast instead of dealt by key.
-LARGE = 1000
 _ring: list[np.ndarray] = []
 
 

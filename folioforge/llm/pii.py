@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .spans import with_matches
+from .spans import let, running, with_matches
 
 # Base kinds in the order in which they are listed, then the kinds that the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -142,6 +142,28 @@ def _judged(kind: Column, x: Column, is_base: bool) -> Column:
     return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), F.lit(is_base).alias("is_base"), votes.alias("votes"), features.alias("features"))
 
 
+def _apart(found: Column, base: Column) -> Column:
+    """Those of ``found`` that overlap no span of ``base``: with both in order, none before reaches into it, and the next begins behind it."""
+    own = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("new"), b["end"].alias("end"), F.get(F.slice(found, F.lit(1), F.lit(0)), F.lit(0)).alias("c")))
+    new = F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("new"), c["end"].alias("end"), c.alias("c")))
+
+    def kept(both: Column) -> Column:
+        reach = running(F.transform(both, lambda x: F.when(x["new"] == 0, x["end"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+        most = F.lit(2**31 - 1)
+        ahead = F.reverse(running(F.transform(F.reverse(both), lambda x: F.when(x["new"] == 0, x["start"]).otherwise(most)), most, lambda a, x: F.least(a, x)))
+        free = F.zip_with(both, F.zip_with(reach, ahead, lambda r, a: F.struct(r.alias("reach"), a.alias("ahead"))), lambda x, y: F.when((x["new"] == 1) & (y["reach"] <= x["start"]) & (y["ahead"] >= x["end"]), x["c"]))
+        return F.filter(free, lambda c: c.isNotNull())
+
+    return let(F.array_sort(F.concat(own, new)), kept)
+
+
+def _outermost(spans: Column) -> Column:
+    """Spans without those that lie inside another or equal one before them."""
+    longest = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["rank"].alias("rank"), x.alias("own"))))
+    reach = lambda a: F.zip_with(a, running(F.transform(a, lambda x: -x["back"]), F.lit(0), lambda m, x: F.greatest(m, x)), lambda x, at: F.when(-x["back"] > at, x["own"]))
+    return F.filter(let(longest, reach), lambda x: x.isNotNull())
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, row (a struct of the columns of ``keep``, if any), base (valid spans of the base kinds) and found (judged candidates: all
     matches of base patterns, and those of wider ones that overlap no valid span of a base kind).
@@ -170,8 +192,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind_of = lambda x: F.when(x["text"].rlike("^[A-Z]"), F.lit("iban")).when(x["text"].rlike("^[0-9]{3}-[0-9]{2}-"), F.lit("ssn")).otherwise(F.lit("local_phone"))
     of = lambda column, kind, is_base=False: F.transform(column, lambda x: _judged(kind(x) if callable(kind) else F.lit(kind), x, is_base))
     wide = F.concat(of("masked_email", "masked_email"), of("number", kind_of), of("name", "name"), of("lone_card", "card"), of("lone_phone", "phone"))
-    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    found = F.concat(*[of(k, k, True) for k in BASE_KINDS], F.filter(wide, apart))
+    own = own.withColumn("wide", wide)
+    found = F.concat(*[of(k, k, True) for k in BASE_KINDS], F.when((F.size("base") == 0) | (F.size("wide") == 0), F.col("wide")).otherwise(_apart(F.col("wide"), F.col("base"))))
     return own.withColumn("found", found).select("doc_id", *["row"] * bool(keep), "base", "found")
 
 
@@ -251,7 +273,6 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cut = float(np.log(threshold / (1 - threshold)))
     rank = F.array(*[F.lit(k) for k in KINDS])
     span = lambda c: F.struct(c["start"].alias("start"), (F.array_position(rank, c["kind"]).cast("int") - 1).alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"))
-    known = F.transform("base", lambda b: F.struct(b["start"], b["end"]))
-    # A match of a base pattern that failed its check can only come back in parts; valid ones are there already.
-    added = F.transform(F.filter("found", lambda c: ~c["is_base"] & (_score(c, w) >= cut) & ~F.array_contains(known, F.struct(c["start"], c["end"]))), span)
+    # A match of a base pattern that failed its check can only come back in parts; valid ones are there already, and others overlap none. A number is added once.
+    added = _outermost(F.transform(F.filter("found", lambda c: ~c["is_base"] & (_score(c, w) >= cut)), span))
     return found.select("doc_id", *["row"] * bool(keep), "base", F.array_sort(F.concat("base", added)).alias("spans"))

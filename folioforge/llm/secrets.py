@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled, stored
-from .spans import with_matches
+from .common import BROADCAST_ROWS, LARGE, small_or_shuffled, stored
+from .spans import let, with_matches
 
 
 @dataclass(frozen=True)
@@ -86,21 +86,51 @@ def scan(versions: DataFrame, path_cols: list[str], ledger: DataFrame | None = N
     versions = versions.select(*path_cols, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     addressed = versions.withColumn("blob", F.sha2("__text", 256))
     all_rules = F.array(*[F.lit(r.version) for r in rules])
-    blobs = addressed.select("blob", F.col("__text").alias("text"))
+    # Counts and one path of each blob; texts stay where they are.
+    one = F.min(F.struct(*[F.col(c) for c in path_cols])).alias("path")
+    blobs = addressed.groupBy("blob").agg(F.count("*").alias("rows"), one)
     if ledger is None:
-        todo = blobs.dropDuplicates(["blob"]).withColumn("todo", all_rules)
+        blobs = blobs.withColumn("todo", all_rules)
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rule_versions"))).alias("seen"))
-        lacking = addressed.select("blob").distinct().join(seen, "blob", "left").withColumn("todo", F.when(F.col("seen").isNull(), all_rules).otherwise(F.array_except(all_rules, "seen")))
-        lacking = stored(lacking.filter(F.size("todo") > 0).select("blob", "todo"), "unseen")
-        # A few unseen blobs are picked out where their texts are; texts of all others never move.
-        todo = blobs.join(small_or_shuffled(lacking, lacking.count()), "blob").dropDuplicates(["blob"])
-    fresh = stored(_scan(todo, rules), "ledger")
+        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.when(F.col("seen").isNull(), all_rules).otherwise(F.array_except(all_rules, "seen"))).drop("seen")
+    blobs = stored(blobs, "blobs")
+    fresh = stored(_scan(_unseen(addressed, blobs, path_cols, all_rules), rules).dropDuplicates(["blob"]), "ledger")
     whole = fresh if ledger is None else ledger.select(*fresh.columns).unionByName(fresh)
     names = [r.name for r in rules]
     asked = F.filter(F.flatten(F.collect_list("findings")), lambda f: F.array_contains(all_rules, f["rule_version"]))
     rank = lambda f: F.struct(f["start"].alias("start"), F.array_position(F.array(*[F.lit(n) for n in names]), f["kind"]).alias("rank"), f["kind"].alias("kind"), f["end"].alias("end"))
-    by_blob = whole.filter(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.transform(asked, rank))).alias("findings"))
+    by_blob = whole.filter(F.size("findings") > 0).groupBy("blob").agg(_once(F.array_sort(F.transform(asked, rank))).alias("findings"))
+    by_blob = stored(by_blob.join(blobs.select("blob", "rows"), "blob"), "by-blob")
+    # Findings of blobs with many paths are broadcast, of which there are BROADCAST_ROWS at most; their rows are dealt by path, not by blob.
+    from_rows = max(LARGE, -(-(blobs.agg(F.sum("rows")).first()[0] or 0) // BROADCAST_ROWS))
+    large = F.broadcast(by_blob.filter(F.col("rows") >= from_rows).select("blob", F.col("findings").alias("common")))
+    paths = addressed.select(*path_cols, "blob").join(large, "blob", "left")
+    key = F.when(F.col("common").isNull(), F.col("blob")).otherwise(F.md5(F.to_json(F.struct(*path_cols))))
+    few = by_blob.filter(F.col("rows") < from_rows).select(F.col("blob").alias("__key"), "findings")
     none = F.array().cast("array<struct<start:int,rank:bigint,kind:string,end:int>>")
-    out = addressed.select(*path_cols, "blob").join(by_blob, "blob", "left").select(*path_cols, "blob", F.coalesce("findings", none).alias("findings"))
+    out = paths.withColumn("__key", key).join(few, "__key", "left").select(*path_cols, "blob", F.coalesce("common", "findings", none).alias("findings"))
     return out, whole
+
+
+def _unseen(addressed: DataFrame, blobs: DataFrame, path_cols: list[str], all_rules: Column) -> DataFrame:
+    """(blob, text, todo) of the blobs that lack rule versions, one row each (several where rows repeat a path and a blob).
+
+    Most blobs have one path or are seen whole, so only those that differ are listed: blobs with several paths, of which one scans, and blobs
+    that lack some versions or, if these are fewer, lack none. A list that is not small is joined by shuffle."""
+    path = F.struct(*[F.col(c) for c in path_cols])
+    own = addressed.select("blob", F.col("__text").alias("text"), path.alias("own"))
+    some = F.size("todo") > 0
+    kinds = blobs.agg(F.count_if(some).alias("some"), F.count_if(~some).alias("none")).first()
+    plain = (F.col("rows") == 1) & (F.col("todo") == all_rules)
+    if kinds["some"] <= kinds["none"]:  # listed are those to scan
+        listed = blobs.filter(some).select("blob", "path", "todo")
+        return own.join(small_or_shuffled(listed, kinds["some"]), "blob").filter(F.col("own").eqNullSafe(F.col("path"))).select("blob", "text", "todo")
+    listed = blobs.filter(~plain).select("blob", "path", "todo")
+    found = own.join(small_or_shuffled(listed, listed.count()), "blob", "left")
+    return found.filter(F.col("todo").isNull() | (some & F.col("own").eqNullSafe(F.col("path")))).select("blob", "text", F.coalesce("todo", all_rules).alias("todo"))
+
+
+def _once(spans: Column) -> Column:
+    """Sorted values without repeats."""
+    return let(spans, lambda a: F.filter(a, lambda x, k: (k == 0) | (F.get(a, k - 1) != x)))

@@ -237,3 +237,68 @@ def test_very_long_runs(spark):
     assert got == {0: [], 1: [], 2: [("email", 0, len(texts[2]))], 3: []}
     found = {r.doc_id: [s.kind for s in r.findings] for r in secrets.scan(docs, ["doc_id"])[0].collect()}
     assert found[3] == ["hex"] and found[1] == ["hex"] and found[0] == ["hex"]
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows with the matches, not with their square: 100,000 in one text, found, put in order and cut out."""
+    import time
+
+    n = 100_000
+    docs = spark.createDataFrame([(1, "é token=abc123 " * n), (2, "x@y.zz " * n), (3, "j@d.org 4111111111111111 " * (n // 2))], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r.findings for r in secrets.scan(docs.filter("doc_id = 1"), ["doc_id"])[0].collect()}
+    assert [(f.start, f.end) for f in found[1][:2]] == [(2, 14), (17, 29)] and len(found[1]) == n and found[1][-1].start == 15 * (n - 1) + 2
+    assert time.time() - began < 60
+    began = time.time()
+    rows = pii.personal_data(docs.filter("doc_id > 1"), keep=("text",)).withColumn("out", redacted(F.col("row.text"), F.col("spans")))
+    out = {r.doc_id: (r.n, r.out) for r in rows.select("doc_id", F.size("spans").alias("n"), "out").collect()}
+    assert out[2] == (n, "[EMAIL] " * n) and out[3] == (n, "[EMAIL] [CARD] " * (n // 2))
+    assert time.time() - began < 120
+
+
+def test_ranges_and_running_values(spark):
+    from folioforge.llm import spans
+
+    rng = np.random.default_rng(8)
+    rows = [(k, sorted((int(a), int(a + b)) for a, b in zip(rng.integers(0, 40 * n + 1, n), rng.integers(1, 60, n), strict=True))) for k, n in enumerate([1, 2, 5, 300, 900])]
+    df = spark.createDataFrame(rows, "k int, found array<struct<s:int,e:int>>")
+    got = df.select("k", decontam._merged(F.col("found")).alias("m"), spans.running(F.transform("found", lambda x: x["e"] - x["s"]), F.lit(0), lambda a, x: a + x).alias("sums")).collect()
+    for (_, found), r in zip(rows, sorted(got), strict=True):
+        want = []
+        for s, e in found:
+            if want and want[-1][1] >= s:
+                want[-1][1] = max(want[-1][1], e)
+            else:
+                want.append([s, e])
+        assert [list(x) for x in r.m] == want
+        assert r.sums == [0, *np.cumsum([e - s for s, e in found])[:-1].tolist()]
+    empty = spark.createDataFrame([([],)], "a array<int>").select(spans.running(F.col("a"), F.lit(0), lambda a, x: a + x)).first()[0]
+    assert empty == []
+
+
+def test_redaction_over_pieces(spark, monkeypatch):
+    from folioforge.llm import spans
+
+    monkeypatch.setattr(spans, "PIECE", 7)
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(40):
+        text = "".join(rng.choice(list("abé😀\n "), int(rng.integers(1, 80))))
+        cuts = sorted((int(a), min(len(text), int(a + b)), "k") for a, b in zip(rng.integers(0, len(text), 5), rng.integers(1, 20, 5), strict=True))
+        rows.append((k, text, cuts))
+    got = spark.createDataFrame(rows, "k int, text string, spans array<struct<start:int,end:int,kind:string>>").select("k", redacted(F.col("text"), F.col("spans")).alias("out")).collect()
+    for (_, text, cuts), r in zip(rows, sorted(got), strict=True):
+        out, at = "", 0
+        for a, b, _ in cuts:
+            if a >= at:
+                out += text[at:a] + "[K]"
+            at = max(at, b)
+        assert r.out == out + text[at:]
+
+
+def test_each_number_is_added_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in pii.personal_data(docs).filter("size(spans) > size(base)").collect():
+        added = [s for s in r.spans if s not in r.base]
+        for a in added:
+            assert not any(b is not a and b.start <= a.start and a.end <= b.end for b in r.spans)
