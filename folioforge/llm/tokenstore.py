@@ -3,7 +3,7 @@
 A store is a folder with two Parquet tables, so that any file system Spark writes to will do and a lost executor's files
 are written again:
 
-* ``dictionary``: dict_sha256, width (bytes of a serialized id), content. One row.
+* ``dictionary``: dict_sha256, width (bytes of a serialized id), content (of no bytes where there was too little to train on), samples. One row.
 * ``blocks``: shard, block, dict_sha256, first_id and last_id, payload (frames in a row), and the offset index of the block: doc_ids,
   offsets, lengths (bytes of each frame) and counts (ids of each document). Shards and blocks ascend with doc_id.
 
@@ -27,8 +27,8 @@ from pyspark.sql import Window
 from .common import slices, small_batches
 from .encode import encoder
 
-#: The dictionary is trained on so many documents at most, none with more characters than the second number.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 16_384
+#: The dictionary is trained on so many documents at most, of each its first so many characters, in pieces of so many bytes.
+SAMPLE_DOCS, SAMPLE_CHARS, PIECE_BYTES = 2000, 16_384, 1024
 DICT_BYTES = 64 * 1024
 #: A block holds frames of about so many bytes.
 BLOCK_BYTES = 2 << 20
@@ -46,19 +46,21 @@ def token_arrays(texts: list[str | None], path: str, keeps_spaces: bool, end_id:
     return [np.append(ids[e - n : e], np.uint32(end_id)) for e, n in zip(ends, counts, strict=True)]
 
 
-def train_dictionary(docs: DataFrame, path: str, keeps_spaces: bool, end_id: int, width: int) -> bytes:
-    """A zstandard dictionary from the serialized ids of a bounded sample: the short ones of the SAMPLE_DOCS documents with the smallest id hash."""
+def train_dictionary(docs: DataFrame, path: str, keeps_spaces: bool, end_id: int, width: int) -> tuple[bytes, int]:
+    """(a zstandard dictionary, samples that it was trained on) from the serialized ids of a bounded sample: of the SAMPLE_DOCS documents with the smallest id hash
+    the first SAMPLE_CHARS characters each, in pieces of PIECE_BYTES at most. Too few or too like samples give a dictionary of no bytes, and an empty table none."""
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    short = docs.filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id", "left_semi")
-    texts = sorted(r.text for r in short.select("text").limit(2 * SAMPLE_DOCS).collect())
-    samples = [a.astype(f"<u{width}").tobytes() for a in token_arrays(texts, path, keeps_spaces, end_id)]
-    if sum(map(len, samples)) < 8 * 1024 or len(samples) < 16:
-        return b""  # too little to train on: frames then have no dictionary
+    found = docs.select("doc_id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+    texts = sorted(r.text for r in found.select("text").limit(2 * SAMPLE_DOCS).collect())
+    whole = [a.astype(f"<u{width}").tobytes() for a in token_arrays(texts, path, keeps_spaces, end_id)]
+    samples = [w[k : k + PIECE_BYTES] for w in whole for k in range(0, len(w), PIECE_BYTES)]
     size = min(DICT_BYTES, sum(map(len, samples)) // 8)
+    if size < 1024 or len(samples) < 16:
+        return b"", len(samples)  # too little to train on
     try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes(), len(samples)
     except zstandard.ZstdError:  # samples too alike or too short for the trainer
-        return b""
+        return b"", len(samples)
 
 
 def _dictionary(content: bytes, compress: bool = False) -> dict:
@@ -79,9 +81,9 @@ def write(docs: DataFrame, store: str, tokenizer: str, keeps_spaces: bool, end_i
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    content = train_dictionary(docs, tokenizer, keeps_spaces, end_id, width)
+    content, samples = train_dictionary(docs, tokenizer, keeps_spaces, end_id, width)
     sha = hashlib.sha256(content).hexdigest()
-    spark.createDataFrame([(sha, width, bytearray(content))], "dict_sha256 string, width int, content binary").coalesce(1).write.parquet(f"{store}/dictionary")
+    spark.createDataFrame([(sha, width, bytearray(content), samples)], "dict_sha256 string, width int, content binary, samples int").coalesce(1).write.parquet(f"{store}/dictionary")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block = TaskContext.get().partitionId(), 0

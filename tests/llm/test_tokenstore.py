@@ -66,3 +66,22 @@ def test_repeated_null_and_no_rows(spark):
     store = new_folder(spark, "none")
     tokenstore.write(spark.createDataFrame([], "doc_id long, text string"), store, PATH, False, 2)
     assert tokenstore.read_digests(spark, store).count() == 0
+
+
+@pytest.mark.parametrize(("n", "chars"), [(60, 24_000), (3, 40_000), (900, 300)])
+def test_a_dictionary_whatever_the_length(spark, n, chars):
+    rng = np.random.default_rng(n)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "token", "store", "index", "frame", "block"]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words, chars // 6))) for k in range(n)], "doc_id long, text string").repartition(4)
+    store = new_folder(spark, "long")
+    tokenstore.write(docs, store, PATH, False, 2)
+    r = spark.read.parquet(f"{store}/dictionary").first()
+    assert len(r.content) >= 1024 and r.samples >= 16
+    assert tokenstore.read_digests(spark, store).count() == n
+
+
+def test_too_little_to_train_on_is_recorded(spark):
+    store = new_folder(spark, "little")
+    tokenstore.write(spark.createDataFrame([(1, "a")], "doc_id long, text string"), store, PATH, False, 2)
+    r = spark.read.parquet(f"{store}/dictionary").first()
+    assert (bytes(r.content), r.samples) == (b"", 1)
