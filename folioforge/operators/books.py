@@ -6,17 +6,14 @@ gives the places at which chapters begin, and the text is cut there.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPACE, lines, trim, utf16_length
 from .clean import kind_of, strip_inline
-from .segment import FRONT, LEAST_MATCHED
+from .segment import FRONT, LEAST_MATCHED, in_catalog_order
 
 
 @dataclass(frozen=True)
@@ -60,30 +57,6 @@ def is_heading(x: Column, rules: TextRules = TextRules()) -> Column:
     return ~x["inset"] & (F.length(line) <= rules.heading_chars) & (~line.rlike(r"[。…]\z") | line.rlike(rules.numbered)) & (kind_of(strip_inline(line)) == "kept")
 
 
-def in_catalog_order(found: DataFrame, window: int) -> DataFrame:
-    """(book_id, at, index) of lines that continue a catalog: of ``found`` (book_id, at, places: the sorted indexes of entries with a line's words), each takes
-    the first place that no earlier line has passed, if that is within ``window`` of the next one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, after = object(), 0
-        for batch in batches:
-            kept, taken = [], []
-            for k, (own, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if own != book:
-                    book, after = own, 0
-                i = bisect_left(places, after)
-                if i < len(places) and places[i] - after <= window:
-                    kept.append(k)
-                    taken.append(places[i])
-                    after = places[i] + 1
-            rows = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(taken, pa.int32())], ["book_id", "at", "index"])
-
-    kind = found.schema["book_id"].dataType.simpleString()
-    ordered = found.select("book_id", "at", "places").repartition("book_id").sortWithinPartitions("book_id", "at")
-    return ordered.mapInArrow(run, f"book_id {kind}, at int, index int")
-
-
 def whole_books(texts: DataFrame, catalog: DataFrame, rules: TextRules = TextRules()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chapters, books, missing) of texts (book_id, text) and catalogs (book_id, index, id, title).
 
@@ -97,9 +70,9 @@ def whole_books(texts: DataFrame, catalog: DataFrame, rules: TextRules = TextRul
     """
     own = texts.filter("book_id is not null").select("book_id", book_lines(F.col("text"), rules).alias("lines"))
     entries = catalog.filter("book_id is not null").select("book_id", F.col("index").cast("int").alias("index"), F.col("id").cast("string").alias("id"), "title")
-    at_margin = own.select("book_id", F.posexplode("lines").alias("at", "x")).filter("not x.inset").select("book_id", "at", heading_key(F.col("x.line")).alias("key"))
-    places = entries.filter("title is not null").groupBy("book_id", heading_key(F.col("title")).alias("key")).agg(F.sort_array(F.collect_list("index")).alias("places"))
-    matched = in_catalog_order(at_margin.join(places, ["book_id", "key"]), rules.window)
+    at_margin = own.select(F.col("book_id").alias("doc_id"), F.posexplode("lines").alias("at", "x")).filter("not x.inset").select("doc_id", "at", heading_key(F.col("x.line")).alias("key"))
+    places = entries.filter("title is not null").groupBy(F.col("book_id").alias("doc_id"), heading_key(F.col("title")).alias("key")).agg(F.sort_array(F.collect_list("index")).alias("places"))
+    matched = in_catalog_order(at_margin.join(places, ["doc_id", "key"]), rules.window).withColumnRenamed("doc_id", "book_id")
     begin = F.struct("at", "id", "title")
     plans = matched.join(entries, ["book_id", "index"]).groupBy("book_id").agg(F.sort_array(F.collect_list(begin)).alias("begins"))
 

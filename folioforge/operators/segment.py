@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,28 +114,36 @@ def anchors_to_blocks(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "paragraph", "offset").agg(best.alias("b")).select("doc_id", "paragraph", "offset", "b.block_index", "b.block_offset")
 
 
-def align_to_catalog(keyed_lines: DataFrame, catalog: DataFrame, window: int = 200) -> DataFrame:
-    """doc_id, pos, catalog_index: lines (doc_id, pos, key, unindented) that match a catalog (doc_id, index, key) in order.
+def in_catalog_order(found: DataFrame, window: int) -> DataFrame:
+    """(doc_id, at, index) of lines that continue a catalog: of ``found`` (doc_id, at, places: the sorted indexes of entries with a line's words), each takes
+    the first place that no earlier line has passed, if that is within ``window`` of the next one."""
 
-    A pointer moves along the catalog: a line takes the first entry of its key among the next ``window`` ones. Greedy, so a fold over
-    one document's lines and entries; both are bounded by that document.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, after = object(), 0
+        for batch in batches:
+            kept, taken = [], []
+            for k, (own, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if own != owner:
+                    owner, after = own, 0
+                i = bisect_left(places, after)
+                if i < len(places) and places[i] - after <= window:
+                    kept.append(k)
+                    taken.append(places[i])
+                    after = places[i] + 1
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(taken, pa.int32())], ["doc_id", "at", "index"])
+
+    kind = found.schema["doc_id"].dataType.simpleString()
+    ordered = found.select("doc_id", "at", "places").repartition("doc_id").sortWithinPartitions("doc_id", "at")
+    return ordered.mapInArrow(run, f"doc_id {kind}, at int, index int")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        places: dict[str, list[int]] = {}
-        for r in right.sort_values("index").itertuples():
-            places.setdefault(r.key, []).append(r.index_)
-        at, rows = 0, []
-        for r in left[left["unindented"]].sort_values("pos").itertuples():
-            k = next((k for k in places.get(r.key, ()) if at <= k <= at + window), None)
-            if k is not None:
-                rows.append((r.doc_id, r.pos, k))
-                at = k + 1
-        return pd.DataFrame(rows, columns=["doc_id", "pos", "catalog_index"])
-
-    kind = keyed_lines.schema["doc_id"].dataType.simpleString()
-    right = catalog.select("doc_id", F.col("index"), F.col("index").alias("index_"), "key")
-    return keyed_lines.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, pos int, catalog_index int")
+
+def align_to_catalog(keyed_lines: DataFrame, catalog: DataFrame, window: int = 200) -> DataFrame:
+    """doc_id, pos, catalog_index: lines (doc_id, pos, key, unindented) that match a catalog (doc_id, index, key) in order (see ``in_catalog_order``). Only lines
+    whose key the catalog has are put in order."""
+    places = catalog.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.col("index").cast("int"))).alias("places"))
+    found = keyed_lines.filter("unindented").join(places, ["doc_id", "key"]).select("doc_id", F.col("pos").cast("int").alias("at"), "places")
+    return in_catalog_order(found, window).select("doc_id", F.col("at").alias("pos"), F.col("index").alias("catalog_index"))
 
 
 #: Matched headings by headings found, from which on an alignment with a catalog counts.
