@@ -1,13 +1,13 @@
-"""Extraction from HTML by expressions, and by small helpers where elements nest."""
+"""Extraction from HTML by expressions; where elements nest, by the depth of their tags."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import let, running
 from .text import decode_entities
 
 
@@ -42,57 +42,55 @@ def total_pages(page: Column) -> Column:
     return F.when(F.size(numbers) > 0, F.array_max(numbers) + 1).when(select.rlike("(?i)<option"), F.lit(1))
 
 
-_DIV = re.compile(r"<(/?)div\b[^>]*>", re.IGNORECASE)
+#: Opening and closing tags of an element that nests.
+TAG = r"(?i)</?{0}\b[^>]*>"
 
 
-def _inner(page: str, opening: re.Pattern) -> str | None:
-    start = opening.search(page)
-    if not start:
-        return None
-    depth = 1
-    for m in _DIV.finditer(page, start.end()):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return page[start.end() : m.start()]
-    return page[start.end() :]
+def _signs(tags: Column) -> Column:
+    return F.transform(tags, lambda t: F.when(F.startswith(t, F.lit("</")), -1).otherwise(1))
 
 
-def div_inner(page: Column, attribute: str, value: str) -> Column:
-    """What the first div with that attribute value holds, nested ones included; to the end if it isn't closed; null without one."""
-    opening = re.compile(rf"""<div\b[^>]*\b{attribute}\s*=\s*["'][^"']*\b{re.escape(value)}\b[^"']*["'][^>]*>""", re.IGNORECASE)
-
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: _inner(p, opening), na_action="ignore")
+def element_inner(page: Column, opening: str, name: str = "div") -> Column:
+    """What the first element whose opening tag matches a pattern holds, nested ones of its kind included; to the end if it isn't closed; null without one.
 
-    return run(page)
+    The depth behind each tag is a running sum; the element ends at the first tag behind which it is back at zero."""
 
+    def inner(tags: Column, gaps: Column, at: Column) -> Column:
+        own = F.slice(tags, at, F.size(tags))
+        after = F.zip_with(running(_signs(own), F.lit(0), lambda a, x: a + x), _signs(own), lambda a, x: a + x)
+        end = F.array_position(after, F.lit(0)).cast("int")
+        n = F.when(end > 0, end).otherwise(F.size(own) + 1)  # pieces that lie within
+        held = F.zip_with(F.slice(gaps, at + 1, n - 1), F.concat(F.slice(own, F.lit(2), F.greatest(n - 2, F.lit(0))), F.array(F.lit(""))), lambda gap, tag: F.concat(gap, F.coalesce(tag, F.lit(""))))
+        return F.array_join(held, "")
 
-def _without(page: str, attributes: re.Pattern) -> str:
-    out, at = [], 0
-    for m in re.finditer(r"<div\b([^>]*)>", page, re.IGNORECASE):
-        if m.start() < at or not attributes.search(m[1]):
-            continue
-        depth, end = 1, len(page)
-        for tag in _DIV.finditer(page, m.end()):
-            depth += -1 if tag[1] else 1
-            if not depth:
-                end = tag.end()
-                break
-        out += [page[at : m.start()], " "]
-        at = end
-    return "".join([*out, page[at:]])
+    pattern = TAG.format(name)
+    tags = F.regexp_extract_all(page, F.lit(pattern), F.lit(0))
+    first = lambda t: F.array_position(F.transform(t, lambda x: x.rlike(opening)), F.lit(True)).cast("int")
+    return let(tags, lambda t: let(first(t), lambda at: F.when(at > 0, let(F.split(page, pattern, -1), lambda gaps: inner(t, gaps, at)))))
 
 
-def without_divs(page: Column, attributes: str) -> Column:
-    """The markup without divs whose attributes match a pattern (in any case), nested ones included; one that isn't closed goes to the end."""
-    opening = re.compile(attributes, re.IGNORECASE)
+def div_inner(page: Column, attribute: str, value: str) -> Column:
+    """``element_inner`` of the first div with that attribute value."""
+    return element_inner(page, rf"""(?i)^<div\b[^>]*\b{attribute}\s*=\s*["'][^"']*\b{re.escape(value)}\b[^"']*["'][^>]*>""")
 
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: _without(p, opening), na_action="ignore")
 
-    return run(page)
+def without_divs(page: Column, attributes: str) -> Column:
+    """The markup without divs whose attributes match a pattern (in any case), nested ones included; one that isn't closed goes to the end. A space stands for each."""
+    pattern = TAG.format("div")
+
+    def step(acc: Column, t: Column) -> Column:
+        # depth: open divs of the one that goes; 0 outside.
+        sign = F.when(F.startswith(t, F.lit("</")), -1).otherwise(1)
+        goes = (sign == 1) & F.regexp_extract(t, r"(?i)^<div\b([^>]*)>", 1).rlike(f"(?i){attributes}")
+        depth = F.when(acc["depth"] > 0, acc["depth"] + sign).when(goes, 1).otherwise(0)
+        said = F.when(acc["depth"] > 0, F.lit("")).when(goes, F.lit(" ")).otherwise(t)
+        return F.struct(depth.cast("int").alias("depth"), F.concat(acc["out"], F.array(F.struct(said.alias("tag"), (depth == 0).alias("stays")))).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<tag:string,stays:boolean>>").alias("out"))
+    marked = lambda t: F.aggregate(t, begin, step, lambda acc: acc["out"])
+    rest = lambda t, gaps: F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(marked(t), F.slice(gaps, F.lit(2), F.size(t)), lambda m, gap: F.concat(m["tag"], F.when(m["stays"], gap).otherwise(""))), ""))
+    tags = F.regexp_extract_all(page, F.lit(pattern), F.lit(0))
+    return let(tags, lambda t: F.when(F.size(t) > 0, let(F.split(page, pattern, -1), lambda gaps: rest(t, gaps))).otherwise(page))
 
 
 def paragraphs(page: Column) -> Column:

@@ -3,37 +3,35 @@
 from __future__ import annotations
 
 import html
-import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dialect import SPACE, collapse, trim, utf16_length
+from .folds import replaced
 
 # The named entities that are decoded; all others stay as they are.
 ENTITIES = "amp lt gt quot apos nbsp ldquo rdquo mdash hellip emsp ensp thinsp middot lsquo rsquo".split()
-_ENTITY = re.compile(r"&(#x?[0-9a-fA-F]+|[a-zA-Z]+);")
+ENTITY = "&(?:#[xX]?[0-9a-fA-F]+|[a-zA-Z]+);"
+MOST_POINT = 0x10FFFF
 
 
-def _entity(match: re.Match) -> str:
-    name = match[1]
-    if name[0] != "#":
-        return html.unescape(match[0]) if name in ENTITIES else match[0]
-    try:
-        return chr(int(name[2:], 16) if name[1] in "xX" else int(name[1:]))
-    except (ValueError, OverflowError):
-        return match[0]
+def _entity(match: Column) -> Column:
+    """What an entity stands for; itself if it is unknown or no character."""
+    hexadecimal, decimal = F.regexp_extract(match, "(?i)^&#x([0-9a-f]+);", 1), F.regexp_extract(match, "^&#([0-9]+)", 1)
+    # Longer numbers are no characters, and would not fit.
+    digits = F.when(hexadecimal != "", F.regexp_replace(hexadecimal, "^0+(?=.)", "")).when(decimal != "", F.regexp_replace(decimal, "^0+(?=.)", ""))
+    point = F.when(F.length(digits) <= 8, F.when(hexadecimal != "", F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+    # Halves of surrogate pairs are no characters on their own.
+    valid = point.between(0, 0xD7FF) | point.between(0xE000, MOST_POINT)
+    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    named = F.create_map(*[F.lit(x) for name in ENTITIES for x in (f"&{name};", html.unescape(f"&{name};"))])
+    return F.coalesce(F.when(F.startswith(match, F.lit("&#")), F.when(valid, char)).otherwise(F.try_element_at(named, match)), match)
 
 
 def decode_entities(text: Column) -> Column:
-    """Decimal, hexadecimal and the named entities, each decoded once."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _ENTITY.sub(_entity, t), na_action="ignore")
-
-    return run(text)
+    """Decimal, hexadecimal and the named entities, each decoded once; null stays null."""
+    return F.when(F.contains(text, F.lit("&")), replaced(text, ENTITY, _entity)).otherwise(text)
 
 
 def strip_tags(markup: Column) -> Column:

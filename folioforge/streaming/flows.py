@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from ..operators.stores import last_wins, never_shrink
+from ..operators.stores import never_shrink, newest, write
 
 
 def gate_schedule(requests: DataFrame, keys: list[str], at: str, gap: int, ties: list[str]) -> DataFrame:
@@ -46,27 +47,29 @@ def windowed_counts(events: DataFrame, at: str, width: str, late: str, keys: lis
     return events.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def maintain(updates: DataFrame, path: str, keys: list[str], checkpoint: str, grows_only: bool = False) -> StreamingQuery:
-    """Keep a keyed Parquet table below ``path`` up to date from a stream.
+def merge_batch(batch: DataFrame, path: str, keys: list[str], at: str, by: str = "book_id", grows_only: bool = False) -> None:
+    """Merge a batch into a Parquet table with a folder for each value of ``by`` (one of the keys). Only folders of values that the batch has are read and written.
 
-    Each batch writes a new version folder and the newest complete one counts, so a batch that is run again after a failure writes the
-    same version once more.
+    Of rows of one key that with the largest ``at`` stays, of equal ones that with the largest other values, or with ``grows_only`` the one that
+    ``stores.never_shrink`` takes. Merging a batch once more changes nothing, so one that was cut short can be run again.
     """
-    def apply(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(keys)
-        old = current(batch.sparkSession, path, number)
-        merged = new if old is None else (never_shrink if grows_only else last_wins)(old, new, keys)
-        merged.write.mode("overwrite").parquet(f"{path}/version={number:010d}")
+    spark = batch.sparkSession
+    new = newest(batch, keys, at)
+    old = table(spark, path, batch.schema)
+    if old is None:
+        return write(new, path, by)
+    touched = old.join(F.broadcast(new.select(by).distinct()), by, "left_semi").select(*batch.columns)
+    return write(never_shrink(touched, new, keys) if grows_only else newest(touched.unionByName(new), keys, at), path, by)
 
-    return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def maintain(updates: DataFrame, path: str, keys: list[str], at: str, checkpoint: str, by: str = "book_id", grows_only: bool = False) -> StreamingQuery:
+    """Keep a keyed table up to date from a stream, batch by batch (see ``merge_batch``)."""
+    return updates.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, path, keys, at, by, grows_only)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def current(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version (below ``before``, if given); None if there is none."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
+
+def table(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """What ``merge_batch`` has written; None if there is nothing yet."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own):
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(top) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    names = [n for n in names if n.startswith("version=") and (before is None or int(n[8:]) < before)]
-    return spark.read.parquet(f"{path}/{names[-1]}") if names else None
+    return spark.read.schema(schema).parquet(path)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import chapters, search, segment, stores, toc
 from folioforge.sources import archives, fetch_log
-from folioforge.streaming import flows
 
 
 def merged(spark, rows):
@@ -115,12 +114,3 @@ def test_fetch_log(spark):
     log = spark.createDataFrame(rows, "url string, status int, content_type string, body binary, final_url string")
     got = {r.url[-1]: (r["class"], r.outcome, r.retryable) for r in fetch_log.classified(log, ["a.b"]).collect()}
     assert got == {"1": ("ok", "ok", False), "2": ("http", "not_found", False), "3": ("blocked", "failed", False), "4": ("http", "failed", True), "5": ("redirected", "failed", False), "6": ("invalid", "failed", False)}
-
-
-def test_stream(spark, tmp_path):
-    source, table = tmp_path / "in", tmp_path / "table"
-    for k, rows in enumerate([[(1, "a"), (2, "b")], [(2, "c"), (3, "d")]]):
-        spark.createDataFrame(rows, "k int, v string").coalesce(1).write.mode("append").parquet(str(source))
-        updates = spark.readStream.schema("k int, v string").parquet(str(source))
-        flows.maintain(updates, str(table), ["k"], str(tmp_path / "check")).awaitTermination()
-    assert sorted(map(tuple, flows.current(spark, str(table)).collect())) == [(1, "a"), (2, "c"), (3, "d")]

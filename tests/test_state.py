@@ -65,3 +65,33 @@ def test_one_gate_for_all(spark, stream):
     out = stream([[(1, 1, 0), (1, 2, 0)], [(1, 3, 100), (1, 4, 60_000)]], EVENTS, lambda read: state.gate_stream(read, ["user_id"], "event_id", "ms", 5000), "one")
     assert dict(out.select("event_id", "start").toPandas().sort_values("event_id").itertuples(index=False)) == {1: 0, 2: 5000, 3: 10_000, 4: 60_000}
     assert isinstance(out.toPandas(), pd.DataFrame)
+
+
+def files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+@pytest.mark.parametrize("grows_only", [False, True])
+def test_only_touched_folders_are_written(spark, tmp_path, grows_only):
+    kind = "book_id string, chapter_id string, at long, char_count long, paragraph_count long, v string"
+    row = lambda b, c, at, n, v: (b, c, at, n, n, v)
+    first = [row("a", "1", 1, 5, "x"), row("a", "2", 1, 5, "x"), row("b", "1", 1, 5, "x"), row("b", "1", 2, 6, "y"), row("007", "1", 1, 1, "z")]
+    second = [row("b", "1", 3, 4, "shorter"), row("b", "2", 3, 9, "new"), row("b", "2", 3, 9, "new")]
+    table, source = tmp_path / "table", tmp_path / "in"
+
+    def run(rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(source))
+        flows.maintain(spark.readStream.schema(kind).parquet(str(source)), str(table), ["book_id", "chapter_id"], "at", str(tmp_path / "check"), grows_only=grows_only).awaitTermination()
+        schema = spark.createDataFrame([], kind).schema
+        return sorted((r.book_id, r.chapter_id, r.v) for r in flows.table(spark, str(table), schema).collect())
+
+    assert run(first) == [("007", "1", "z"), ("a", "1", "x"), ("a", "2", "x"), ("b", "1", "y")]
+    before = files(table)
+    want = [("007", "1", "z"), ("a", "1", "x"), ("a", "2", "x"), ("b", "1", "y" if grows_only else "shorter"), ("b", "2", "new")]
+    assert run(second) == want
+    after = files(table)
+    assert {k for k in before if before[k] == after.get(k)} == {k for k in before if not k.startswith("book_id=b/")}
+    # The same batch again, as after a failure.
+    flows.merge_batch(spark.createDataFrame(second, kind), str(table), ["book_id", "chapter_id"], "at", grows_only=grows_only)
+    assert sorted((r.book_id, r.chapter_id, r.v) for r in flows.table(spark, str(table), spark.createDataFrame([], kind).schema).collect()) == want
+    assert flows.table(spark, str(tmp_path / "none"), spark.createDataFrame([], kind).schema) is None
