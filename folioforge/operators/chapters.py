@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_PAGES = 40
 _PAGE_TITLE = re.compile(r"第\d+页")
+_NAMES = ("book_id", "chapter_id", "title", "paragraphs", "prev_id", "next_id", "page_count", "char_count", "complete", "missing", "restricted")
+_TYPES = pa.schema(list(zip(_NAMES, [*[pa.string()] * 3, pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.bool_()], strict=True)))
 SCHEMA = "book_id string, chapter_id string, title string, paragraphs array<string>, prev_id string, next_id string, page_count int, char_count long, complete boolean, missing array<int>, restricted boolean"
 
 
@@ -77,33 +80,45 @@ def _assembled(fetched: dict[int, dict], any_repeat: bool) -> list[str]:
     return out
 
 
+def _whole(key: tuple[str, str], pages: dict[int, dict], any_repeat: bool) -> dict:
+    """The row of SCHEMA of one chapter's pages."""
+    fetched, missing, end = _visit(pages)
+    own = dict(zip(_NAMES, (*key, None, [], None, None, 0, 0, False, sorted(missing), False), strict=True))
+    if fetched:
+        order = [fetched[k] for k in sorted(fetched)]
+        text = _assembled(fetched, any_repeat)
+        own |= {"title": next((p["title"] for p in order if not _PAGE_TITLE.search(p["title"] or "")), order[0]["title"]), "paragraphs": text, "prev_id": order[0]["prev_id"], "next_id": order[-1]["next_id"] or order[0]["next_id"]}
+        own |= {"page_count": len(order), "char_count": sum(len(p.encode("utf-16-le", "surrogatepass")) // 2 for p in text), "complete": end and not missing, "restricted": any(bool(p["restricted"]) for p in order)}
+    return own
+
+
 def assemble(pages: DataFrame, any_repeat: bool = False) -> DataFrame:
     """Chapters of pages (book_id, chapter_id, page_index, outcome, title, paragraphs, prev_id, next_id, same_pages, declared_page, restricted).
 
-    A paragraph that repeats the one before is dropped at a page's start only, or anywhere with ``any_repeat``. A group is one chapter,
-    40 pages at most count.
+    A paragraph that repeats the one before is dropped at a page's start only, or anywhere with ``any_repeat``. Pages lie in order of their chapters, and one pass
+    takes chapter after chapter: it holds MOST_PAGES pages of one at most. Of rows of one page the first by outcome, title and paragraphs counts; null lists are
+    empty; a chapter whose pages all have numbers beyond MOST_PAGES, or none, has none. An empty table gives an empty one.
     """
 
-    def none(x):
-        return None if x is None or x != x else x
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = {}
-        for r in rows.sort_values("page_index").to_dict("records"):
-            listed = {c: list(r[c]) if r[c] is not None else [] for c in ("paragraphs", "same_pages")}
-            own.setdefault(int(r["page_index"]), r | listed | {"declared_page": none(r["declared_page"]), "next_id": none(r["next_id"]), "prev_id": none(r["prev_id"])})
-        fetched, missing, end = _visit(own)
-        book, chapter = rows["book_id"].iloc[0], rows["chapter_id"].iloc[0]
-        if not fetched:
-            out = (book, chapter, None, [], None, None, 0, 0, False, sorted(missing), False)
-        else:
-            order = [fetched[k] for k in sorted(fetched)]
-            text = _assembled(fetched, any_repeat)
-            title = next((p["title"] for p in order if not _PAGE_TITLE.search(p["title"] or "")), order[0]["title"])
-            out = (book, chapter, title, text, order[0]["prev_id"], order[-1]["next_id"] or order[0]["next_id"], len(order), sum(len(p.encode("utf-16-le", "surrogatepass")) // 2 for p in text), end and not missing, sorted(missing), any(bool(p["restricted"]) for p in order))
-        return pd.DataFrame([out], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return pages.groupBy("book_id", "chapter_id").applyInPandas(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, {}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if (r["book_id"], r["chapter_id"]) != key:
+                    if key is not None:
+                        out.append(_whole(key, own, any_repeat))
+                    key, own = (r["book_id"], r["chapter_id"]), {}
+                if r["page_index"] is not None and 0 <= r["page_index"] < MOST_PAGES:
+                    own.setdefault(r["page_index"], r | {c: r[c] or [] for c in ("paragraphs", "same_pages")})
+            yield pa.RecordBatch.from_pylist(out, _TYPES)
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([_whole(key, own, any_repeat)], _TYPES)
+
+    texts = [F.col(c).cast("string").alias(c) for c in ("book_id", "chapter_id")]
+    own = pages.select(*texts, F.col("page_index").cast("int").alias("page_index"), "outcome", "title", "paragraphs", "prev_id", "next_id", "same_pages", "declared_page", "restricted")
+    order = ["book_id", "chapter_id", "page_index", "outcome", "title", "paragraphs"]
+    return own.repartition("book_id", "chapter_id").sortWithinPartitions(*order).mapInArrow(run, SCHEMA)
 
 
 def without_repeats(rows: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:
