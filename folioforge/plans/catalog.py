@@ -17,7 +17,7 @@ from ..functions.families import NUMBER, Family
 from ..operators import chapters, clean, search, segment, statistics, stores, toc
 from ..sources import archives
 from ..streaming import flows
-from . import records, wholes
+from . import pages, records, wholes
 from .tables import EVENTS_SQL as _EVENTS_SQL
 from .tables import NOW
 from .tables import events as _events
@@ -488,7 +488,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         shelf_joined, recent_by_owner, cached_flags, status_updates, bookmark_import, bookmark_toggle, deleted_count, cache_paths, paging_rules, source_contents,
         margin_chapters, anchor_roundtrip,
     )
-    return {f.__name__: f for f in found} | records.queries() | wholes.queries()
+    return {f.__name__: f for f in found} | records.queries() | wholes.queries() | pages.queries()
 
 
 _PARAGRAPHS_SQL = f"SELECT doc_id, pos, line FROM ({_LINES_SQL}) WHERE trim(line, ' ') <> ''"
@@ -501,7 +501,7 @@ def _url(k: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.oracle_sql() | wholes.oracle_sql() | {
+    return records.oracle_sql() | wholes.oracle_sql() | pages.oracle_sql() | {
         "stitch_open_lines": f"WITH {_CLEAN_SQL} SELECT doc_id, pos, text FROM o",
         "clean_lines_stats": f"WITH {_CLEAN_SQL} SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM o GROUP BY doc_id",
         "cleaned_arrays": f"WITH {_CLEAN_SQL} SELECT d.doc_id, count(o.text) AS n_paragraphs, md5(coalesce(string_agg(o.text, chr(10) ORDER BY o.pos), '')) AS digest FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_BYTES, MOST_BOOKS, MOST_RECORDS = 4 << 20, 1000, 10_000
+from .repair import depth
+
+MOST_BYTES, MOST_BOOKS, MOST_RECORDS, MOST_DEPTH = 4 << 20, 1000, 10_000, 32
 RECORD = "struct<id:string,chapter_id:string,updated_at:bigint>"
 DOCUMENT = f"version int, books map<string, struct<progress:{RECORD}, bookmarks:array<{RECORD}>, history:array<{RECORD}>>>"
 KEY = r"\A[A-Za-z0-9_-]{1,64}\z"
@@ -29,6 +31,7 @@ def import_json(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = F.aggregate(F.map_values("d.books"), F.lit(0), lambda n, b: n + F.coalesce(F.size(b["bookmarks"]), F.lit(0)) + F.coalesce(F.size(b["history"]), F.lit(0)))
     reason = (
         F.when(F.octet_length("document") > MOST_BYTES, "too large")
+        .when(depth(F.col("document")) > MOST_DEPTH, "nested too deeply")
         .when(F.col("d").isNull() | F.col("d.books").isNull(), "not a personal document")
         .when(F.size("d.books") > MOST_BOOKS, "too many books")
         .when(sizes > MOST_RECORDS, "too many records")
