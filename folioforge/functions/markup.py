@@ -8,14 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .folds import let, running
-from .text import decode_entities
+from .text import decode_entities, text_of
+
+
+#: Comments, scripts and styles.
+UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+
+
+def bare(fragment: Column) -> Column:
+    """Without tags and outer blanks; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(fragment, "<[^>]+>", "")), F.lit(""))
 
 
 def title(page: Column) -> Column:
     """The first heading of level one or two, else the title element; without tags, null if there is neither."""
     heading = F.regexp_extract(page, r"(?is)<h[12][^>]*>(.*?)</h[12]>", 1)
     named = F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    bare = lambda t: F.nullif(F.trim(F.regexp_replace(t, "<[^>]+>", "")), F.lit(""))
     return F.coalesce(bare(heading), bare(named))
 
 
@@ -35,11 +43,22 @@ def anchors(page: Column) -> Column:
     return F.transform(zipped, lambda x: F.struct(F.concat(x["a"], x["b"], x["c"]).alias("href"), F.regexp_replace(F.regexp_replace(x["t"], "<[^>]+>", ""), r"\s+", "").alias("text")))
 
 
-def total_pages(page: Column) -> Column:
-    """Pages of a table of contents by its page selector: the largest numbered option and one; 1 with a single option; null without one."""
+def links(fragment: Column) -> Column:
+    """Array of struct(href, text) of links with an address in quotes, in order; texts on one line, with their entities decoded."""
+    pattern = r"""(?is)<a\b[^>]*href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
+    found = F.regexp_extract_all(fragment, F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("href"), text_of(F.regexp_extract(x, pattern, 2)).alias("text")))
+
+
+def total_pages(page: Column, book_id: Column | None = None) -> Column:
+    """Pages of a book's contents (of any book's, without an id): by its page selector the largest numbered option and one, or 1 if that only has the first; else by the first link to a
+    range of chapters; null if the page says nothing."""
+    own = F.lit("[1-9][0-9]{0,8}") if book_id is None else book_id
     select = F.regexp_extract(page, r"(?is)<select.*?</select>", 0)
-    numbers = F.transform(F.regexp_extract_all(select, F.lit(r"/([0-9]+)\.html"), F.lit(1)), lambda n: n.cast("int"))
-    return F.when(F.size(numbers) > 0, F.array_max(numbers) + 1).when(select.rlike("(?i)<option"), F.lit(1))
+    options = F.regexp_extract_all(select, F.concat(F.lit("/book/"), own, F.lit(r"/([0-9]{1,9})\.html")), F.lit(1))
+    first = select.rlike("(?i)<option") if book_id is None else F.regexp_count(select, F.concat(F.lit("/book/"), own, F.lit("/[\"']"))) > 0
+    linked = F.regexp_extract_all(page, F.concat(F.lit("/book/"), own, F.lit(r"""/([0-9]{1,9})\.html["'][^>]*>第[0-9\-]+章""")), F.lit(1))
+    return F.when(F.size(options) > 0, F.array_max(F.transform(options, lambda n: n.cast("int"))) + 1).when(first, F.lit(1)).otherwise(F.get(linked, F.lit(0)).cast("int") + 1)
 
 
 #: Opening and closing tags of an element that nests.

@@ -50,6 +50,11 @@ def clean_text(markup: Column) -> Column:
     return tidy_lines(decode_entities(strip_tags(markup)))
 
 
+def text_of(markup: Column) -> Column:
+    """The text of a fragment on one line."""
+    return F.trim(F.regexp_replace(clean_text(markup), "\n+", " "))
+
+
 def from_base64(text: Column) -> Column:
     """UTF-8 text of base64 with any white space in it; null if it is invalid."""
     return F.decode(F.try_to_binary(F.regexp_replace(text, r"\s+", ""), F.lit("base64")), "UTF-8")

@@ -36,13 +36,13 @@ def is_allowed(url: Column, hosts: list[str], path: str = ".*") -> Column:
 
 
 def chapter_link(url: Column, book_id: Column) -> Column:
-    """struct(chapter_id, page_index) of a link within a book: /book/B/C.html or /book/B/C_P.html; null for others and for numbers of
-    under six digits without a page, which are pages of a table of contents."""
-    path = F.regexp_replace(url, r"[?#].*\z", "")
-    pattern = r"(?:\A|/)book/([0-9]+)/([0-9]+)(?:_([0-9]+))?\.html\z"
-    book, chapter, page = (F.regexp_extract(path, pattern, k) for k in (1, 2, 3))
-    ok = (book == book_id) & (chapter != "") & ((F.length(chapter) >= 6) | (page != ""))
-    return F.when(ok, F.struct(chapter.alias("chapter_id"), F.coalesce(F.nullif(page, F.lit("")).cast("int"), F.lit(0)).alias("page_index")))
+    """struct(chapter_id, page_index) of a link within a book: /book/B/C.html, /book/B/C_P.html or /book/B_C.html; null for others and for numbers of
+    under six digits without a page in the first form, which are pages of a table of contents."""
+    path = F.regexp_replace(F.trim(url), r"[?#].*\z", "")
+    pattern = r"(?:\A|/)book/([0-9]+)(?:/([0-9]+)(?:_([0-9]{1,9}))?|_([0-9]+))\.html\z"
+    book, chapter, page, short = (F.regexp_extract(path, pattern, k) for k in (1, 2, 3, 4))
+    ok = (book == book_id) & ((short != "") | ((chapter != "") & ((F.length(chapter) >= 6) | (page != ""))))
+    return F.when(ok, F.struct(F.concat(chapter, short).alias("chapter_id"), F.coalesce(F.nullif(page, F.lit("")).cast("int"), F.lit(0)).alias("page_index")))
 
 
 def toc_url(base: str, book_id: Column, page: Column) -> Column:

@@ -1,10 +1,11 @@
 """Pages to rows, and personal documents to records and back."""
 
 import base64
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from folioforge.functions import text, urls
+from folioforge.functions import families, markup, text, urls
 from folioforge.operators import chapters, parse, search, toc
 from folioforge.sources import personal
 
@@ -29,9 +30,11 @@ def test_lists(spark):
     html = "".join(f"<a href='/book/9/{i}.html'>第{n}章</a>" for i, n in ((100003, 3), (100002, 2), (100003, 3), (100001, 1))) + "<a href='/book/9/2.html'>页</a>"
     found = parse.catalog(spark.createDataFrame([("9", html)], "book_id string, html string"))
     assert [r.id for r in found.orderBy("order_key").collect()] == ["100001", "100002", "100003"]
-    hits = "<div class='search-list'>" + "".join(f"<a href='/book/{k % 60 + 1}/'>t{k}</a>" for k in range(80))
-    rows = {r.query: r for r in parse.search_results(spark.createDataFrame([("a", hits), ("b", "<div class='result'>"), ("c", "<p>")], "query string, html string")).collect()}
-    assert (len(rows["a"].hits), rows["a"].hits[0].title, rows["b"].hits, rows["c"].hits, rows["c"].recognised) == (50, "t0", [], None, False)
+    hits = "<ul id='novel-search'>" + "".join(f"<li><span class='s2'><a href='/book/{k % 60 + 1}/'>t{k}</a></span></li>" for k in range(80))
+    rows = {}
+    for r in parse.listed_results(spark.createDataFrame([("a", hits), ("b", "<ul id='novel-search'>"), ("c", "<p>")], "query string, html string"), parse.ROWS).orderBy("query", "rank").collect():
+        rows.setdefault(r.query, []).append(r)
+    assert (len(rows["a"]), rows["a"][0].title, rows["b"][0].id, rows["b"][0].recognised, rows["c"][0].recognised) == (50, "t0", None, True, False)
     info = parse.book_info(spark.createDataFrame([("9", "<meta property=\"og:title\" content=\"A&amp;B\">")], "book_id string, html string")).first()
     assert info.title == "A&B" and info.author is None
 
@@ -58,3 +61,71 @@ def test_small_rules(spark):
     assert tuple(toc.shown_counts(entries).first()) == ("1", 2, 1, 1) and toc.shown(entries, "extra").count() == 1
     pages = spark.createDataFrame([("1", 1, "ok", None), ("1", 2, "ok", 5), ("1", 3, "failed", None)], "book_id string, page int, outcome string, total_pages int")
     assert tuple(toc.range_result(pages).first()) == ("1", 5, [1, 2], [3])
+
+
+def first(spark, html, *columns, kind="html string"):
+    return tuple(spark.createDataFrame([(html,)], kind).select(*columns).first())
+
+
+def test_titles_and_places(spark):
+    html = F.col("html")
+    said = lambda page: first(spark, page, parse.page_title(html), parse.place_of(html))
+    assert said('<h1>Site</h1><h2 class="x chapter-title">第9章 甲（第2页）</h2><title>t</title>') == ("第9章 甲（第2页）", 1)
+    assert said("<title>第9章 甲(某人) 第3页</title><h1>Site</h1>") == ("第9章 甲", 2)
+    assert said("<h2 class='chapter-title'>x</h2><title>A&amp;B 乙（第4页）</title>") == ("A&B 乙", 3)
+    assert said("<script>lastread.set('9','123456','t','u','4','x')</script><title>甲（第2页）</title>") == ("甲", 4)
+    assert said("<script>lastread.set('9','1')</script>") == (None, None) and said(None) == (None, None)
+
+
+def test_links_of_chapters(spark):
+    rows = spark.createDataFrame([(u,) for u in ("/book/9_12.html", "/book/9_12.html?x#y", "/book/8_12.html", "/book/9/12_3.html", "/book/9/12.html", "/book/9/1234567.html", " //h/book/9/123456_0.html ")], "u string")
+    got = [r[0] and tuple(r[0]) for r in rows.select(urls.chapter_link(F.col("u"), F.lit("9"))).collect()]
+    assert got == [("12", 0), ("12", 0), None, ("12", 3), None, ("1234567", 0), ("123456", 0)]
+
+
+def test_pages_of_contents(spark):
+    link = lambda i, t: f'<a class="x" href="/book/9/{i}.html">{t}</a>'
+    listed = f"<ul class='menu'>{link(500001, 'menu')}</ul><ul id=a class=\"ph_list\">{link(500002, '第1章&nbsp; 甲')}{link('500003_1', '第2页')}{link(500004, '下一页')}</ul><ul class=\"y section-list\">{link(500005, '第2章')}</ul>"
+    plain = link(500001, "一") + link(500002, "") + link(12, "尾页") + link(500003, "首页")
+    rows = parse.toc_items(spark.createDataFrame([("9", 1, listed), ("9", 2, plain), ("9", 3, None)], "book_id string, page int, html string"))
+    assert [(r.page, r.id, r.title) for r in rows.orderBy("page", "pos").collect()] == [(1, "500002", "第1章 甲"), (1, "500005", "第2章"), (2, "500001", "一")]
+
+
+def test_numbers_of_pages(spark):
+    kind = "html string, b string"
+    pages = [("<select><option value='/book/9/'>1</option><option value='/book/9/4.html'><option value=\"/book/8/77.html\"></select>", "9"), ("<select><option value='/book/9/'></select>", "9"), ("<select><option value='/book/8/'></select>", "9"), ('<a href="/book/9/3.html">第201-300章</a><a href="/book/9/6.html">第501-600章</a>', "9"), ("<p>", "9")]
+    got = [r[0] for r in spark.createDataFrame(pages, kind).select(markup.total_pages(F.col("html"), F.col("b"))).collect()]
+    assert got == [5, 1, None, 4, None]
+
+
+SOUTH = families.Family("south", "south-", ("s.example.com",), (r"\A/book/([0-9]+)\.htm\z",), (r"\A/txt/([0-9]+)/([0-9]+)(?:\.html)?\z",), "https://s.example.com/book/{book}.htm", "https://s.example.com/txt/{book}/{chapter}")
+
+
+def test_catalogs_by_number_and_in_place(spark):
+    item = lambda n, i, t: f"<li{f' data-num={n}' if n else ''}><a href='/txt/7/{i}'>{t}</a></li>"
+    latest = f"<ul>{item(None, 99, 'latest')}</ul>"
+    numbered = f"{latest}<div class=x id='catalog'><div>{item(3, 30, '丙')}{item(1, 50, '甲')}{item(2, 20, '乙')}{item(9, 20, 'again')}<li>no link</li></div></div>{latest}"
+    falling = f"{latest}<div id=\"catalog\">{item(None, 30, '丙')}{item(2, 20, '乙')}{item(None, 10, '甲')}</div>"
+    bare = "<div id='catalog'><a href='/txt/7/1'>a</a><script>'<a href=\"/txt/7/3\">c</a>'</script><a href='/txt/8/2'>b</a></div>"
+    got = lambda html, rules: [r.id for r in parse.catalog(spark.createDataFrame([("south-7", html)], "book_id string, html string"), rules, SOUTH).orderBy("order_key").collect()]
+    assert got(numbered, parse.NUMBERED) == ["50", "20", "30"] and got(falling, parse.NUMBERED) == ["10", "20", "30"] and got(bare, parse.NUMBERED) == ["1"]
+    placed = "<div id='a-list'><a href='/txt/7/9'>x</a><a href='/txt/7/3'>y</a><a href='/txt/7/9'>z</a></div><a href='/txt/7/1'>out</a>"
+    assert got(placed, parse.IN_PLACE) == ["9", "3"] and got("<a href='/txt/7/1'>out</a>", parse.IN_PLACE) == [] and got(latest, parse.NUMBERED) == ["99"]
+
+
+def test_ways_of_scripts(spark):
+    script = 'var bookinfo = { chaptername: "甲&amp;乙", preview_page: "/txt/7/4", next_page: "/book/7.htm" }'
+    page = f"<script>{script}</script><title>x-y</title><div class='a txtnav'>甲&amp;乙<br>文<br>甲&amp;乙<div class='bottom-ad'>z<div>q</div></div><br>spam site</div><a href='/txt/7/6'>下一章</a><a href='/txt/7/3'>上一章</a>"
+    alone = "<div class='txtnav'><h1>T</h1>T<br>T<br>u</div><script>{next_page: ''}</script>"
+    docs = spark.createDataFrame([("south-7", "5", page), ("south-7", "8", alone), ("south-7", "9", "<div class='txtnav'>u</div>")], "book_id string, chapter_id string, html string")
+    rows = {r.chapter_id: r for r in parse.single_page_chapters(docs, SOUTH, replace(parse.ONE_PAGE, advert="spam site")).collect()}
+    assert (rows["5"].title, rows["5"].paragraphs, rows["5"].prev_id, rows["5"].next_id, rows["5"].complete) == ("甲&乙", ["文", "甲&乙"], "4", "6", True)
+    assert (rows["8"].paragraphs, rows["8"].complete, rows["9"].complete) == (["u"], True, False)
+
+
+def test_a_search_that_leads_to_its_hit(spark):
+    page = '<meta property="og:title" content="书"><meta property="og:novel:author" content="人">'
+    rows = [("one", page, "https://s.example.com/book/12.htm?x"), ("odd", "<p>", "https://s.example.com/book/12.htm"), ("none", "没有找到", "https://s.example.com/search"), ("plain", "<ul class='newbox'><li><h3><a href='/book/7.htm'>t</a></h3></li></ul>", None)]
+    got = {r.query: r for r in parse.listed_results(spark.createDataFrame(rows, "query string, html string, final_url string"), replace(parse.CARDS, prefix="south-")).collect()}
+    assert (got["one"].id, got["one"].title, got["one"].author, got["one"].recognised) == ("south-12", "书", "人", True)
+    assert (got["odd"].id, got["odd"].recognised, got["none"].id, got["none"].recognised, got["plain"].id) == (None, False, None, True, "south-7")
