@@ -25,6 +25,8 @@ class Family:
     info: str
     chapter: str
     cover: str = ""
+    #: How its books are read: "online", chapter by chapter, or "download", as a whole.
+    mode: str = "online"
 
     def is_id(self, book_id: Column) -> Column:
         return F.coalesce(book_id.rlike(rf"\A{self.prefix}{NUMBER}\z"), F.lit(False))
@@ -74,6 +76,16 @@ def route(book_id: Column, families: list[Family]) -> Column:
     return F.coalesce(*[F.when(f.is_id(book_id), F.lit(f.name)) for f in families])
 
 
+def is_mode(book_id: Column, families: list[Family], mode: str) -> Column:
+    """Whether an id is of a family whose books are read in that mode; imported books and unknown ids are of none."""
+    return F.coalesce(*[F.when(f.is_id(book_id), F.lit(f.mode == mode)) for f in families], F.lit(False))
+
+
+def is_stored_book(book_id: Column, families: list[Family]) -> Column:
+    """Whether a book's chapters are all in the store: imported ones and those that are downloaded as a whole."""
+    return F.coalesce(book_id.rlike(r"\Alocal-[a-z0-9]{1,24}\z"), F.lit(False)) | is_mode(book_id, families, "download")
+
+
 def pasted_reference(text: Column, families: list[Family]) -> Column:
     """struct(book_id, chapter_id) of an address that somebody pasted, with or without its scheme; null for anything but a book's or chapter's page of
     a family, for texts over 300 characters and for those with white space inside."""

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.titles import title_key
@@ -16,13 +16,7 @@ LIMIT = 60
 
 def toc_search(toc: DataFrame, query: str, limit: int = LIMIT, title: str = "title", order: tuple[str, ...] = ("pos",), number: str | None = None, id_col: str | None = None) -> DataFrame:
     """Entries whose title holds the query in any case or, for a numeric one, whose number or id it is; the first ``limit`` in order."""
-    own = query.strip()
-    hit = F.contains(F.lower(title), F.lit(own.lower()))
-    if re.fullmatch(r"\d+", own):
-        if number:
-            hit = hit | (F.col(number) == int(own))
-        if id_col:
-            hit = hit | (F.col(id_col).cast("string") == own)
+    hit = _is_hit(query.strip(), title, number, id_col)
     return toc.filter(hit).orderBy(*order).limit(limit)
 
 
@@ -119,12 +113,61 @@ def same_chapter(chapter: DataFrame, other: DataFrame) -> DataFrame:
     return left.join(right, ["book_id", "key"]).groupBy("book_id", "chapter_id").agg(F.min_by("other_id", "pos").alias("other_id"))
 
 
+#: Pages of another source's contents that are read first, and the most that a second look reads.
+FIRST_PAGES, SECOND_PAGES = 6, 6
+
+
+def other_page_window(title: Column, listed: Column, total: Column) -> Column:
+    """struct(low, high): the pages of another source's contents on which a chapter may be that the first pages, with ``listed`` entries, don't have. The number in its title by the
+    entries of a page gives the page, two before and three behind it count too; null if there are no more pages, or the title has no number, or that lies beyond the last."""
+    number = F.nullif(F.regexp_extract(title, "第([0-9]{1,9})[章节回话]", 1), F.lit("")).cast("double")
+    per_page = F.greatest(F.lit(1.0), listed / F.least(F.lit(FIRST_PAGES), total))
+    guess = F.greatest(F.lit(FIRST_PAGES + 1), F.ceil(number / per_page).cast("int"))
+    low = F.greatest(F.lit(FIRST_PAGES + 1), guess - 2)
+    return F.when(number.isNotNull() & (total > FIRST_PAGES) & (low <= total), F.struct(low.alias("low"), F.least(total, low + SECOND_PAGES - 1).alias("high")))
+
+
+def in_other_source(wanted: DataFrame, entries: DataFrame, totals: DataFrame) -> DataFrame:
+    """(book_id, title, id, page) of the chapters ``wanted`` (book_id, title) in the contents of another source (book_id, page, pos, id, title, display_title) that has total_pages
+    (``totals``): the first entry of the same title key on the first pages, else on those of ``other_page_window``. Chapters without one give no row."""
+    keys = F.explode(F.array_distinct(F.array(title_key(F.col("title")), title_key(F.col("display_title"))))).alias("key")
+    keyed = entries.select("book_id", "page", "pos", "id", keys).filter("key is not null")
+    listed = entries.filter(F.col("page") <= FIRST_PAGES).groupBy("book_id").agg(F.count("*").alias("listed"))
+    own = wanted.select("book_id", "title", title_key(F.col("title")).alias("key")).distinct().join(totals, "book_id").join(listed, "book_id", "left")
+    own = own.withColumn("window", other_page_window(F.col("title"), F.coalesce("listed", F.lit(0)), F.col("total_pages")))
+    near = (F.col("page") <= FIRST_PAGES) | F.col("page").between(F.col("window.low"), F.col("window.high"))
+    found = own.join(keyed, ["book_id", "key"]).filter(F.coalesce(near, F.lit(False)))
+    return found.groupBy("book_id", "title").agg(F.min_by(F.struct("id", "page"), F.struct("page", "pos", "id")).alias("e")).select("book_id", "title", "e.*")
+
+
+def beside(chapters: DataFrame, toc: DataFrame) -> DataFrame:
+    """Chapters (book_id, chapter_id, prev_id, next_id) with the neighbours that the contents (book_id, order_key, chapter_id) give them, or where these have none, for want of
+    the chapter or at an end, those stored with it; index is the place in the contents, null outside."""
+    order = Window.partitionBy("book_id").orderBy("order_key")
+    placed = toc.select("book_id", "chapter_id", F.lag("chapter_id").over(order).alias("__prev"), F.lead("chapter_id").over(order).alias("__next"), (F.row_number().over(order) - 1).alias("index"))
+    own = chapters.join(placed, ["book_id", "chapter_id"], "left")
+    return own.withColumns({"prev_id": F.coalesce("__prev", "prev_id"), "next_id": F.coalesce("__next", "next_id")}).drop("__prev", "__next")
+
+
 def toc_search_by_pages(toc: DataFrame, ranges: DataFrame, query: str, around: int = 3, limit: int = LIMIT) -> DataFrame:
-    """``toc_search`` of one book's contents (page, pos, title, number, id) that first looks at the pages around the one that can hold the number asked
-    for, which prunes a table partitioned by page; all pages if that finds nothing or the query is no number."""
+    """``toc_search`` of contents (book_id, page, pos, title, number, id), book by book, that looks first at the pages around the one that can hold the number asked for; at all pages of a
+    book that has nothing there, or if the query is no number. At most ``limit`` entries of each book, with rank."""
     own = query.strip()
-    if re.fullmatch(r"\d+", own) and (page := page_for_number(ranges, int(own)).first()):
-        near = toc_search(toc.filter(F.col("page").between(page.page - around, page.page + around)), own, limit, number="number", id_col="id")
-        if near.take(1):
-            return near
-    return toc_search(toc, own, limit, number="number", id_col="id")
+    rank = F.row_number().over(Window.partitionBy("book_id").orderBy("pos"))
+    hits = toc.filter(_is_hit(own, "title", "number", "id"))
+    if re.fullmatch(r"\d+", own):
+        near = hits.join(page_for_number(ranges, int(own)).withColumnRenamed("page", "__page"), "book_id", "left").withColumn("__near", F.coalesce(F.abs(F.col("page") - F.col("__page")) <= around, F.lit(False)))
+        # Hits are few; whether a book has a near one is told beside them.
+        found = F.max("__near").over(Window.partitionBy("book_id"))
+        hits = near.withColumn("__found", found).filter(F.col("__near") | ~F.col("__found")).drop("__page", "__near", "__found")
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def _is_hit(own: str, title: str, number: str | None, id_col: str | None) -> Column:
+    hit = F.contains(F.lower(title), F.lit(own.lower()))
+    if re.fullmatch(r"\d+", own):
+        if number:
+            hit = hit | (F.col(number) == int(own))
+        if id_col:
+            hit = hit | (F.col(id_col).cast("string") == own)
+    return hit

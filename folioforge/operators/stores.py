@@ -21,6 +21,13 @@ def newest(rows: DataFrame, keys: list[str], at: str, ties: list[str] | None = N
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
+def oldest(rows: DataFrame, keys: list[str], at: str, ties: list[str] | None = None) -> DataFrame:
+    """One row per key, that with the smallest ``at`` (and then the smallest ties); null times count last."""
+    rest = [c for c in rows.columns if c not in keys]
+    order = F.struct(F.col(at).isNull(), at, *(ties or []), *[c for c in rest if c != at])
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
 def upsert_nonblank(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New non-blank fields replace old ones; blanks never do; keys on either side alone stay. Of several new rows of a key the largest non-blank
     value of each field counts."""
@@ -92,6 +99,18 @@ def live(cache: DataFrame, now: Column) -> DataFrame:
     return cache.filter(F.col("expires") >= now)
 
 
+def cache_read(requests: DataFrame, cache: DataFrame, now: Column, key: str = "key") -> DataFrame:
+    """Requests with what the cache (key, expires and further columns) holds for their key and hit. An entry whose time has passed is none; of several of a key the one that lasts longest
+    counts, of equal ones that with the largest values. Misses have nulls."""
+    own = newest(live(cache, now), [key], "expires").withColumn("hit", F.lit(True))
+    return requests.join(own, key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def with_max_age(responses: DataFrame, stored_at: str, max_age: Column) -> DataFrame:
+    """Responses with expires, in milliseconds: ``max_age`` seconds after they were stored; without a positive one they are not kept."""
+    return responses.withColumn("expires", F.col(stored_at) + max_age * 1000).filter(max_age > 0)
+
+
 def lru_victims(touches: DataFrame, key: str, at: str, capacity: int) -> DataFrame:
     """Keys beyond the ``capacity`` touched last. Ranks are taken within ranges of last touch, so no task gets all keys."""
     last = touches.groupBy(key).agg(F.max(at).alias("last_touch"))
@@ -113,6 +132,12 @@ def read(rows: DataFrame, columns: list[str] | None = None, **keys) -> DataFrame
     return out.select(*columns) if columns else out
 
 
+def in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a store as an ordered read gives them: by keys, and within them by ``order`` (a name with "-" before it falls), nulls last."""
+    by = lambda c: F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c)
+    return rows.orderBy(*keys, *map(by, order))
+
+
 def write(rows: DataFrame, path: str, by: str = "book_id") -> None:
     """A store as one Parquet folder per value of ``by``; folders of values that ``rows`` has are replaced, others stay. A value's rows are
     dealt to several tasks when they are many."""
@@ -136,9 +161,9 @@ def cache_path(key: Column, folder: str) -> Column:
     return F.concat(F.lit(folder.rstrip("/") + "/"), F.left(digest, F.lit(2)), F.lit("/"), digest, F.lit(".json"))
 
 
-def with_status(rows: DataFrame, changes: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
-    """Rows with the status that ``changes`` (keys, at, status) give them last; others keep theirs."""
-    last = changes.groupBy(*keys).agg(F.max_by(status, "at").alias("__status"))
+def with_status(rows: DataFrame, changes: DataFrame, keys: list[str], status: str = "status", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the status that ``changes`` (keys, at, status) give them last, of equal times that with the largest ties and then the largest status; others keep theirs."""
+    last = changes.groupBy(*keys).agg(F.max_by(status, F.struct("at", *ties, status)).alias("__status"))
     return rows.join(last, keys, "left").withColumn(status, F.coalesce("__status", status)).drop("__status")
 
 

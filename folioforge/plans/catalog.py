@@ -15,9 +15,9 @@ from ..functions import families, markup, text, titles, urls
 from ..functions.dialect import SPACE_SQL, lines, utf16_length
 from ..functions.families import NUMBER, Family
 from ..operators import chapters, clean, search, segment, statistics, stores, toc
-from ..sources import archives
+from ..sources import archives, repair
 from ..streaming import flows
-from . import pages, records, wholes
+from . import lookups, pages, records, wholes
 from .tables import EVENTS_SQL as _EVENTS_SQL
 from .tables import NOW
 from .tables import events as _events
@@ -115,7 +115,7 @@ def last_by_key(spark, d):
 
 
 def first_by_key(spark, d):
-    return _events(spark, d).groupBy("user_id").agg(F.min_by("event_id", F.struct("ms", "event_id")).alias("event_id"))
+    return stores.oldest(_events(spark, d).select("user_id", "ms", "event_id"), ["user_id"], "ms", ["event_id"]).select("user_id", "event_id")
 
 
 def heading_islands(spark, d):
@@ -224,14 +224,14 @@ def history_top30(spark, d):
 
 
 def recent_topk(spark, d):
-    return _events(spark, d).select("event_id", "user_id", "ms").orderBy(F.col("ms").desc(), F.col("event_id").desc()).limit(50)
+    return statistics.recent(_events(spark, d).select("event_id", "user_id", "ms"), "ms", ["event_id"], 50)
 
 
 def shelf_order(spark, d):
-    last = _table(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("last"))
-    books = _table(spark, d, "customer").select("c_custkey", "c_name")
-    both = books.join(last, books.c_custkey == last.o_custkey, "left")
-    return both.select("c_custkey", "c_name", F.coalesce("last", F.col("c_custkey")).alias("sort_key")).orderBy(F.col("sort_key").desc(), "c_custkey").limit(100)
+    own = _table(spark, d, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("chapter_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("updated_at"))
+    books = _table(spark, d, "customer").select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("title"), F.col("c_custkey").alias("added_at"))
+    shelf = statistics.shelf(books, stores.newest(own, ["book_id"], "updated_at", ["chapter_id"]), own.withColumnRenamed("updated_at", "read_at"))
+    return statistics.in_shelf_order(shelf, 100).select(F.col("book_id").alias("c_custkey"), F.col("title").alias("c_name"), F.col("opened_at").alias("sort_key"))
 
 
 def _tasks(spark, d):
@@ -247,7 +247,7 @@ def task_poll(spark, d):
 
 
 def task_counts(spark, d):
-    return search.reset_orphans(_tasks(spark, d)).groupBy("user_id").agg(F.count_if(F.col("state") == "PENDING").alias("pending"), F.count_if(F.col("state") == "FAILED").alias("failed"))
+    return statistics.task_counts(search.reset_orphans(_tasks(spark, d)), "user_id")
 
 
 def nearest_in_band(spark, d):
@@ -281,13 +281,14 @@ def neighbours(spark, d):
 
 def store_stats(spark, d):
     own = _table(spark, d, "documents")
-    return own.groupBy("source").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(F.col("n_chars") > 1000).alias("long_ones"))
+    counts = statistics.chapter_counts(own.select("source", (F.col("n_chars") > 1000).alias("complete"), F.octet_length("text").cast("long").alias("bytes")), "source")
+    return counts.select("source", (F.col("complete") + F.col("partial")).alias("n"), "bytes", F.col("complete").alias("long_ones"))
 
 
 def missing_pages(spark, d):
     own = _table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.collect_set(F.when(F.col("role") == "assistant", F.col("turn"))).alias("had"))
-    missing = F.sort_array(F.array_except(F.sequence(F.lit(0).cast("long"), F.col("last")), "had"))
-    return own.select("conv_id", F.size(missing).cast("long").alias("n_missing"), F.array_min(missing).alias("first_missing"))
+    found = statistics.missing_of(own.withColumn("wanted", F.sequence(F.lit(0).cast("long"), F.col("last"))), ["conv_id"], "wanted", "had")
+    return found.select("conv_id", F.size("missing").cast("long").alias("n_missing"), F.array_min("missing").alias("first_missing"))
 
 
 def load_chunks(spark, d):
@@ -297,7 +298,7 @@ def load_chunks(spark, d):
 
 def page_for_number(spark, d):
     own = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book_id"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("n"))
-    ranges = own.groupBy("book_id", "page").agg(F.min("n").alias("low"), F.max("n").alias("high")).withColumn("total", F.lit(7))
+    ranges = statistics.number_ranges(own.withColumnRenamed("n", "number")).withColumn("total", F.lit(7))
     return search.page_for_number(ranges, 1234)
 
 
@@ -342,7 +343,7 @@ def debounced(spark, d):
 
 
 def personal_json(spark, d):
-    own = _table(spark, d, "events").select("user_id", F.from_json("props", "k long").alias("p"))
+    own = _table(spark, d, "events").select("user_id", repair.repaired(F.col("props"), (repair.Field("k", "long", required=True),)).alias("p"))
     return own.groupBy("user_id").agg(F.sum("p.k").alias("k"), F.count("p.k").alias("n"))
 
 
@@ -488,7 +489,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         shelf_joined, recent_by_owner, cached_flags, status_updates, bookmark_import, bookmark_toggle, deleted_count, cache_paths, paging_rules, source_contents,
         margin_chapters, anchor_roundtrip,
     )
-    return {f.__name__: f for f in found} | records.queries() | wholes.queries() | pages.queries()
+    return {f.__name__: f for f in found} | records.queries() | wholes.queries() | pages.queries() | lookups.queries()
 
 
 _PARAGRAPHS_SQL = f"SELECT doc_id, pos, line FROM ({_LINES_SQL}) WHERE trim(line, ' ') <> ''"
@@ -501,7 +502,7 @@ def _url(k: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.oracle_sql() | wholes.oracle_sql() | pages.oracle_sql() | {
+    return records.oracle_sql() | wholes.oracle_sql() | pages.oracle_sql() | lookups.oracle_sql() | {
         "stitch_open_lines": f"WITH {_CLEAN_SQL} SELECT doc_id, pos, text FROM o",
         "clean_lines_stats": f"WITH {_CLEAN_SQL} SELECT doc_id, count(*) AS n_paragraphs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM o GROUP BY doc_id",
         "cleaned_arrays": f"WITH {_CLEAN_SQL} SELECT d.doc_id, count(o.text) AS n_paragraphs, md5(coalesce(string_agg(o.text, chr(10) ORDER BY o.pos), '')) AS digest FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id",

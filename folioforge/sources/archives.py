@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.clean import clean_array
 from ..operators.segment import split_chapters
 from .codecs import file_text
 
@@ -72,12 +73,14 @@ def import_chapters(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return split_chapters(import_books(spark, paths).filter("error is null"), "path").withColumnRenamed("doc_id", "path")
 
 
-def export_text(toc: DataFrame, chapters: DataFrame) -> DataFrame:
-    """book_id, order_key, value: what a book's file holds, chapter by chapter in the order of its contents; chapters not stored are skipped."""
+def export_text(toc: DataFrame, chapters: DataFrame, cleaned: bool = False) -> DataFrame:
+    """book_id, order_key, value: what a book's file holds, chapter by chapter in the order of its contents; chapters not stored are skipped. ``cleaned``: as they are shown, without
+    advertising and page breaks."""
     both = toc.select("book_id", "order_key", "chapter_id").join(chapters.select("book_id", "chapter_id", "title", "paragraphs"), ["book_id", "chapter_id"])
-    return both.select("book_id", "order_key", F.concat(F.col("title"), F.lit("\n\n"), F.array_join("paragraphs", "\n"), F.lit("\n")).alias("value"))
+    own = clean_array(F.col("paragraphs")) if cleaned else F.col("paragraphs")
+    return both.select("book_id", "order_key", F.concat(F.col("title"), F.lit("\n\n"), F.array_join(own, "\n"), F.lit("\n")).alias("value"))
 
 
 def write_books(exported: DataFrame, path: str) -> None:
-    """One folder per book, chapters in order; each book's rows meet in one task, sorted."""
-    exported.repartition("book_id").sortWithinPartitions("book_id", "order_key").select("book_id", "value").write.partitionBy("book_id").text(path)
+    """One folder per book. A book's chapters are dealt to ranges of their order, so a long one is written by several tasks; its files by name, and lines within them, are in order."""
+    exported.repartitionByRange("book_id", "order_key").sortWithinPartitions("book_id", "order_key").select("book_id", "value").write.partitionBy("book_id").text(path)

@@ -23,7 +23,7 @@ def is_challenge(page: Column) -> Column:
 
 
 def classified(log: DataFrame, hosts: list[str]) -> DataFrame:
-    """The log with text, class (ok, http, redirected, invalid, too_large, blocked), retryable, and outcome (ok, not_found, failed)."""
+    """The log with text, bytes, at_url (where the answer came from), class (ok, http, redirected, invalid, too_large, blocked), retryable, and outcome (ok, not_found, failed)."""
     text = decode_page(F.col("body"), F.col("content_type"))
     host = F.lower(parts(F.coalesce("final_url", "url"))["host"])
     kind = (
@@ -35,5 +35,5 @@ def classified(log: DataFrame, hosts: list[str]) -> DataFrame:
         .when(is_challenge(F.col("text")), "blocked")
         .otherwise("ok")
     )
-    out = log.withColumn("text", text).withColumn("class", kind)
+    out = log.withColumn("text", text).withColumn("class", kind).withColumn("bytes", F.coalesce(F.octet_length("body"), F.lit(0)).cast("long")).withColumn("at_url", F.coalesce("final_url", "url"))
     return out.withColumn("retryable", (F.col("class") == "http") & (F.col("status") >= 500)).withColumn("outcome", F.when(F.col("class") == "ok", "ok").when((F.col("class") == "http") & (F.col("status") == 404), "not_found").otherwise("failed"))

@@ -172,3 +172,32 @@ def test_chapter_pages_follow_links(spark):
     kind = "book_id string, chapter_id string, page_index int, outcome string, title string, paragraphs array<string>, prev_id string, next_id string, same_pages array<int>, declared_page int, restricted boolean"
     got = chapters.assemble(spark.createDataFrame([page(0, ["a"], [1, 2]), page(1, ["b"]), page(2, ["a"]), page(5, ["z"])], kind)).first()
     assert (got.paragraphs, got.complete, got.missing) == (["a", "b"], True, [])
+
+
+def test_modes_and_ordered_reads(spark):
+    whole = families.Family("whole", "w-", ("w.example.com",), (), (), "", "", mode="download")
+    got = values(spark, [("north-1",), ("w-2",), ("local-a1",), ("5",), (None,)], "b string", *[families.is_mode(F.col("b"), [SITE, whole], m) for m in ("online", "download")], families.is_stored_book(F.col("b"), [SITE, whole]))
+    assert got == [(True, False, False), (False, True, True), (False, False, True), (False, False, False), (False, False, False)]
+    rows = spark.createDataFrame([("b", 1, None), ("a", 1, 5), ("a", 2, 9), ("a", 0, 9)], "k string, n int, t int")
+    assert [tuple(r) for r in stores.in_order(rows, ["k"], ["-t", "n"]).collect()] == [("a", 0, 9), ("a", 2, 9), ("a", 1, 5), ("b", 1, None)]
+
+
+def test_cache_reads(spark):
+    cache = spark.createDataFrame([("a", 10, "old"), ("a", 90, "new"), ("b", 49, "gone"), ("c", 50, "just")], "key string, expires long, body string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), (None,)], "key string")
+    assert {r.key: (r.hit, r.body) for r in stores.cache_read(asked, cache, F.lit(50)).collect()} == {"a": (True, "new"), "b": (False, None), "c": (True, "just"), "d": (False, None), None: (False, None)}
+    kept = stores.with_max_age(spark.createDataFrame([("a", 1000, 2), ("b", 1000, 0), ("c", 1000, None)], "key string, at long, age int"), "at", F.col("age"))
+    assert [(r.key, r.expires) for r in kept.collect()] == [("a", 3000)]
+    assert stores.oldest(cache, ["key"], "expires").filter("key = 'a'").first().body == "old"
+
+
+def test_exports_can_be_cleaned(spark):
+    toc_ = spark.createDataFrame([("b", 1, "1")], "book_id string, order_key int, chapter_id string")
+    stored = spark.createDataFrame([("b", "1", "t", ["一句，", "本章未完，请点击下一页继续阅读", "接着。", "（本章完）"])], "book_id string, chapter_id string, title string, paragraphs array<string>")
+    assert archives.export_text(toc_, stored).first().value.count("\n") == 6
+    assert archives.export_text(toc_, stored, cleaned=True).first().value == "t\n\n一句，接着。\n"
+
+
+def test_other_source_pages(spark):
+    got = values(spark, [("第50章 x", 600, 12), ("第5000章", 600, 12), ("第650章", 600, 12), ("终章", 600, 12), ("第9章", 60, 6), ("第700节", 0, 9)], "t string, n int, p int", search.other_page_window(F.col("t"), F.col("n"), F.col("p")))
+    assert [g[0] and tuple(g[0]) for g in got] == [(7, 12), None, (7, 12), None, None, None]
