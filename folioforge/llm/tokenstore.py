@@ -39,11 +39,20 @@ MOST_RANGES = 50
 BLOCKS = "shard long, block long, dict_sha256 string, first_id long, last_id long, payload binary, doc_ids array<long>, offsets array<long>, lengths array<long>, counts array<long>"
 
 
+def token_ids(texts: list[str | None], path: str, keeps_spaces: bool, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all whole texts in a row, each with the end id behind it, where each ends); null is empty."""
+    own, counts = encoder(path, keeps_spaces).encode([t or "" for t in texts])
+    ends = np.cumsum(counts + 1)
+    ids, within = np.full(len(own) + len(ends), end_id, np.uint32), np.ones(len(own) + len(ends), bool)
+    within[ends - 1] = False
+    ids[within] = own
+    return ids, ends
+
+
 def token_arrays(texts: list[str | None], path: str, keeps_spaces: bool, end_id: int) -> list[np.ndarray]:
     """Ids of each whole text (null: empty) with the end id appended."""
-    ids, counts = encoder(path, keeps_spaces).encode([t or "" for t in texts])
-    ends = np.cumsum(counts)
-    return [np.append(ids[e - n : e], np.uint32(end_id)) for e, n in zip(ends, counts, strict=True)]
+    ids, ends = token_ids(texts, path, keeps_spaces, end_id)
+    return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
 
 
 def train_dictionary(docs: DataFrame, path: str, keeps_spaces: bool, end_id: int, width: int) -> tuple[bytes, int]:
@@ -98,11 +107,13 @@ def write(docs: DataFrame, store: str, tokenizer: str, keeps_spaces: bool, end_i
 
         held = 0
         for batch in slices(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, a in zip(ids, token_arrays(texts, tokenizer, keeps_spaces, end_id), strict=True):
-                if int(a.max()) >> (8 * width):
-                    raise ValueError(f"id {a.max()} does not fit in {width} bytes")
-                made.append((i, compressor.compress(a.astype(f"<u{width}").tobytes()), len(a)))
+            ids, ends = token_ids(batch.column(1).to_pylist(), tokenizer, keeps_spaces, end_id)
+            if int(ids.max(initial=0)) >> (8 * width):
+                raise ValueError(f"id {ids.max()} does not fit in {width} bytes")
+            raw, at = memoryview(ids.astype(f"<u{width}").tobytes()), 0
+            for i, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                made.append((i, compressor.compress(raw[at * width : end * width]), end - at))
+                at = end
                 held += len(made[-1][1])
                 if held >= BLOCK_BYTES:
                     yield out()
