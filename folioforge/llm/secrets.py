@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LARGE, small_or_shuffled, stored
+from .common import BROADCAST_ROWS, LARGE, stored
 from .spans import let, with_matches
 
 
@@ -66,6 +66,8 @@ MORE = (
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+", ("eyJ",)),
     Rule("url_login", r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{1,100}@", ("://",)),
 )
+#: Blobs that are scanned where they are not as all others are listed, and broadcast up to so many bytes.
+LIST_BYTES = 64 << 20
 LEDGER = "blob string, rule_versions array<string>, findings array<struct<start:int,kind:string,end:int,rule_version:string>>"
 
 
@@ -116,19 +118,26 @@ def scan(versions: DataFrame, path_cols: list[str], ledger: DataFrame | None = N
 def _unseen(addressed: DataFrame, blobs: DataFrame, path_cols: list[str], all_rules: Column) -> DataFrame:
     """(blob, text, todo) of the blobs that lack rule versions, one row each (several where rows repeat a path and a blob).
 
-    Most blobs have one path or are seen whole, so only those that differ are listed: blobs with several paths, of which one scans, and blobs
-    that lack some versions or, if these are fewer, lack none. A list that is not small is joined by shuffle."""
+    Most blobs have one path and lack all versions, or lack none, so only those that differ are listed: blobs with several paths, of which one scans, and blobs that
+    lack some versions or, if these are fewer, that lack any. A list of LIST_BYTES at most is broadcast, and texts are scanned where they are. A longer one is joined by
+    shuffle, with one text of each blob from each task, so copies meet in no task.
+    """
+    some, everything = F.size("todo") > 0, F.col("todo") == all_rules
+    listed = blobs.select("blob", "path", "rows", some.alias("some"), F.when(~everything, F.col("todo")).alias("rest"))
+    size = F.sum(64 + F.octet_length("blob") + F.length(F.to_json("path")) + F.coalesce(F.size("rest"), F.lit(0)) * 64)
+    lacking, differing = listed.filter("some"), listed.filter("rows > 1 or not some or rest is not null")
+    bytes_ = [part.agg(F.coalesce(size, F.lit(0))).first()[0] for part in (lacking, differing)]
+    whole = F.coalesce("rest", all_rules).alias("todo")
+    if min(bytes_) > LIST_BYTES:
+        texts = addressed.select("blob", F.col("__text").alias("text")).dropDuplicates(["blob"])
+        return texts.join(lacking.select("blob", "rest"), "blob").select("blob", "text", whole)
     path = F.struct(*[F.col(c) for c in path_cols])
     own = addressed.select("blob", F.col("__text").alias("text"), path.alias("own"))
-    some = F.size("todo") > 0
-    kinds = blobs.agg(F.count_if(some).alias("some"), F.count_if(~some).alias("none")).first()
-    plain = (F.col("rows") == 1) & (F.col("todo") == all_rules)
-    if kinds["some"] <= kinds["none"]:  # listed are those to scan
-        listed = blobs.filter(some).select("blob", "path", "todo")
-        return own.join(small_or_shuffled(listed, kinds["some"]), "blob").filter(F.col("own").eqNullSafe(F.col("path"))).select("blob", "text", "todo")
-    listed = blobs.filter(~plain).select("blob", "path", "todo")
-    found = own.join(small_or_shuffled(listed, listed.count()), "blob", "left")
-    return found.filter(F.col("todo").isNull() | (some & F.col("own").eqNullSafe(F.col("path")))).select("blob", "text", F.coalesce("todo", all_rules).alias("todo"))
+    first = F.col("own").eqNullSafe(F.col("path"))
+    if bytes_[0] <= bytes_[1]:
+        return own.join(F.broadcast(lacking.select("blob", "path", "rest")), "blob").filter(first).select("blob", "text", whole)
+    found = own.join(F.broadcast(differing.select("blob", "path", "some", "rest")), "blob", "left")
+    return found.filter(F.col("some").isNull() | (F.col("some") & first)).select("blob", "text", whole)
 
 
 def _once(spans: Column) -> Column:

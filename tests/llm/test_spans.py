@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.llm import decontam, pii, secrets
@@ -195,8 +196,10 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secrets.scan(v1.limit(0), ["path"])[0].count() == 0
 
 
-def test_ledger_query_scans_each_pair_once(spark, monkeypatch):
-    """The second increment takes only blobs that the first has not seen, and together they take all."""
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_ledger_query_scans_each_pair_once(spark, monkeypatch, bound):
+    """The second increment takes only blobs that the first has not seen, and together they take all; with and without broadcast lists."""
+    monkeypatch.setattr(secrets, "LIST_BYTES", bound)
     seen, scan = [], secrets._scan
 
     def counted(blobs, rules):
