@@ -10,10 +10,11 @@ symbols and repeats come first.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ class Pieces:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.bytes = Tokenizer.from_file(bytes_path)
         self.bytes.encode_special_tokens = True  # words are only measured here
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -65,20 +67,30 @@ class Pieces:
     def _forget(self) -> None:
         self.known: defaultdict[str, int] = defaultdict()
         self.known.default_factory = self.known.__len__
-        self.ids: list[np.ndarray] = []
-        self.sizes = np.zeros(0, np.int64)
+        # Ids of all known words in a row, where each begins, how many it has, and its number of byte-level tokens.
+        self.ids, (self.starts, self.lengths, self.sizes) = np.zeros(0, np.int32), (np.zeros(0, np.int64) for _ in range(3))
+
+    def _learn(self, fresh: list[str]) -> None:
+        own = self.model.encode(fresh, num_threads=1)
+        lengths = np.fromiter(map(len, own), np.int64, len(own))
+        sizes = [len(e.ids) for k in range(0, len(fresh), 2000) for e in self.bytes.encode_batch_fast([" " + w for w in fresh[k : k + 2000]], add_special_tokens=False)]
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(own), np.int32, int(lengths.sum()))])
+        self.lengths, self.sizes = np.concatenate([self.lengths, lengths]), np.concatenate([self.sizes, np.array(sizes, np.int64)])
 
     def of(self, texts: list[list[str]]) -> tuple[list[np.ndarray], list[int]]:
+        """Each text's piece ids, and its number of byte-level tokens."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        numbers = [list(map(self.known.__getitem__, words)) for words in texts]
-        fresh = list(islice(self.known, len(self.ids), None))
-        if fresh:
-            self.ids += [np.array(x, np.int32) for x in self.model.encode(fresh, num_threads=1)]
-            sizes = [len(e.ids) for k in range(0, len(fresh), 2000) for e in self.bytes.encode_batch_fast([" " + w for w in fresh[k : k + 2000]], add_special_tokens=False)]
-            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-        none = np.zeros(0, np.int32)
-        return [np.concatenate([self.ids[k] for k in n]) if n else none for n in numbers], [int(self.sizes[n].sum()) for n in numbers]
+        numbers = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in texts]
+        if len(self.known) > len(self.sizes):
+            self._learn(list(islice(self.known, len(self.sizes), None)))
+        every = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        owner, lengths = np.repeat(np.arange(len(texts)), [len(n) for n in numbers]), self.lengths[every]
+        before = np.cumsum(lengths) - lengths
+        ids = self.ids[np.repeat(self.starts[every] - before, lengths) + np.arange(lengths.sum())]
+        ends = np.cumsum(np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], np.bincount(owner, weights=self.sizes[every], minlength=len(texts)).astype(np.int64).tolist()
 
 
 _pieces: dict[tuple[str, str], Pieces] = {}
@@ -89,7 +101,7 @@ def base_counts(text: str | None) -> tuple[list[bytes], list[int]]:
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
-    chars = sum(len(w.decode("utf-8", "surrogatepass")) for w in words) if not text.isascii() else sum(map(len, words))
+    chars = len(b"".join(words).decode("utf-8", "surrogatepass"))
     lines = [line for line in raw.split(b"\n") if line.strip(b" \t\n\r\x0b\x0c")]
     covered = 0
     if len(words) >= WINDOW:
@@ -121,7 +133,7 @@ def measures(docs: DataFrame, vocabulary: str, bytes_vocabulary: str, id_col: st
                 rows, words = [], []
                 for i, t, g in zip(ids[k : k + 500], texts[k : k + 500], groups[k : k + 500], strict=True):
                     own, base = base_counts(t)
-                    words.append([w.decode("utf-8", "replace") for w in own])
+                    words.append(b"\n".join(own).decode("utf-8", "replace").split("\n") if own else [])
                     of = script((t or "").encode("utf-8", "replace"))
                     rows.append([i, len(own), *base, of, of if g is None else g])
                 for row, p, n_bytes in zip(rows, *pieces.of(words), strict=True):
