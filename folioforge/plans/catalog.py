@@ -151,7 +151,7 @@ def block_roundtrip(spark, d):
 def anchor_to_block(spark, d):
     own = _paragraphs(spark, d)
     anchors = own.select("doc_id", F.posexplode("paragraphs").alias("paragraph", "p")).select("doc_id", "paragraph", F.greatest(utf16_length(F.col("p")) - 1, F.lit(0)).cast("int").alias("offset"))
-    return segment.anchors_to_blocks(anchors, segment.build_blocks(own, size=1000))
+    return segment.anchors_to_blocks(anchors, segment.build_blocks(own, size=1000)).withColumnRenamed("offset", "place")
 
 
 def html_title(spark, d):
@@ -540,6 +540,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_orderkey, l_linenumber, CAST(least(CASE WHEN t > 0 THEN t ELSE 2 END, CASE WHEN k > 0 THEN k ELSE 1000 END) AS BIGINT) AS last, CAST(CASE WHEN s IS NOT NULL THEN greatest(1, least(s, 1000)) WHEN t <= 0 AND l_linenumber >= 2 THEN l_linenumber ELSE t END AS BIGINT) AS total FROM t""",
         "source_contents": """WITH f AS (SELECT l_suppkey AS b, l_partkey % 97 AS i, l_returnflag AS m, l_linenumber AS g, l_orderkey AS o, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 97 ORDER BY l_linenumber, l_orderkey, l_returnflag) AS n FROM lineitem)
             SELECT CAST(b AS VARCHAR) AS book_id, CAST(row_number() OVER (PARTITION BY b ORDER BY g, o, CAST(i AS VARCHAR)) - 1 AS INT) AS order_key, CAST(i AS VARCHAR) AS id, m AS title FROM f WHERE n = 1""",
+        "anchor_to_block": f"""WITH RECURSIVE l AS (SELECT doc_id, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM ({_PARAGRAPHS_SQL})),
+            w AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS n, 0::BIGINT AS held, 0::BIGINT AS closed, 0::BIGINT AS block, 0::BIGINT AS at_unit FROM (SELECT DISTINCT doc_id FROM l)
+              UNION ALL SELECT doc_id, i, n, CASE WHEN n > 1000 THEN 0 WHEN held > 0 AND held + 2 + n <= 1000 THEN held + 2 + n ELSE n END, closed + CASE WHEN n > 1000 THEN (held > 0)::INT + (n + 999) // 1000 WHEN held > 0 AND held + 2 + n > 1000 THEN 1 ELSE 0 END,
+                CASE WHEN n > 1000 THEN closed + (held > 0)::INT + (n - 1) // 1000 WHEN held > 0 AND held + 2 + n > 1000 THEN closed + 1 ELSE closed END, CASE WHEN n > 1000 THEN (n - 1) % 1000 WHEN held > 0 AND held + 2 + n <= 1000 THEN held + 1 + n ELSE n - 1 END
+              FROM (SELECT w.doc_id, l.i, l.n, w.held, w.closed FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1))
+            SELECT doc_id, CAST(i - 1 AS INTEGER) AS paragraph, CAST(n - 1 AS INTEGER) AS place, CAST(block AS INTEGER) AS block_index, CAST(at_unit AS INTEGER) AS block_offset FROM w WHERE i > 0""",
+        "html_entities": f"""WITH d AS (SELECT page_id, replace(replace(replace(replace({_TAGS_SQL}, '&quot;', '"'), '&middot;', '·'), '&amp;', '&'), chr(160), ' ') AS t FROM pages),
+            l AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(t, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t　]+', ' ', 'g'), ' ')), lambda x: x <> '') AS l FROM d),
+            j AS (SELECT page_id, array_to_string(l, chr(10)) AS j FROM l) SELECT page_id, length(j) AS n_chars, CAST(len(string_split(j, '&')) - 1 AS BIGINT) AS n_ampersands FROM j""",
+        "margin_chapters": f"""WITH t AS (SELECT doc_id, pos, line AS raw, regexp_replace(line, '{_TRIM}', '', 'g') AS line FROM ({_LINES_SQL})),
+            h AS (SELECT *, CASE WHEN NOT regexp_matches(raw, '\\A[ \\t　]') AND length(line) <= 40 AND NOT regexp_matches(line, '[。…]\\z') THEN line END AS title FROM t WHERE line <> ''),
+            c AS (SELECT *, count(title) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM h), g AS (SELECT doc_id, part, coalesce(max(title), '{segment.FRONT}') AS title, count(*) FILTER (title IS NULL) AS n FROM c GROUP BY ALL)
+            SELECT doc_id, count(*) AS n_chapters, CAST(sum(n) AS BIGINT) AS n_paragraphs, md5(string_agg(title, chr(10) ORDER BY title)) AS titles FROM g GROUP BY doc_id""",
         "anchor_roundtrip": f"SELECT doc_id, p AS paragraph, least(p % 7, length(line) - 1) AS place FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p FROM ({_PARAGRAPHS_SQL}))",
         "block_pack": f"""WITH RECURSIVE l AS (SELECT doc_id, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM ({_PARAGRAPHS_SQL})),
             w AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS held, 0::BIGINT AS blocks, 0::BIGINT AS longest FROM (SELECT DISTINCT doc_id FROM l)
