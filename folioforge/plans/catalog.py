@@ -553,6 +553,18 @@ def oracle_sql() -> dict[str, str]:
             h AS (SELECT *, CASE WHEN NOT regexp_matches(raw, '\\A[ \\t　]') AND length(line) <= 40 AND NOT regexp_matches(line, '[。…]\\z') THEN line END AS title FROM t WHERE line <> ''),
             c AS (SELECT *, count(title) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM h), g AS (SELECT doc_id, part, coalesce(max(title), '{segment.FRONT}') AS title, count(*) FILTER (title IS NULL) AS n FROM c GROUP BY ALL)
             SELECT doc_id, count(*) AS n_chapters, CAST(sum(n) AS BIGINT) AS n_paragraphs, md5(string_agg(title, chr(10) ORDER BY title)) AS titles FROM g GROUP BY doc_id""",
+        # One entry at a time in order of ids; kept holds what stays with its place, firsts the first id of each rest.
+        "toc_merge": f"""WITH RECURSIVE e AS (SELECT o_custkey AS book, o_orderkey * 1000 AS nid, o_orderkey % 7 AS nnum, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS nrest, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+            w AS (SELECT book, 0::BIGINT AS r, CAST([] AS STRUCT(id BIGINT, num BIGINT, rest VARCHAR, place BIGINT)[]) AS kept, CAST([] AS STRUCT(rest VARCHAR, id BIGINT)[]) AS firsts FROM (SELECT DISTINCT book FROM e)
+              UNION ALL SELECT book, r, CASE WHEN dup OR again THEN kept WHEN nrest <> '' AND len(early) > 0 THEN list_append(list_filter(kept, lambda x: x.place <> early[1].place), {{'id': nid, 'num': nnum, 'rest': nrest, 'place': early[1].place}})
+                  ELSE list_append(kept, {{'id': nid, 'num': nnum, 'rest': nrest, 'place': CAST(len(kept) AS BIGINT)}}) END,
+                CASE WHEN NOT dup AND nrest <> '' AND len(own) = 0 THEN list_append(firsts, {{'rest': nrest, 'id': nid}}) ELSE firsts END
+              FROM (SELECT *, CASE WHEN nrest <> '' THEN len(own) > 0 AND nid - own[1].id > {toc.UPLOAD_GAP} ELSE coalesce(list_max(list_transform(list_filter(kept, lambda x: x.rest <> '' AND x.id < nid - {toc.UPLOAD_GAP}), lambda x: x.num)), 0) >= nnum END AS again
+                FROM (SELECT w.book, e.r, e.nid, e.nnum, e.nrest, w.kept, w.firsts, len(list_filter(w.kept, lambda x: x.num = e.nnum AND x.rest = e.nrest)) > 0 AS dup, list_filter(w.firsts, lambda x: x.rest = e.nrest) AS own,
+                  list_filter(w.kept, lambda x: x.num = e.nnum AND x.rest = '' AND e.nid - x.id > {toc.UPLOAD_GAP}) AS early FROM w JOIN e ON e.book = w.book AND e.r = w.r + 1))),
+            k AS (SELECT book, unnest(kept) AS x FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY book ORDER BY r DESC) = 1))
+            SELECT CAST(book AS VARCHAR) AS book_id, CAST(x.place AS INTEGER) AS order_key, CAST(x.id AS VARCHAR) AS id, CASE WHEN x.rest = '' THEN '分节阅读第' || x.num || '节' ELSE '第' || x.num || '章 ' || x.rest END AS title,
+              '第' || x.num || '章' || CASE WHEN x.rest = '' THEN '' ELSE ' ' || x.rest END AS display_title, x.num AS number, false AS extra FROM k""",
         "anchor_roundtrip": f"SELECT doc_id, p AS paragraph, least(p % 7, length(line) - 1) AS place FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p FROM ({_PARAGRAPHS_SQL}))",
         "block_pack": f"""WITH RECURSIVE l AS (SELECT doc_id, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM ({_PARAGRAPHS_SQL})),
             w AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS held, 0::BIGINT AS blocks, 0::BIGINT AS longest FROM (SELECT DISTINCT doc_id FROM l)
