@@ -435,8 +435,8 @@ def status_updates(spark, d):
 
 def bookmark_import(spark, d):
     own = _table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_suppkey").alias("book_id"), F.col("l_linenumber").alias("chapter_id"), (F.col("l_partkey") % 40).alias("paragraph"), F.lit(0).alias("offset"))
-    old, new = own.filter("chapter_id = 1").dropDuplicates(["book_id", "chapter_id", "paragraph"]), own.filter("chapter_id < 3")
-    return stores.import_bookmarks(old, new).groupBy("book_id", "chapter_id").agg(F.count("*").alias("n"), F.countDistinct("paragraph").alias("places"))
+    old = own.filter("chapter_id % 2 = 1").groupBy("book_id", "chapter_id", "paragraph", "offset").agg(F.min("id").alias("id")).select(*own.columns)
+    return stores.import_bookmarks(old, own).groupBy("book_id", "chapter_id").agg(F.count("*").alias("n"), F.countDistinct("paragraph").alias("places"))
 
 
 def bookmark_toggle(spark, d):
@@ -530,7 +530,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT t.conv_id AS book_id, t.turn AS order_key, CAST(t.turn AS VARCHAR) AS chapter_id, c.done IS NOT NULL AS cached, coalesce(c.done, false) AS complete FROM (SELECT DISTINCT conv_id, turn FROM conversations) t LEFT JOIN c ON c.conv_id = t.conv_id AND c.turn = t.turn""",
         "status_updates": f"""WITH l AS (SELECT user_id, arg_max(event_type, {{'a': ms, 'b': event_id}}) AS e FROM ({_EVENTS_SQL}) WHERE event_type <> 'view' GROUP BY 1)
             SELECT c_custkey AS user_id, CASE WHEN e IS NULL THEN 'PENDING' ELSE 'FAILED' END AS status FROM customer LEFT JOIN l ON user_id = c_custkey WHERE e IS NULL OR e <> 'click'""",
-        "bookmark_import": "SELECT l_suppkey AS book_id, l_linenumber AS chapter_id, count(DISTINCT l_partkey % 40) AS n, count(DISTINCT l_partkey % 40) AS places FROM lineitem WHERE l_linenumber < 3 GROUP BY 1, 2",
+        "bookmark_import": "SELECT l_suppkey AS book_id, l_linenumber AS chapter_id, count(DISTINCT l_partkey % 40) AS n, count(DISTINCT l_partkey % 40) AS places FROM lineitem GROUP BY 1, 2",
         "bookmark_toggle": """WITH l AS (SELECT l_suppkey AS b, l_linenumber AS c, l_partkey % 200 AS p, l_orderkey AS o FROM lineitem), m AS (SELECT DISTINCT b, c, p FROM l WHERE o % 2 = 0), t AS (SELECT DISTINCT b, c, p FROM l WHERE o % 5 = 1)
             SELECT b AS book_id, c AS chapter_id, p AS paragraph FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.b = m.b AND t.c = m.c AND abs(t.p - m.p) <= 1)
             UNION ALL SELECT b, c, p FROM t WHERE NOT EXISTS (SELECT 1 FROM m WHERE t.b = m.b AND t.c = m.c AND abs(t.p - m.p) <= 1)""",
