@@ -106,3 +106,12 @@ def test_fingerprints(spark, texts):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
         assert r.near_edited == pytest.approx(held(text, new)) and r.near_next == pytest.approx(held(text, other))
         assert (r.fingerprint == own[after[r.doc_id]]) == (text == other)
+
+
+@pytest.mark.parametrize(("name", "label", "found", "false"), [("op8_subword_toxicity", "toxic", 0.55, 0.03), ("op10_attention_quality", "quality", 0.99, 0.05)])
+def test_held_out_rows(spark, name, label, found, false):
+    """Shares of rows with label 1 that are predicted, and of rows with label 0, among those that were not learned from."""
+    sf = "/root/testdata/sf0.1"
+    known = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(r.predicted, known[r.doc_id]) for r in Q[name](spark, sf).filter("held_out").collect() if known.get(r.doc_id) is not None]
+    assert np.mean([p for p, y in got if y == 1]) > found and np.mean([p for p, y in got if y == 0]) < false
