@@ -28,7 +28,7 @@ TOP_TERMS = 50
 #: ASCII letters in small form, other bytes of ASCII as blanks, all others as they are.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: A task hands its counts on when it holds so many, and pairs so many cells at once.
-HELD, PAIRS = 300_000, 1 << 20
+HELD, PAIRS = 600_000, 1 << 20
 
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 _CELLS = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("ca", pa.int64()), ("cb", pa.int64()), ("m", pa.int64())])
@@ -48,11 +48,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 100):
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang, source, raw in zip(langs, sources, batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-            one = Counter(raw.translate(_FOLD).split())
+            terms = raw.translate(_FOLD).split()
             occurrences, docs = held[lang, source]
-            for term, n in one.items():
-                occurrences[term] += n
-            docs.update(one.keys())
+            occurrences.update(terms)
+            docs.update(set(terms))
         if sum(len(x) for x, _ in held.values()) >= HELD:
             yield from out()
     yield from out()
