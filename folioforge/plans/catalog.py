@@ -461,7 +461,9 @@ def paging_rules(spark, d):
 
 def source_contents(spark, d):
     own = _table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("book_id"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("pos"), (F.col("l_partkey") % 97).cast("string").alias("id"), F.col("l_returnflag").alias("title"), F.col("l_returnflag").alias("display_title"), F.lit(None).cast("long").alias("number"), F.lit(False).alias("extra"))
-    return toc.merge_by_source(own.withColumn("source", F.lit("north")), F.col("source")).select("book_id", "order_key", "id", "title")
+    # Every second book is of the main source, whose entries with one title are one.
+    source = F.when(F.col("book_id").cast("long") % 2 == 0, "main").otherwise("north")
+    return toc.merge_by_source(own.withColumn("source", source), F.col("source")).select("book_id", "order_key", "id", "title")
 
 
 def margin_chapters(spark, d):
@@ -539,7 +541,8 @@ def oracle_sql() -> dict[str, str]:
         "paging_rules": """WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber - 2 AS t, l_partkey % 4 AS k, CASE WHEN l_partkey % 4 = 0 THEN l_partkey END AS s FROM lineitem)
             SELECT l_orderkey, l_linenumber, CAST(least(CASE WHEN t > 0 THEN t ELSE 2 END, CASE WHEN k > 0 THEN k ELSE 1000 END) AS BIGINT) AS last, CAST(CASE WHEN s IS NOT NULL THEN greatest(1, least(s, 1000)) WHEN t <= 0 AND l_linenumber >= 2 THEN l_linenumber ELSE t END AS BIGINT) AS total FROM t""",
         "source_contents": """WITH f AS (SELECT l_suppkey AS b, l_partkey % 97 AS i, l_returnflag AS m, l_linenumber AS g, l_orderkey AS o, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 97 ORDER BY l_linenumber, l_orderkey, l_returnflag) AS n FROM lineitem)
-            SELECT CAST(b AS VARCHAR) AS book_id, CAST(row_number() OVER (PARTITION BY b ORDER BY g, o, CAST(i AS VARCHAR)) - 1 AS INT) AS order_key, CAST(i AS VARCHAR) AS id, m AS title FROM f WHERE n = 1""",
+            SELECT CAST(b AS VARCHAR) AS book_id, CAST(row_number() OVER (PARTITION BY b ORDER BY g, o, CAST(i AS VARCHAR)) - 1 AS INT) AS order_key, CAST(i AS VARCHAR) AS id, m AS title FROM f WHERE n = 1 AND b % 2 = 1
+            UNION ALL SELECT CAST(b AS VARCHAR), CAST(row_number() OVER (PARTITION BY b ORDER BY i) - 1 AS INT), CAST(i AS VARCHAR), m FROM (SELECT b, m, min(i) AS i FROM f WHERE n = 1 AND b % 2 = 0 GROUP BY b, m)""",
         "anchor_to_block": f"""WITH RECURSIVE l AS (SELECT doc_id, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM ({_PARAGRAPHS_SQL})),
             w AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS n, 0::BIGINT AS held, 0::BIGINT AS closed, 0::BIGINT AS block, 0::BIGINT AS at_unit FROM (SELECT DISTINCT doc_id FROM l)
               UNION ALL SELECT doc_id, i, n, CASE WHEN n > 1000 THEN 0 WHEN held > 0 AND held + 2 + n <= 1000 THEN held + 2 + n ELSE n END, closed + CASE WHEN n > 1000 THEN (held > 0)::INT + (n + 999) // 1000 WHEN held > 0 AND held + 2 + n > 1000 THEN 1 ELSE 0 END,
