@@ -50,9 +50,15 @@ def token_ids(texts: list[str | None], path: str, keeps_spaces: bool, end_id: in
 
 
 def token_arrays(texts: list[str | None], path: str, keeps_spaces: bool, end_id: int) -> list[np.ndarray]:
-    """Ids of each whole text (null: empty) with the end id appended."""
-    ids, ends = token_ids(texts, path, keeps_spaces, end_id)
-    return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
+    """Ids of each whole text (null: empty) with the end id appended, each in an array of its own."""
+    ids, counts = encoder(path, keeps_spaces).encode([t or "" for t in texts])
+    out, at = [], 0
+    for n in counts.tolist():
+        own = np.empty(n + 1, np.uint32)
+        own[:n], own[n] = ids[at : at + n], end_id
+        out.append(own)
+        at += n
+    return out
 
 
 def train_dictionary(docs: DataFrame, path: str, keeps_spaces: bool, end_id: int, width: int) -> tuple[bytes, int]:
