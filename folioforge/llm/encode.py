@@ -123,12 +123,13 @@ class UnitEncoder:
         return self._gather(every), counts
 
 
-_encoders: dict[tuple[str, bool], UnitEncoder] = {}
+_encoders: dict[tuple[str, bool, int], UnitEncoder] = {}
 
 
-def encoder(path: str, keeps_spaces: bool) -> UnitEncoder:
-    """One encoder for each vocabulary file in this process."""
-    if (path, keeps_spaces) not in _encoders:
-        # Encoding a word of the second kind costs more, so more of them are remembered.
-        _encoders[path, keeps_spaces] = UnitEncoder(path, keeps_spaces, 250_000 if keeps_spaces else 900_000)
-    return _encoders[path, keeps_spaces]
+def encoder(path: str, keeps_spaces: bool, remembered: int | None = None) -> UnitEncoder:
+    """One encoder for each vocabulary file, and number of units that it may remember, in this process."""
+    # Encoding a word of the second kind costs more, so more of them are remembered.
+    key = (path, keeps_spaces, remembered or (250_000 if keeps_spaces else 900_000))
+    if key not in _encoders:
+        _encoders[key] = UnitEncoder(*key)
+    return _encoders[key]

@@ -118,12 +118,12 @@ def reply_share(text: str) -> float:
     return sum(lines[1::2]) / sum(lines) if len(lines) > 1 and sum(lines) else 1.0
 
 
-def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int, limits: Limits = Limits(), loss: Column | Callable[[str], float] | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int, limits: Limits = Limits(), loss: Column | Callable[[str], float] | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, remembered: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens and, if asked, ids.
 
     Every whole text (null: empty) is encoded with ``end_id`` appended. ``loss`` is the share of loss-bearing tokens, as
     a column (null: all) or a function of the text. Rows are packed as they come, so repeated ids stay apart; a null id stays null. Sequence ids
-    are unique, not dense. An empty table gives an empty one. Ids are cast to long: one that is no number stops the run.
+    are unique, not dense. ``remembered`` bounds the distinct words whose ids a worker keeps, which trades memory for time. An empty table gives an empty one. Ids are cast to long: one that is no number stops the run.
     """
     small_batches(docs.sparkSession)
     share = F.coalesce(loss.cast("double"), F.lit(1.0)) if isinstance(loss, Column) else F.lit(1.0)
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, keeps_spaces: bool, end_id: int, limit
             a = 0
             while a < len(ids):
                 b = max(a + 1, min(len(ids), int(np.searchsorted(sums, (sums[a - 1] if a else 0) + WINDOW_CHARS))))
-                tokens = token_arrays(texts[a:b], tokenizer, keeps_spaces, end_id)
+                tokens = token_arrays(texts[a:b], tokenizer, keeps_spaces, end_id, remembered)
                 pieces = pack_window(np.array([len(x) for x in tokens]), np.array(shares[a:b]), limits)
                 cols: list[list] = [[] for _ in range(9)]
                 for k, at, n, sequence, offset in pieces:

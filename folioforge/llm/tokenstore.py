@@ -49,9 +49,9 @@ def token_ids(texts: list[str | None], path: str, keeps_spaces: bool, end_id: in
     return ids, ends
 
 
-def token_arrays(texts: list[str | None], path: str, keeps_spaces: bool, end_id: int) -> list[np.ndarray]:
+def token_arrays(texts: list[str | None], path: str, keeps_spaces: bool, end_id: int, remembered: int | None = None) -> list[np.ndarray]:
     """Ids of each whole text (null: empty) with the end id appended, each in an array of its own."""
-    ids, counts = encoder(path, keeps_spaces).encode([t or "" for t in texts])
+    ids, counts = encoder(path, keeps_spaces, remembered).encode([t or "" for t in texts])
     out, at = [], 0
     for n in counts.tolist():
         own = np.empty(n + 1, np.uint32)
