@@ -68,7 +68,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, eight documents and 1280 tokens of replies at most. Null texts are empty; rows that repeat are packed
     each; an empty table gives an empty one."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1, limits=INSTRUCTION, loss=packing.reply_share)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keeps_spaces=True, end_id=1, limits=INSTRUCTION, loss=packing.reply_share, remembered=50_000)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("pack", pack)]
