@@ -36,9 +36,10 @@ def personal_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("book_id").agg(F.count_if(kind == "bookmark").alias("bookmarks"), F.count_if(kind == "history").alias("history"), F.bool_or(kind == "progress").alias("has_progress"))
 
 
-def number_ranges(entries: DataFrame) -> DataFrame:
-    """book_id, page, low, high of the positive numbers on each page of contents."""
-    return entries.filter("number > 0").groupBy("book_id", "page").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+def number_ranges(entries: DataFrame, least: int | None = 1) -> DataFrame:
+    """book_id, page, low, high of the numbers from ``least`` (positive ones; None: all) on each page of contents."""
+    wanted = entries if least is None else entries.filter(F.col("number") >= least)
+    return wanted.groupBy("book_id", "page").agg(F.min("number").alias("low"), F.max("number").alias("high"))
 
 
 def outcome_counts(results: DataFrame, by: list[str], outcome: str = "outcome") -> DataFrame:
