@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import let
 from .urls import parts
 
 NUMBER = "[1-9][0-9]{0,8}"
@@ -51,15 +52,28 @@ class Family:
 
     def path(self, href: Column) -> Column:
         """The path of a link within the family's hosts; null for other hosts and for relative links that don't start at the root."""
-        own = parts(F.trim(href))
-        return F.when((own["host"].isNull() & own["scheme"].isNull()) | F.lower(own["host"]).isin(*self.hosts), F.when(own["path"].startswith("/"), own["path"]))
+
+        def within(own: Column) -> Column:
+            return F.when((own["host"].isNull() & own["scheme"].isNull()) | F.lower(own["host"]).isin(*self.hosts), F.when(own["path"].startswith("/"), own["path"]))
+
+        def path(link: Column) -> Column:
+            # What starts at the root has neither scheme nor host, and is most of what pages hold.
+            found, rooted = parts(link), F.regexp_extract(link, r"\A(/[^?#]*)(?:\?[^#]*)?(?:#.*)?\z", 1)
+            whole = let(F.struct(found["scheme"].alias("scheme"), found["host"].alias("host"), found["path"].alias("path")), within)
+            return F.when(link.startswith("/") & ~link.startswith("//"), F.when(rooted != "", rooted)).otherwise(whole)
+
+        return let(F.trim(href), path)
 
     def chapter_link(self, book_id: Column, href: Column) -> Column:
         """The chapter's number of a link to a chapter of that book; null for all others."""
-        path, out = self.path(href), F.lit(None).cast("string")
-        for p in reversed(self.chapters):
-            out = F.when(path.rlike(p) & (F.regexp_extract(path, p, 1) == self.number(book_id)), F.regexp_extract(path, p, 2)).otherwise(out)
-        return out
+
+        def found(path: Column) -> Column:
+            out = F.lit(None).cast("string")
+            for p in reversed(self.chapters):
+                out = F.when(F.regexp_extract(path, p, 1) == self.number(book_id), F.regexp_extract(path, p, 2)).otherwise(out)
+            return out
+
+        return let(self.path(href), found)
 
     def reference(self, path: Column) -> Column:
         """struct(book_id, chapter_id) of the path of a book's or a chapter's page."""

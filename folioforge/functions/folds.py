@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that a running fold takes at once: an array that grows element by element is copied each time, so it is kept short.
@@ -16,6 +16,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def exploded(rows: DataFrame, column: str, *names: str) -> DataFrame:
+    """``posexplode`` of a column that costs much: the rows that it has none for go behind it, as the filter that an inner one infers computes the column again."""
+    rest = [c for c in rows.columns if c != column]
+    return rows.select(*rest, F.posexplode_outer(column).alias(*names)).filter(F.col(names[0]).isNotNull())
+
+
 def running(values: Column, first: Column, op: Callable[[Column, Column], Column]) -> Column:
     """For each of ``values`` what ``first`` and those before it come to under an associative ``op`` (a sum, a maximum). Folds blocks on their own
     and then the blocks' results, so time grows hardly faster than the number of values."""

@@ -43,11 +43,14 @@ def anchors(page: Column) -> Column:
     return F.transform(zipped, lambda x: F.struct(F.concat(x["a"], x["b"], x["c"]).alias("href"), F.regexp_replace(F.regexp_replace(x["t"], "<[^>]+>", ""), r"\s+", "").alias("text")))
 
 
+#: A link with an address in quotes (group 1) and what it holds (group 2).
+LINK = r"""(?is)<a\b[^>]*href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
+
+
 def links(fragment: Column) -> Column:
     """Array of struct(href, text) of links with an address in quotes, in order; texts on one line, with their entities decoded."""
-    pattern = r"""(?is)<a\b[^>]*href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
-    found = F.regexp_extract_all(fragment, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("href"), text_of(F.regexp_extract(x, pattern, 2)).alias("text")))
+    found = F.regexp_extract_all(fragment, F.lit(LINK), F.lit(0))
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, LINK, 1).alias("href"), text_of(F.regexp_extract(x, LINK, 2)).alias("text")))
 
 
 def total_pages(page: Column, book_id: Column | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dialect import SPACE, collapse, trim, utf16_length
-from .folds import replaced
+from .folds import let, replaced
 
 # The named entities that are decoded; all others stay as they are.
 ENTITIES = "amp lt gt quot apos nbsp ldquo rdquo mdash hellip emsp ensp thinsp middot lsquo rsquo".split()
@@ -31,7 +31,7 @@ def _entity(match: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decimal, hexadecimal and the named entities, each decoded once; null stays null."""
-    return F.when(F.contains(text, F.lit("&")), replaced(text, ENTITY, _entity)).otherwise(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), replaced(t, ENTITY, _entity)).otherwise(t))
 
 
 def strip_tags(markup: Column) -> Column:

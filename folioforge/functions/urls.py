@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folds import let
+
 #: Patterns of book ids by the source that they route to, in order.
 ROUTES = {"main": r"\A[1-9][0-9]{0,8}\z", "local": r"\Alocal-[A-Za-z0-9-]{1,40}\z"}
 
@@ -40,9 +42,13 @@ def chapter_link(url: Column, book_id: Column) -> Column:
     under six digits without a page in the first form, which are pages of a table of contents."""
     path = F.regexp_replace(F.trim(url), r"[?#].*\z", "")
     pattern = r"(?:\A|/)book/([0-9]+)(?:/([0-9]+)(?:_([0-9]{1,9}))?|_([0-9]+))\.html\z"
-    book, chapter, page, short = (F.regexp_extract(path, pattern, k) for k in (1, 2, 3, 4))
-    ok = (book == book_id) & ((short != "") | ((chapter != "") & ((F.length(chapter) >= 6) | (page != ""))))
-    return F.when(ok, F.struct(F.concat(chapter, short).alias("chapter_id"), F.coalesce(F.nullif(page, F.lit("")).cast("int"), F.lit(0)).alias("page_index")))
+
+    def found(x: Column) -> Column:
+        ok = (x["book"] == book_id) & ((x["short"] != "") | ((x["chapter"] != "") & ((F.length(x["chapter"]) >= 6) | (x["page"] != ""))))
+        return F.when(ok, F.struct(F.concat(x["chapter"], x["short"]).alias("chapter_id"), F.coalesce(F.nullif(x["page"], F.lit("")).cast("int"), F.lit(0)).alias("page_index")))
+
+    groups = lambda p: F.struct(*[F.regexp_extract(p, pattern, k + 1).alias(n) for k, n in enumerate(("book", "chapter", "page", "short"))])
+    return let(path, lambda p: let(F.when(p.rlike(pattern), groups(p)), found))
 
 
 def toc_url(base: str, book_id: Column, page: Column) -> Column:

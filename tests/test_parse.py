@@ -129,3 +129,15 @@ def test_a_search_that_leads_to_its_hit(spark):
     got = {r.query: r for r in parse.listed_results(spark.createDataFrame(rows, "query string, html string, final_url string"), replace(parse.CARDS, prefix="south-")).collect()}
     assert (got["one"].id, got["one"].title, got["one"].author, got["one"].recognised) == ("south-12", "书", "人", True)
     assert (got["odd"].id, got["odd"].recognised, got["none"].id, got["none"].recognised, got["plain"].id) == (None, False, None, True, "south-7")
+
+
+def filters(df):
+    """Filters of the optimised plan that search by pattern."""
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and "regexp_extract_all" in x]
+
+
+def test_catalogs_are_read_once(spark):
+    page = '<div id="catalog"><li data-num="2"><a href="/book/9/100002.html">b</a></li><li data-num="1"><a href="/book/9/100001.html">a</a></li></div>'
+    df = parse.catalog(spark.createDataFrame([("9", page), ("8", ""), ("7", None)], "book_id string, html string"), parse.NUMBERED)
+    assert sorted(map(tuple, df.collect())) == [("9", 0, "100001", "a"), ("9", 1, "100002", "b")]
+    assert not filters(df)
