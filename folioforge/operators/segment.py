@@ -5,7 +5,6 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,17 +80,32 @@ def blocks_of(paragraphs: list[str], size: int = BLOCK) -> list[tuple[int, int,
     return out
 
 
+#: Texts of which a worker holds the paragraphs at once.
+SLICE = 200
+_BLOCK_COLUMNS = ["doc_id", "block_index", "start_paragraph", "end_paragraph", "text", "offsets"]
+
+
 def build_blocks(docs: DataFrame, id_col: str = "doc_id", paragraphs_col: str = "paragraphs", size: int = BLOCK) -> DataFrame:
     """doc_id, block_index, start_paragraph, end_paragraph, text, offsets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, k, *b) for i, ps in zip(batch["id"], batch["paragraphs"], strict=True) if ps is not None for k, b in enumerate(blocks_of(list(ps), size))]
-            yield pd.DataFrame(rows, columns=["doc_id", "block_index", "start_paragraph", "end_paragraph", "text", "offsets"])
-
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(paragraphs_col).alias("paragraphs"))
-    return own.mapInPandas(run, f"doc_id {kind}, block_index int, start_paragraph int, end_paragraph int, text string, offsets array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Python objects are made for few texts at a time.
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                owners, rows = [], []
+                for n, paragraphs in enumerate(part.column(1).to_pylist()):
+                    found = [] if paragraphs is None else blocks_of(paragraphs, size)
+                    owners += [n] * len(found)
+                    rows += [(i, *b) for i, b in enumerate(found)]
+                columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners, pa.int32())), *columns], _BLOCK_COLUMNS)
+                pa.default_memory_pool().release_unused()
+
+    return own.mapInArrow(run, f"doc_id {kind}, block_index int, start_paragraph int, end_paragraph int, text string, offsets array<int>")
 
 
 def restore_paragraphs(blocks: DataFrame) -> DataFrame:

@@ -201,3 +201,12 @@ def test_exports_can_be_cleaned(spark):
 def test_other_source_pages(spark):
     got = values(spark, [("第50章 x", 600, 12), ("第5000章", 600, 12), ("第650章", 600, 12), ("终章", 600, 12), ("第9章", 60, 6), ("第700节", 0, 9)], "t string, n int, p int", search.other_page_window(F.col("t"), F.col("n"), F.col("p")))
     assert [g[0] and tuple(g[0]) for g in got] == [(7, 12), None, (7, 12), None, None, None]
+
+
+def test_blocks_of_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(segment, "SLICE", 2)
+    docs = spark.createDataFrame([(k, None if k == 3 else ["x" * k, "", "y" * 7]) for k in range(6)], "doc_id long, paragraphs array<string>").coalesce(1)
+    df = segment.build_blocks(docs, size=6)
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r[0], r[1], r[2], r[3], r[4], list(r[5])) for r in df.collect())
+    assert got == [(k, i, *b) for k in range(6) if k != 3 for i, b in enumerate(segment.blocks_of(["x" * k, "", "y" * 7], 6))]
