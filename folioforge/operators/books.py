@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPACE, lines, trim, utf16_length
+from ..functions.folds import exploded
 from .clean import kind_of, strip_inline
 from .segment import FRONT, LEAST_MATCHED, in_catalog_order
 
@@ -70,7 +71,7 @@ def whole_books(texts: DataFrame, catalog: DataFrame, rules: TextRules = TextRul
     """
     own = texts.filter("book_id is not null").select("book_id", book_lines(F.col("text"), rules).alias("lines"))
     entries = catalog.filter("book_id is not null").select("book_id", F.col("index").cast("int").alias("index"), F.col("id").cast("string").alias("id"), "title")
-    at_margin = own.select(F.col("book_id").alias("doc_id"), F.posexplode("lines").alias("at", "x")).filter("not x.inset").select("doc_id", "at", heading_key(F.col("x.line")).alias("key"))
+    at_margin = exploded(own.select(F.col("book_id").alias("doc_id"), "lines"), "lines", "at", "x").filter("not x.inset").select("doc_id", "at", heading_key(F.col("x.line")).alias("key"))
     places = entries.filter("title is not null").groupBy(F.col("book_id").alias("doc_id"), heading_key(F.col("title")).alias("key")).agg(F.sort_array(F.collect_list("index")).alias("places"))
     matched = in_catalog_order(at_margin.join(places, ["doc_id", "key"]), rules.window).withColumnRenamed("doc_id", "book_id")
     begin = F.struct("at", "id", "title")
@@ -89,7 +90,7 @@ def whole_books(texts: DataFrame, catalog: DataFrame, rules: TextRules = TextRul
     ends = F.concat(F.transform(F.slice("begins", F.lit(2), F.greatest(F.size("begins"), F.lit(1))), lambda x: x["at"]), F.array(F.size("lines")))
     cut = lambda b, end: F.struct(b["id"].alias("id"), b["title"].alias("title"), F.transform(F.slice("lines", b["at"] + 2, end - b["at"] - 1), lambda x: x["line"]).alias("paragraphs"))
     parts = F.when(F.size("begins") > 0, F.zip_with("begins", ends, cut))
-    chapters = both.select("book_id", F.posexplode(parts).alias("k", "c"))
+    chapters = exploded(both.select("book_id", parts.alias("parts")), "parts", "k", "c")
     chapters = chapters.select("book_id", (F.col("k") + 1).alias("chapter"), F.coalesce("c.id", (F.col("k") + 1).cast("string")).alias("chapter_id"), "c.title", "c.paragraphs")
     books = both.select("book_id", "matched", "headings", "aligned", F.size("begins").alias("chapters"))
     missing = entries.join(books.filter("aligned").select("book_id"), "book_id", "left_semi").join(matched.select("book_id", "index"), ["book_id", "index"], "left_anti")

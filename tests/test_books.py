@@ -76,3 +76,12 @@ def test_no_rows_and_extra_columns(spark):
     texts = spark.createDataFrame([(None, TEXT), ("a", TEXT)], TEXTS).withColumn("index", F.lit(1)).withColumn("lines", F.lit("x"))
     chapters, found, _ = books.whole_books(texts, spark.createDataFrame([*ENTRIES, (None, 0, "1", "第1章 始")], CATALOG).withColumn("text", F.lit("y")), RULES)
     assert chapters.count() == 4 and [r.book_id for r in found.collect()] == ["a"]
+
+
+def test_lines_are_read_once(spark):
+    texts = spark.createDataFrame([(1, "a\n　b"), (2, None), (3, "")], "book_id long, text string")
+    chapters, found, missing = books.whole_books(texts, spark.createDataFrame([(1, 0, "7", "a")], "book_id long, index int, id string, title string"))
+    assert [tuple(r) for r in chapters.collect()] == [(1, 1, "7", "a", ["b"])]
+    for df in (chapters, found, missing):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert not [x for x in plan if "Filter" in x and "split(" in x]
