@@ -38,9 +38,9 @@ def anchors(page: Column) -> Column:
     """Array of struct(href, text) of links, in order; comments, scripts and styles are no source of links."""
     own = F.regexp_replace(page, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
     pattern = r"""(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
-    groups = [F.regexp_extract_all(own, F.lit(pattern), F.lit(k)) for k in (1, 2, 3, 4)]
-    zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "abct", strict=True)])
-    return F.transform(zipped, lambda x: F.struct(F.concat(x["a"], x["b"], x["c"]).alias("href"), F.regexp_replace(F.regexp_replace(x["t"], "<[^>]+>", ""), r"\s+", "").alias("text")))
+    address = lambda x: F.concat(*[F.regexp_extract(x, pattern, k) for k in (1, 2, 3)])
+    said = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_extract(x, pattern, 4), "<[^>]+>", ""), r"\s+", "")
+    return F.transform(F.regexp_extract_all(own, F.lit(pattern), F.lit(0)), lambda x: F.struct(address(x).alias("href"), said(x).alias("text")))
 
 
 #: A link with an address in quotes (group 1) and what it holds (group 2).

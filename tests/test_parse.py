@@ -141,3 +141,12 @@ def test_catalogs_are_read_once(spark):
     df = parse.catalog(spark.createDataFrame([("9", page), ("8", ""), ("7", None)], "book_id string, html string"), parse.NUMBERED)
     assert sorted(map(tuple, df.collect())) == [("9", 0, "100001", "a"), ("9", 1, "100002", "b")]
     assert not filters(df)
+
+
+def test_text_and_links_are_searched_once(spark):
+    assert str(parse.text_paragraphs(F.col("html"))._jc).count("writeln") == 1
+    searched = str(markup.anchors(F.col("html"))._jc)
+    assert searched.count("regexp_extract_all") == 1
+    page = """<a x href=/a>A</a><a href="b"> <b>B</b> </a><A HREF='c'>C</A><!--<a href="d">D</a>-->"""
+    got = spark.createDataFrame([(page,)], "html string").select(markup.anchors(F.col("html")).alias("a")).first()["a"]
+    assert [tuple(x) for x in got] == [("/a", "A"), ("b", "B"), ("c", "C")]
