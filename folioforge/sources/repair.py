@@ -34,27 +34,40 @@ class Field:
 
 
 def _kind_of(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
-    return F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(number, "number")
+    def said(kind: Column) -> Column:
+        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+        return F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(number, "number")
+
+    return let(F.schema_of_variant(value), said)
 
 
 def _present(record: Column, f: Field) -> Column:
     """The field's value, or null if it counts as absent."""
-    value, kind = F.try_variant_get(record, f"$.{f.name}", "variant"), _kind_of(F.try_variant_get(record, f"$.{f.name}", "variant"))
-    if f.kind == "string":
-        own = F.when(kind == "string", F.try_variant_get(value, "$", "string"))
-        for wrong in [own == ""] * f.filled + [~own.rlike(f.pattern or "")] * bool(f.pattern) + [~own.isin(*f.choices)] * bool(f.choices):
-            own = F.when(~wrong, own)
+
+    def filled(own: Column) -> Column:
+        wrong = [own == ""] * f.filled + [~own.rlike(f.pattern or "")] * bool(f.pattern) + [~own.isin(*f.choices)] * bool(f.choices)
+        for w in wrong:
+            own = F.when(~w, own)
         return F.left(own, F.lit(f.longest)) if f.longest else own
-    if f.kind == "boolean":
-        return F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
-    own = F.when(kind == "number", F.try_variant_get(value, "$", "double"))
-    own = F.when(F.abs(own) < float("inf"), own)
-    own = F.floor(own + 0.5).cast("double") if f.rounded or f.kind == "long" else own
-    own = F.greatest(own, F.when(own.isNotNull(), F.lit(float(f.least)))) if f.least is not None else own
-    own = F.least(own, F.when(own.isNotNull(), F.lit(float(f.most)))) if f.most is not None else own
-    return own.try_cast(f.kind)
+
+    def clamped(own: Column) -> Column:
+        bound = F.greatest(own, F.lit(float(f.least))) if f.least is not None else own
+        bound = F.least(bound, F.lit(float(f.most))) if f.most is not None else bound
+        return F.when(own.isNotNull(), bound).try_cast(f.kind)
+
+    def finite(own: Column) -> Column:
+        own = F.when(F.abs(own) < float("inf"), own)
+        return F.floor(own + 0.5).cast("double") if f.rounded or f.kind == "long" else own
+
+    def held(value: Column) -> Column:
+        kind = _kind_of(value)
+        if f.kind == "string":
+            return let(F.when(kind == "string", F.try_variant_get(value, "$", "string")), filled)
+        if f.kind == "boolean":
+            return F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
+        return let(let(F.when(kind == "number", F.try_variant_get(value, "$", "double")), finite), clamped)
+
+    return let(F.try_variant_get(record, f"$.{f.name}", "variant"), held)
 
 
 def repaired(json: Column, fields: tuple[Field, ...]) -> Column:
@@ -63,15 +76,16 @@ def repaired(json: Column, fields: tuple[Field, ...]) -> Column:
 
     def whole(record: Column) -> Column:
         is_object = F.coalesce(F.startswith(F.schema_of_variant(record), F.lit("OBJECT")), F.lit(False))
-        own = {f.name: F.when(is_object, _present(record, f)) for f in fields}
-        values = []
-        for f in fields:
-            default = f.default(record) if isinstance(f.default, Callable) else F.lit(f.default).cast(f.kind)
-            values.append((own[f.name] if f.default is None else F.coalesce(own[f.name], default)).alias(f.name))
-        needed = F.lit(True)
-        for f in fields:
-            needed = needed & own[f.name].isNotNull() if f.required else needed
-        return F.when(needed, F.struct(*values))
+
+        def built(own: Column) -> Column:
+            values, needed = [], F.lit(True)
+            for f in fields:
+                default = f.default(record) if isinstance(f.default, Callable) else F.lit(f.default).cast(f.kind)
+                values.append((own[f.name] if f.default is None else F.coalesce(own[f.name], default)).alias(f.name))
+                needed = needed & own[f.name].isNotNull() if f.required else needed
+            return F.when(needed, F.struct(*values))
+
+        return let(F.when(is_object, F.struct(*[_present(record, f).alias(f.name) for f in fields])), built)
 
     return let(F.try_parse_json(json), whole)
 

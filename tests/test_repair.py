@@ -37,3 +37,8 @@ def test_books_and_places(spark):
 @pytest.mark.parametrize(("text", "want"), [("[" * 32 + "]" * 32, 32), ("[" * 33 + "]" * 33, 33), ('{"a": "[[[{", "b": [1]}', 2), ('{"a\\"[": "\\\\", "c": {"d": []}}', 3), ("", 0), ("1", 0), (None, None), ("]]][", 0), ('["[[[', 1), ("[[],[[]]]" * 400, 3)])
 def test_depth(spark, text, want):
     assert spark.createDataFrame([(text,)], "j string").select(repair.depth(F.col("j"))).first()[0] == want
+
+
+def test_fields_are_read_once(spark):
+    number = str(repair._present(F.col("v"), repair.Field("size", "long", 18, least=14, most=28))._jc)
+    assert number.count("schema_of_variant") == 1
