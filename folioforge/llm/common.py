@@ -157,7 +157,9 @@ def class_sample(keyed: DataFrame, texts: DataFrame, per_class: int, max_chars:
     if not counts:
         return []
     kind = own.schema["key"].dataType.simpleString()
-    shares = keyed.sparkSession.createDataFrame([(k, min(1.0, (2 * per_class + 100) / n)) for k, n in counts.items() if n] or [(next(iter(counts)), 0.0)], f"key {kind}, share double")
+    passing = {k: min(1.0, (2 * per_class + 100) / n) for k, n in counts.items() if n} or {next(iter(counts)): 0.0}
+    # As an Arrow table: rows of Python would start a second daemon with workers of its own on each executor.
+    shares = keyed.sparkSession.createDataFrame(pa.table({"key": list(passing), "share": list(passing.values())}), f"key {kind}, share double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     few = own.filter(fits).join(F.broadcast(shares), "key").filter(place < F.col("share")).select("key", "doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id"))

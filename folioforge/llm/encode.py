@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 
@@ -44,8 +44,8 @@ class UnitEncoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _forget(self) -> None:
-        self.known: defaultdict[str, int] = defaultdict()
-        self.known.default_factory = self.known.__len__
+        # Numbers in order; a factory that refers to the dictionary itself would keep a forgotten one until a full garbage collection.
+        self.known: defaultdict[str, int] = defaultdict(count().__next__)
         self.starts, self.lengths, self.used = (np.zeros(0, np.int64) for _ in range(3))
         self.flat, self.filled = np.zeros(1 << 16, np.uint32), 0
 

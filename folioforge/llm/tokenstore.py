@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import slices, small_batches
-from .encode import encoder
+from .encode import UnitEncoder, encoder
 
 #: The dictionary is trained on so many documents at most, of each its first so many characters, in pieces of so many bytes.
 SAMPLE_DOCS, SAMPLE_CHARS, PIECE_BYTES = 2000, 16_384, 1024
 DICT_BYTES = 64 * 1024
+#: Texts are encoded in portions of about so many characters where the words to remember are bounded.
+PORTION_CHARS = 256 << 10
 #: A block holds frames of about so many bytes.
 BLOCK_BYTES = 2 << 20
 LEVEL = 3
@@ -50,8 +52,19 @@ def token_ids(texts: list[str | None], path: str, keeps_spaces: bool, end_id: in
 
 
 def token_arrays(texts: list[str | None], path: str, keeps_spaces: bool, end_id: int, remembered: int | None = None) -> list[np.ndarray]:
-    """Ids of each whole text (null: empty) with the end id appended, each in an array of its own."""
-    ids, counts = encoder(path, keeps_spaces, remembered).encode([t or "" for t in texts])
+    """Ids of each whole text (null: empty) with the end id appended, each in an array of its own. Where ``remembered`` bounds the words, texts are
+    encoded in portions, as the bound is only kept between them."""
+    if remembered:
+        ends = np.cumsum([len(t or "") for t in texts]) // PORTION_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        portions = [texts[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    else:
+        portions = [texts]
+    return [own for part in portions for own in _arrays(part, encoder(path, keeps_spaces, remembered), end_id)]
+
+
+def _arrays(texts: list[str | None], units: UnitEncoder, end_id: int) -> list[np.ndarray]:
+    ids, counts = units.encode([t or "" for t in texts])
     out, at = [], 0
     for n in counts.tolist():
         own = np.empty(n + 1, np.uint32)

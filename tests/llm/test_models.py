@@ -145,6 +145,23 @@ def test_scripts():
     assert {k: fertility.script(v.encode()) for k, v in said.items()} == {k: k for k in said}
 
 
+def test_class_sample_starts_no_python_rows(spark, monkeypatch):
+    """What a sample sends to the executors is an Arrow table: lists of rows start a second daemon of Python workers there."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from folioforge.llm.common import class_sample
+
+    for kind, keys in (("string", ("a", "b")), ("int", (0, 1)), ("long", (0, 1))):
+        docs = spark.createDataFrame([(k, keys[k % 2], "x" * (k % 9 + 1)) for k in range(40)], f"doc_id long, key {kind}, text string")
+        made, plain = [], type(spark).createDataFrame
+        with monkeypatch.context() as m:
+            m.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: made.append(data) or plain(self, data, *a, **b))
+            found = class_sample(docs.select("doc_id", "key", F.length("text").alias("n")), docs, 5, 9)
+        assert made and all(isinstance(x, pa.Table) for x in made)
+        assert sorted(r["key"] for r in found) == sorted(keys * 5)
+
+
 def test_class_sample(spark):
     """Bounded, the same each time, whole texts within the bound, and no class is lost because its texts are long."""
     from pyspark.sql import functions as F

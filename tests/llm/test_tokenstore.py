@@ -1,4 +1,6 @@
+import gc
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +9,7 @@ from tokenizers import Tokenizer
 
 from folioforge.llm import tokenstore
 from folioforge.llm.common import new_folder
-from folioforge.llm.encode import UnitEncoder
+from folioforge.llm.encode import UnitEncoder, encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -85,3 +87,27 @@ def test_too_little_to_train_on_is_recorded(spark):
     tokenstore.write(spark.createDataFrame([(1, "a")], "doc_id long, text string"), store, PATH, False, 2)
     r = spark.read.parquet(f"{store}/dictionary").first()
     assert (bytes(r.content), r.samples) == (b"", 1)
+
+
+def test_forgotten_words_are_freed_at_once():
+    """Without a garbage collection: a packing worker makes too few containers for one to come soon."""
+    units = UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"), True, 100)
+    gc.collect()
+    gc.disable()
+    try:
+        for k in range(5):
+            units.encode([" ".join(f"kept{k}word{j}" for j in range(300))])
+        held = [x for x in gc.get_objects() if isinstance(x, defaultdict) and any(isinstance(w, str) and w.startswith(" kept") for w in x)]
+    finally:
+        gc.enable()
+    assert len(held) == 1
+
+
+def test_a_bound_on_words_holds_within_a_batch(monkeypatch):
+    """Portions give the ids of one batch, and a batch of many new words doesn't outgrow the bound by more than a portion."""
+    monkeypatch.setattr(tokenstore, "PORTION_CHARS", 2000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", *(" ".join(f"t{k}w{j}" for j in range(100)) for k in range(60)), "x" * 9000, ""]
+    bounded = tokenstore.token_arrays(texts, path, True, 1, 777)
+    assert [x.tolist() for x in bounded] == [x.tolist() for x in tokenstore.token_arrays(texts, path, True, 1)]
+    assert len(encoder(path, True, 777).known) < 777 + 600
